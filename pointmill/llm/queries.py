@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointmill.llm.common import read
+from pointmill.llm import line_dedup as lines
+from pointmill.llm.quality import quality
 from pointmill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +18,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": lines.ORACLE_SQL,
+}
