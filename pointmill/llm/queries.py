@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pointmill.llm.common import read
 from pointmill.llm import line_dedup as lines
+from pointmill.llm.decontamination import contamination
 from pointmill.llm.near_duplicates import jaccard_join
 from pointmill.llm.quality import quality
 from pointmill.llm.toxicity import toxicity
@@ -23,6 +24,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -34,6 +39,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
 }
