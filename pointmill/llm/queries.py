@@ -10,6 +10,7 @@ from pointmill.llm.common import read
 from pointmill.llm import line_dedup as lines
 from pointmill.llm.decontamination import contamination
 from pointmill.llm.near_duplicates import jaccard_join
+from pointmill.llm.packing import pack
 from pointmill.llm.quality import quality
 from pointmill.llm.toxicity import toxicity
 
@@ -20,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -38,6 +43,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op4_packing": op4_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
