@@ -12,6 +12,7 @@ from pointmill.llm.decontamination import contamination
 from pointmill.llm.near_duplicates import jaccard_join
 from pointmill.llm.packing import pack
 from pointmill.llm.quality import quality
+from pointmill.llm import rules
 from pointmill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -44,6 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
@@ -51,5 +57,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": rules.ORACLE_SQL,
     "op8_line_dedup": lines.ORACLE_SQL,
 }
