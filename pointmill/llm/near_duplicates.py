@@ -193,7 +193,7 @@ def _blocks_of(members: DataFrame, key: str, size: str, salt: str) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """t1, t2 (blocks of documents), cid, partners: pairs left by the pruning, each at one of its documents."""
+    """t1, t2 (two blocks of documents, or one twice), one, two: the pairs left by the pruning, as arrays of their members."""
     bands = _banded(classes)
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first")).where("n > 1")
     members = cut(bands.join(buckets, "key"))
@@ -220,20 +220,21 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
                 continue
             swap = (home[a] > home[b]) | ((home[a] == home[b]) & (cid[a] > cid[b]))
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            # one row for each document and pair of homes: the first documents carry their partners, the second none
-            order = np.lexsort((cid[a], home[b], home[a]))
+            # one row for each pair of homes
+            order = np.lexsort((home[b], home[a]))
             a, b = a[order], b[order]
             new = np.ones(len(a), bool)
-            new[1:] = (cid[a][1:] != cid[a][:-1]) | (home[b][1:] != home[b][:-1])
+            new[1:] = (home[a][1:] != home[a][:-1]) | (home[b][1:] != home[b][:-1])
             heads = np.flatnonzero(new)
-            seconds = np.unique(np.stack([home[a], home[b], cid[b]]), axis=1)
-            offsets = np.concatenate([heads, np.full(seconds.shape[1] + 1, len(a))]).astype(np.int32)
+            offsets = pa.array(np.append(heads, len(a)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([home[a][heads], seconds[0]])), pa.array(np.concatenate([home[b][heads], seconds[1]])), pa.array(np.concatenate([cid[a][heads], seconds[2]])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cid[b]))],
-                names=["t1", "t2", "cid", "partners"],
+                [pa.array(home[a][heads]), pa.array(home[b][heads]), pa.ListArray.from_arrays(offsets, pa.array(cid[a])), pa.ListArray.from_arrays(offsets, pa.array(cid[b]))],
+                names=["t1", "t2", "one", "two"],
             )
 
-    return cut(grouped_runs(rows, ["key", "i", "j"], prune, "t1 long, t2 long, cid long, partners array<long>").groupBy("t1", "t2", "cid").agg(F.flatten(F.collect_list("partners")).alias("partners")))
+    found = grouped_runs(rows, ["key", "i", "j"], prune, "t1 long, t2 long, one array<long>, two array<long>")
+    # a task has the pairs of two blocks of bounded size
+    return cut(found.groupBy("t1", "t2").agg(F.collect_list(F.struct("one", "two")).alias("p")).select("t1", "t2", F.flatten("p.one").alias("one"), F.flatten("p.two").alias("two")))
 
 
 def _sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -268,15 +269,20 @@ def _sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """cid, links, linked_docs, root: for each task of two blocks, how many classes a class is linked to there, how many
     documents these have, and a class that it is connected to there."""
-    rows = candidates.join(sets, "cid")
+    members = candidates.select("t1", "t2", F.explode(F.array_distinct(F.concat("one", "two"))).alias("cid")).join(sets, "cid")
+    none = F.lit(None)
+    rows = members.select("t1", "t2", "cid", "n", "shingles", none.cast("array<long>").alias("one"), none.cast("array<long>").alias("two")).unionByName(
+        candidates.select("t1", "t2", none.cast("long").alias("cid"), none.cast("long").alias("n"), none.cast("binary").alias("shingles"), "one", "two")
+    )
 
     def verify(columns, starts):
-        cid, n = columns["cid"].to_numpy(), columns["n"].to_numpy()
-        raw, partners = columns["shingles"].to_pylist(), columns["partners"].to_pylist()
+        cid, n = columns["cid"].fill_null(-1).to_numpy(), columns["n"].fill_null(0).to_numpy()
+        raw = columns["shingles"]
         out: list[tuple[int, int, int, int]] = []
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            at = {c: i for i, c in enumerate(cid[s:e].tolist(), int(s))}
-            own = {i: np.frombuffer(raw[i], np.uint64) for i in range(s, e)}
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            at = {c: i for i, c in enumerate(cid[s:e].tolist(), s) if c >= 0}
+            pairs = {(x, y) for i in range(s, e) if cid[i] < 0 for x, y in zip(columns["one"][i].as_py(), columns["two"][i].as_py(), strict=True)}
+            own = {i: np.frombuffer(raw[i].as_py(), np.uint64) for i in at.values()}
             count, docs, parent = dict.fromkeys(own, 0), dict.fromkeys(own, 0), {i: i for i in own}
 
             def root(i, parent=parent):
@@ -285,25 +291,24 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
                     i = parent[i]
                 return i
 
-            for i in range(s, e):
-                for j in (at[c] for c in set(partners[i])):
-                    x, y = own[i], own[j]
-                    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                        continue
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if shared >= threshold * (len(both) - shared) - 1e-9:
-                        count[i] += 1
-                        count[j] += 1
-                        docs[i] += int(n[j])
-                        docs[j] += int(n[i])
-                        parent[root(i)] = root(j)
+            for i, j in ((at[x], at[y]) for x, y in pairs):
+                x, y = own[i], own[j]
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                    continue
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                if shared >= threshold * (len(both) - shared) - 1e-9:
+                    count[i] += 1
+                    count[j] += 1
+                    docs[i] += int(n[j])
+                    docs[j] += int(n[i])
+                    parent[root(i)] = root(j)
             out += [(int(cid[i]), count[i], docs[i], int(cid[root(i)])) for i in own if count[i]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["cid", "links", "linked_docs", "root"])
 
-    return grouped_runs(rows.select("t1", "t2", "cid", "n", "partners", "shingles"), ["t1", "t2"], verify, "cid long, links long, linked_docs long, root long")
+    return grouped_runs(rows, ["t1", "t2"], verify, "cid long, links long, linked_docs long, root long")
 
 
 def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,7 +317,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFram
     signed = table_in_shared_folder(_signed(documents), "signatures")
     classes = cut(signed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()))
     candidates = _candidates(classes, threshold)
-    links = cut(_verified(candidates, _sets(documents, classes, candidates.select("cid").distinct()), threshold))
+    links = cut(_verified(candidates, _sets(documents, classes, candidates.select(F.explode(F.array_distinct(F.concat("one", "two"))).alias("cid")).distinct()), threshold))
     counts = links.groupBy(F.col("cid").alias("__cid")).agg(F.sum("linked_docs").alias("linked_docs"))
     labels = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.select("cid", "k1", "k2", "n", F.col("first.doc_id").alias("class_id")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
