@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointmill.llm.common import read
 from pointmill.llm import line_dedup as lines
 from pointmill.llm.decontamination import contamination
+from pointmill.llm.licences import scan
 from pointmill.llm.near_duplicates import jaccard_join
 from pointmill.llm.packing import pack
 from pointmill.llm.quality import quality
@@ -46,6 +47,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
+    "op10_licences": op10_licences,
 }
 
 ORACLE_SQL: dict[str, str] = {
