@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointmill.llm.common import read
 from pointmill.llm import line_dedup as lines
 from pointmill.llm.decontamination import contamination
+from pointmill.llm.html_text import extract
 from pointmill.llm.licences import scan
 from pointmill.llm.near_duplicates import jaccard_join
 from pointmill.llm.packing import pack
@@ -19,6 +20,10 @@ from pointmill.llm.toxicity import toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_text": op1_html_text,
     "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
