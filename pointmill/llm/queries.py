@@ -10,6 +10,7 @@ from pointmill.llm.common import read
 from pointmill.llm import line_dedup as lines
 from pointmill.llm.decontamination import contamination
 from pointmill.llm.html_text import extract
+from pointmill.llm.language import identify
 from pointmill.llm.licences import scan
 from pointmill.llm.near_duplicates import jaccard_join
 from pointmill.llm.packing import pack
@@ -28,6 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
