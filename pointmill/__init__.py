@@ -1,0 +1 @@
+"""Analytics over weighted, categorised points and ordered numeric series, written as Spark DataFrame plans."""
