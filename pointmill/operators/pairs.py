@@ -65,8 +65,10 @@ def _tiled(a: DataFrame, b: DataFrame | None, group: list[str], width: float, co
     kinds = {c: a.schema[c].dataType.simpleString() for c in group}
     schema = ", ".join([f"{g}_{s} {kinds[g]}" for g in group for s in "ab"] + ["bin long", "wsum double", "n long", "dist double"])
 
+    own_pairs = b is None
+
     def histogram(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = bool((pdf["i"] == pdf["j"]).all()) and b is None
+        alone = bool((pdf["i"] == pdf["j"]).all()) and own_pairs
         left = pdf if alone else pdf[pdf["side"] == 0]
         right = pdf if alone else pdf[pdf["side"] == 1]
         codes = pd.concat([left[group], right[group]]).drop_duplicates(ignore_index=True) if group else pd.DataFrame({"none": [0]})

@@ -566,4 +566,4 @@ def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming aggregation, run over the table as a batch."""
-    return rounded(incremental.windowed(table(spark, sf_dir, "events"), window="1 hour"), {"total": 4})
+    return rounded(incremental.windowed(table(spark, sf_dir, "events"), window="1 hour").withColumn("start", F.col("start").cast("timestamp_ntz")), {"total": 4})

@@ -15,10 +15,10 @@ NAMES = ("x", "y", "yerr", "xerr")
 
 def lines(spark: SparkSession, path: str | list[str], recursive: bool = False, suffix: str | None = None) -> DataFrame:
     """set_id (the file), line (from 0), text. A file is read whole: these formats are small, and there may be many."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    whole = reader.text(path).select(F.col("_metadata.file_path").alias("set_id"), F.split("value", "\n").alias("__lines"))
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("set_id"), F.split("value", "\n").alias("__lines"))
     return whole.select("set_id", F.posexplode("__lines").alias("line", "text"))
 
 

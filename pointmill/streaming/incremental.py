@@ -69,7 +69,8 @@ def maintain(changes: DataFrame, points_path: str, partial_path: str, checkpoint
 def windowed(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Counts, sums and bounds of event values by type and window of event time; late rows within the watermark count."""
     return (
-        events.withWatermark("ts", watermark)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", watermark)
         .groupBy(F.window("ts", window), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
         .select(F.col("window.start").alias("start"), "event_type", "n", "total", "low", "high")
