@@ -48,7 +48,8 @@ class Tokens:
     are encoded once. A word with an apostrophe, or with characters other than ASCII and the Latin letters up to U+024F,
     is one unit, as are all words where the tokenizer doesn't fold case."""
 
-    KEPT = 1_000_000
+    KEPT = 1_000_000  # units, before they are forgotten
+    AT_ONCE = 4096
     _kind = np.zeros(256, np.uint8)  # 0: space, 1: letter, 2: digit, 3: other
     _kind[:] = 1
     _kind[[*range(128)]] = 3
@@ -74,7 +75,7 @@ class Tokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.first, self.count, self.ids, self.filled = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.known, self.first, self.count, self.ids, self.filled = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint32), 0
 
     def _units(self, block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, owner = block.spans(SPACES)
@@ -108,17 +109,19 @@ class Tokens:
             return
         raw = block.data.tobytes()
         units = [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        counts = np.array([len(x) for x in found])
-        flat = np.array([i for x in found for i in x], np.uint32)
+        counts, flat = np.zeros(len(units), np.int32), []
+        for lo in range(0, len(units), self.AT_ONCE):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(units[lo : lo + self.AT_ONCE], add_special_tokens=False)]
+            counts[lo : lo + len(found)] = [len(x) for x in found]
+            flat.append(np.array([i for x in found for i in x], np.uint32))
+        flat = np.concatenate(flat)
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.filled : self.filled + len(flat)] = flat
-        first = self.filled + np.cumsum(counts) - counts
+        first = (self.filled + np.cumsum(counts) - counts).astype(np.int32)
         self.filled += len(flat)
-        known, first, counts = np.concatenate([self.known, fresh]), np.concatenate([self.first, first]), np.concatenate([self.count, counts])
-        order = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[order], first[order], counts[order]
+        place = np.searchsorted(self.known, fresh)
+        self.known, self.first, self.count = np.insert(self.known, place, fresh), np.insert(self.first, place, first), np.insert(self.count, place, counts)
 
     def __call__(self, block: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each ended by END, and offsets by text."""
@@ -271,7 +274,7 @@ def _tokenized(documents: DataFrame, path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, tail, crcs = [], [], []
-        for block in texts(batch.column("text"), lower=False, block=2 << 20):
+        for block in texts(batch.column("text"), lower=False, block=1 << 19):
             ids, offsets = tokens(block)
             for i in range(len(block)):
                 own = ids[offsets[i] : offsets[i + 1]]
@@ -341,7 +344,7 @@ def pack(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def recheck(batch: pa.RecordBatch) -> pa.RecordBatch:
         crcs, start, length = [], batch.column("start").to_pylist(), batch.column("length").to_pylist()
-        for block in texts(batch.column("text"), lower=False, block=2 << 20):
+        for block in texts(batch.column("text"), lower=False, block=1 << 19):
             ids, offsets = tokens(block)
             for i in range(len(block)):
                 at = int(offsets[i]) + start[block.first + i]

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _PRIME = U64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -108,7 +108,7 @@ class Texts:
         return span_hashes(self.data, starts, ends), np.searchsorted(owner, np.arange(len(self) + 1))
 
 
-def texts(column: pa.Array | pa.ChunkedArray, lower: bool = True, block: int = 4 << 20) -> Iterator[Texts]:
+def texts(column: pa.Array | pa.ChunkedArray, lower: bool = True, block: int = 1 << 20) -> Iterator[Texts]:
     """The column in runs of about block bytes (a longer text is a run of its own)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
