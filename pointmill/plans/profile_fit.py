@@ -43,7 +43,7 @@ def fit(points: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def fit_water_scale(points: DataFrame, data: DataFrame, scales: list[float]) -> DataFrame:
     """scale, chi2, a, b: the partial profiles are made once; every scale is regressed in the same aggregation."""
-    wide = partial_profiles(points).groupBy("q").agg(*[F.sum(F.when(F.col("kind") == k, F.col("intensity")).otherwise(0.0)).alias(k) for k in ("aa", "aw", "ww")])
+    wide = partial_profiles(points).groupBy("q").agg(*[F.sum(F.when(F.col("kind") == k, F.col("intensity")).otherwise(0.0)).alias(k) for k in ("aa", "aw", "ww")]).persist()  # few rows, read more than once
     grid = F.explode(F.array(*[F.lit(float(s)) for s in scales]))
     models = wide.withColumn("set_id", grid).select("set_id", F.col("q").alias("x"), (F.col("aa") + F.col("set_id") * F.col("aw") + F.col("set_id") * F.col("set_id") * F.col("ww")).alias("y"))
     curves = number_rows(models, ["set_id"], ["x"], F.lit(0))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import cos, pi, sin
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.config import Axis
 from pointmill.functions import maths, text
-from pointmill.operators import bodies, dataset, density_map, fitting, hydration, mass, pairs, profiles, statistics, symmetry, voxels, windows
+from pointmill.operators import bodies, dataset, density_map, fitting, hydration, map_fit, mass, pairs, profiles, rigid, statistics, symmetry, voxels, windows
 from pointmill.operators import spline as splines
 from pointmill.plans import profile_fit
 from pointmill.plans.inputs import POINTS, SERIES, points, series, table
@@ -170,6 +171,29 @@ def symmetry_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, dict.fromkeys("xyz", 6))
 
 
+_MOVES = [(1, symmetry.rotation((0, 0, 1), 0.5), (1.0, 0.0, 0.0)), (2, symmetry.rotation((1, 0, 0), -0.25), (0.0, 2.0, 0.0)), (3, symmetry.rotation((0, 1, 0), 1.0), (0.0, 0.0, -1.5))]
+_MOVE_ROWS = ", ".join(f"({k}, {b}, {', '.join(repr(float(v)) for v in r.ravel())}, {', '.join(map(repr, t))})" for k, (b, r, t) in enumerate(_MOVES))
+
+
+@query(
+    f"WITH {POINTS}, m(move, moving, r00, r01, r02, r10, r11, r12, r20, r21, r22, t0, t1, t2) AS (VALUES {_MOVE_ROWS}), "
+    "v AS (SELECT move, id, w, CASE WHEN body = moving THEN r00 * x + r01 * y + r02 * z + t0 ELSE x END AS x, CASE WHEN body = moving THEN r10 * x + r11 * y + r12 * z + t1 ELSE y END AS y, CASE WHEN body = moving THEN r20 * x + r21 * y + r22 * z + t2 ELSE z END AS z FROM p, m), "
+    f"pr AS (SELECT a.move, a.w * b.w AS v, {_D} AS d FROM v a JOIN v b ON a.move = b.move AND a.id < b.id) "
+    "SELECT move, bin, sum(value) AS value, sum(cnt)::BIGINT AS cnt, round(sum(dsum), 3) AS dsum FROM (SELECT move, floor(d * 4 + 0.5)::BIGINT AS bin, sum(v) * 2 AS value, count(*) * 2 AS cnt, sum(d) * 2 AS dsum FROM pr GROUP BY ALL UNION ALL SELECT move, 0, sum(w * w), count(*), 0 FROM v GROUP BY move) GROUP BY ALL"
+)
+def move_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three moves of a body each, tried in one job."""
+    return rounded(rigid.move_histograms(points(spark, sf_dir), [(b, r, np.array(t)) for b, r, t in _MOVES]), {"dsum": 3})
+
+
+@query()
+def move_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three moves against the curve that the second one gives: it must fit best."""
+    p, moves = points(spark, sf_dir), [(b, r, np.array(t)) for b, r, t in _MOVES]
+    truth = rigid.place(p, {b: (moves[1][1], moves[1][2]) if b == moves[1][0] else (np.eye(3), np.zeros(3)) for b in range(10)})
+    return rounded(rigid.scores(p, moves, profile_fit.simulate(truth, 40)), {"chi2": 3, "total": 3})
+
+
 # --- series -----------------------------------------------------------------------------------------------------------
 
 
@@ -511,6 +535,27 @@ def map_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(density_map.statistics(_map(spark, sf_dir)).drop("squares"), {"mean": 4, "rms": 4})
 
 
+_LEVELS, _LOW, _HIGH = 5, 480_000.0, 495_000.0
+
+
+@query(
+    f"WITH {_MAP}, p AS (SELECT row_number() OVER (ORDER BY z, y, x) AS id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, CASE WHEN val >= {_HIGH} THEN {_LEVELS} + 1 ELSE floor((val - {_LOW}::DOUBLE) / ({_HIGH} - {_LOW})::DOUBLE * {_LEVELS})::INT + 1 END AS band FROM v WHERE val >= {_LOW}), "
+    f"pr AS (SELECT least(a.band, b.band) AS band, {_D} AS d FROM p a JOIN p b ON a.id < b.id), h AS (SELECT band, floor(d * 4 + 0.5)::BIGINT AS bin, count(*) * 2 AS cnt, sum(d) * 2 AS dsum FROM pr GROUP BY ALL UNION ALL SELECT band, 0, count(*), 0 FROM p GROUP BY band) "
+    f"SELECT level::INT AS level, bin, sum(cnt)::DOUBLE AS value, sum(cnt)::BIGINT AS cnt, round(sum(dsum), 3) AS dsum FROM h JOIN range(1, {_LEVELS + 1}) t(level) ON band >= level GROUP BY ALL"
+)
+def map_cutoff_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair histograms of a map at five cutoffs, from one join by density band."""
+    p = map_fit.banded_points(_map(spark, sf_dir), _LEVELS, _LOW, _HIGH)
+    return rounded(map_fit.cutoff_histograms(p, _LEVELS), {"dsum": 3})
+
+
+@query()
+def map_fit_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve that the third cutoff's voxels give is fitted at every cutoff: the third must win."""
+    p = map_fit.banded_points(_map(spark, sf_dir), _LEVELS, _LOW, _HIGH)
+    return rounded(map_fit.fit_cutoff(p, profile_fit.simulate(p.where("band >= 3"), 40), _LEVELS), {"chi2": 3, "a": 4, "b": 2})
+
+
 @query(f"WITH {POINTS} SELECT id, CASE WHEN body = 2 AND id >= 300 THEN 11 WHEN body = 2 AND id >= 100 THEN 10 WHEN body IN (4, 5) THEN 4 ELSE body END::BIGINT AS body FROM p WHERE body <> 7 UNION ALL SELECT id, 20 FROM p WHERE body = 1")
 def body_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body 2 is split at two residues, 4 and 5 merge, 7 goes, 1 is copied."""
