@@ -48,6 +48,8 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
 ]
 #: Licence words of a text that are looked up, and votes at one relative position that make a candidate.
 LOOKUPS, LEAST_VOTES = 8, 2
+#: Every key phrase, with whatever breaks between its words, matches this; texts that don't are not looked up.
+ANCHOR = r"(?i)licen[sc]|permission|redistribution|unencumbered|creative[^a-z0-9]+commons|cc[^a-z0-9]+by"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
 
@@ -137,7 +139,7 @@ def scan(documents: DataFrame, text: str = "text", lookups: int = LOOKUPS, least
             each.append(F.when(stands, accepted(votes(p, template), label, need)))
         return F.filter(F.array(*each), lambda x: x.isNotNull())
 
-    anchor = F.coalesce(F.col(text), F.lit("")).rlike(r"(?i)licen[sc]|permission|redistribution|unencumbered|creative\W+commons|\bcc\W+by\b")
+    anchor = F.coalesce(F.col(text), F.lit("")).rlike(ANCHOR)
     cheap = documents.select("doc_id", words_of(F.col(text)).alias("__words"), anchor.alias("__anchor"))
     nothing = F.array().cast("array<struct<label:string,share:double>>")
 
@@ -165,3 +167,38 @@ def scan(documents: DataFrame, text: str = "text", lookups: int = LOOKUPS, least
         F.array_join(F.sort_array(F.array_distinct(F.concat(base, F.transform("r.more", lambda m: m["label"])))), ",").alias("labels"),
         F.greatest(F.when(F.size(places) > 0, F.lit(0.5)).otherwise(F.lit(0.0)), F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("r.more", lambda m: m["share"])), F.lit(0.0)))).alias("score"),
     )
+
+
+def _sql() -> str:
+    def rows(values: list[tuple]) -> str:
+        return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in values)
+
+    templates = rows([(k, label, min(LEAST_VOTES, len(t.split()))) for k, (label, t, _) in enumerate(TEMPLATES)])
+    postings = rows([(k, w, i) for k, (_, t, _) in enumerate(TEMPLATES) for i, w in enumerate(t.split())])
+    phrases = rows([(k, phrase) for k, (_, _, all_) in enumerate(TEMPLATES) for phrase in all_])
+    places = []
+    for phrase, label in BASE.items():
+        parts = phrase.split()
+        stands = " AND ".join(f"ws[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+        places.append(f"list_filter(range(0, len(ws) - {len(parts) - 1}), lambda i: {stands}) AS {label}")
+    at = "list_concat(list_concat(mit, apache), gpl)"
+    return f"""
+WITH tmpl(tid, label, need) AS (VALUES {templates}), post(tid, w, pos) AS (VALUES {postings}), phr(tid, phrase) AS (VALUES {phrases}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT rid, doc_id, regexp_matches(t, '{ANCHOR}') AS anchored,
+        list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BREAKS}'), lambda x: x <> '') AS ws FROM d),
+b AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS joined, {", ".join(places)} FROM l),
+x AS (SELECT rid, anchored, i, w FROM (SELECT rid, anchored, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM l) WHERE w IN (SELECT w FROM post)),
+df AS (SELECT w, count(DISTINCT rid) AS n FROM x GROUP BY w),
+rare AS (SELECT rid, w FROM (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY n, w) AS r FROM (SELECT DISTINCT rid, w FROM x WHERE anchored) JOIN df USING (w)) WHERE r <= {LOOKUPS}),
+looked AS (SELECT rid, count(*) AS n FROM rare GROUP BY rid),
+votes AS (SELECT rid, tid, max(c) AS v FROM (SELECT rid, tid, i - pos AS shift, count(*) AS c FROM x JOIN rare USING (rid, w) JOIN post USING (w) GROUP BY ALL) GROUP BY ALL),
+missing AS (SELECT DISTINCT v.rid, v.tid FROM votes v JOIN b ON b.rid = v.rid JOIN phr ON phr.tid = v.tid WHERE NOT contains(joined, ' ' || phrase || ' ')),
+more AS (SELECT rid, list(label) AS labels, max(v / looked.n) AS share FROM votes JOIN tmpl USING (tid) JOIN looked USING (rid) WHERE v >= need AND (rid, tid) NOT IN (SELECT rid, tid FROM missing) GROUP BY rid),
+f AS (SELECT b.rid, doc_id, len(ws) AS n_words, {at} AS places, list_filter(['apache', 'gpl', 'mit'], lambda k: CASE k WHEN 'mit' THEN len(mit) WHEN 'gpl' THEN len(gpl) ELSE len(apache) END > 0) AS base, coalesce(more.labels, []) AS more, coalesce(share, 0) AS share FROM b LEFT JOIN more ON more.rid = b.rid)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') AS labels, greatest(CASE WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE, least(1.0::DOUBLE, share::DOUBLE)) AS score FROM f
+"""
+
+
+ORACLE_SQL = _sql()

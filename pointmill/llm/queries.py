@@ -6,16 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointmill.llm.common import read
+from pointmill.llm import licences, rules
 from pointmill.llm import line_dedup as lines
+from pointmill.llm.common import read
 from pointmill.llm.decontamination import contamination
 from pointmill.llm.html_text import extract
 from pointmill.llm.language import identify
-from pointmill.llm.licences import scan
 from pointmill.llm.near_duplicates import jaccard_join
 from pointmill.llm.packing import pack
 from pointmill.llm.quality import quality
-from pointmill.llm import rules
 from pointmill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read(spark, sf_dir, "documents"))
+    return licences.scan(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
@@ -77,4 +76,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": rules.ORACLE_SQL,
     "op8_line_dedup": lines.ORACLE_SQL,
+    "op10_licences": licences.ORACLE_SQL,
 }

@@ -63,6 +63,12 @@ def test_rules_empty(empty, tables):
     assert rules.judge(empty, tables["labels"]).count() == 0
 
 
+def test_licences_match_sql(spark, sf_dir):
+    from pointmill.llm.queries import QUERIES
+
+    same(QUERIES["op10_licences"](spark, sf_dir), connect(sf_dir), licences.ORACLE_SQL)
+
+
 def brute_licence(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
@@ -86,6 +92,7 @@ def test_licences_match_brute_force(spark, odd, tables):
             (600004, "Licensed under CC BY-NC 4.0.", "en", "s", 0),
             (600005, "a licensed driver had permission to redistribute sand under terms of use", "en", "s", 0),
             (600006, "é MIT license é", "en", "s", 0),
+            (600007, "cc_by_nc_4_0 licensed_under", "en", "s", 0),
         ],
         odd.schema,
     )
@@ -100,5 +107,6 @@ def test_licences_match_brute_force(spark, odd, tables):
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "")
     by = {r["doc_id"]: r["labels"] for r in found}
     assert (by[600002], by[600003], by[600004], by[600005], by[600000]) == ("mit", "bsd", "cc-by-nc", "", "apache,gpl,mit")
+    assert by[600007] == "cc-by-nc"  # any character that no word has may stand between
     assert len(found) == docs.count()
     assert licences.scan(docs.where("false")).count() == 0
