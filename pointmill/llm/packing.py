@@ -72,12 +72,17 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = None
+        if suffix:
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.first, self.count, self.ids, self.filled = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint32), 0
 
-    def _units(self, block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _units(self, block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, owner = block.spans(SPACES)
         data = block.data
         kind = self._kind[data].copy()
@@ -97,9 +102,9 @@ class Tokens:
         s = np.flatnonzero(edge)
         word = np.searchsorted(starts, s, side="right") - 1
         e = np.minimum(np.append(s[1:], len(data)), ends[word])
-        return s, e, owner[word]
+        return s, e, owner[word], whole[s]
 
-    def _learn(self, block: Texts, hashes: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+    def _learn(self, block: Texts, hashes: np.ndarray, s: np.ndarray, e: np.ndarray, odd: np.ndarray) -> None:
         fresh, at = np.unique(hashes, return_index=True)
         if len(self.known):
             place = np.minimum(np.searchsorted(self.known, fresh), len(self.known) - 1)
@@ -109,29 +114,42 @@ class Tokens:
             return
         raw = block.data.tobytes()
         units = [raw[a:b].decode() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-        counts, flat = np.zeros(len(units), np.int32), []
-        for lo in range(0, len(units), self.AT_ONCE):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(units[lo : lo + self.AT_ONCE], add_special_tokens=False)]
-            counts[lo : lo + len(found)] = [len(x) for x in found]
-            flat.append(np.array([i for x in found for i in x], np.uint32))
-        flat = np.concatenate(flat)
-        while self.filled + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        first = (self.filled + np.cumsum(counts) - counts).astype(np.int32)
-        self.filled += len(flat)
+        counts, first = np.zeros(len(units), np.int32), np.zeros(len(units), np.int32)
+        for own, encode in ((np.flatnonzero(~odd[at]), self._encode_plain), (np.flatnonzero(odd[at]), self._encode)):
+            for lo in range(0, len(own), self.AT_ONCE):
+                some = own[lo : lo + self.AT_ONCE]
+                ids, n = encode([units[i] for i in some.tolist()])
+                while self.filled + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+                self.ids[self.filled : self.filled + len(ids)] = ids
+                counts[some], first[some] = n, self.filled + np.cumsum(n) - n
+                self.filled += len(ids)
         place = np.searchsorted(self.known, fresh)
         self.known, self.first, self.count = np.insert(self.known, place, fresh), np.insert(self.first, place, first), np.insert(self.count, place, counts)
 
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after another, and how many each has."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int32)
+
+    def _encode_plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of units that the tokenizer takes whole: where it marks the last token of a word, all go at once."""
+        if self.last is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(units):
+                return ids, np.diff(ends, prepend=-1).astype(np.int32)
+        return self._encode(units)
+
     def __call__(self, block: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each ended by END, and offsets by text."""
         if self.tokenizer is None:
             self._open()
         if len(self.known) > self.KEPT:
             self._forget()
-        s, e, owner = self._units(block)
+        s, e, owner, odd = self._units(block)
         hashes = span_hashes(block.data, s, e)
-        self._learn(block, hashes, s, e)
+        self._learn(block, hashes, s, e, odd)
         if not len(hashes):
             return np.full(len(block), END, np.uint32), np.arange(len(block) + 1)
         at = np.searchsorted(self.known, hashes)
