@@ -82,6 +82,26 @@ def test_copies_and_superposition(spark):
     assert rms < 1e-6 and np.allclose(rotation, symmetry.group("c3")[1], atol=1e-6)
 
 
+@pytest.mark.parametrize(("name", "swapped"), [("c3", False), ("d2", False), ("t", False), ("dp3", True), ("c2-c3", False)])
+def test_decomposition(spark, name, swapped):
+    p = cloud(spark, 12, 8).withColumn("body", F.lit(0).cast("long"))
+    frame, centre = symmetry.rotation((1, -2, 0.5), 0.9), np.array([30.0, -4, 7])
+    turned = [frame @ g @ frame.T for g in symmetry.group(name)]
+    made = symmetry.copies(p, symmetry.transforms(spark, {0: turned}, tuple(centre)))
+    if swapped:
+        made = made.withColumn("copy", F.when(F.col("copy") == 1, 3).when(F.col("copy") == 3, 1).otherwise(F.col("copy")))
+    found = symmetry.decompose(made, name, accept=1e-4)
+    assert found.rms < 1e-4
+    assert all(np.allclose(t @ (found.centre - centre), found.centre - centre, atol=1e-4) for t in turned)
+    assert symmetry.decompose(made.withColumn("x", F.col("x") * F.when(F.col("copy") == 1, 2).otherwise(1)), name, most=1).rms > 0.5
+
+
+def test_free_copy(spark):
+    one = spark.createDataFrame([(0, 2.0, 1.0, 0.0)], "body long, x double, y double, z double")
+    made = symmetry.copies(one, symmetry.free_copy(spark, 0, symmetry.rotation((0, 0, 1), math.pi / 2), (0.0, 0.0, 5.0), (1.0, 1.0, 0.0)))
+    assert np.allclose([(r["x"], r["y"], r["z"]) for r in made.orderBy("copy").collect()], [(2, 1, 0), (1, 2, 5)])
+
+
 def test_incremental_equals_full(spark):
     old = cloud(spark, 80, 3)
     changes = old.where("body = 1").withColumn("x", F.col("x") + 5)
