@@ -1,7 +1,7 @@
 """Kernel transforms: from a distance histogram to intensity over q.
 
-Histograms and q axes are small whatever they were made from (thousands of bins, hundreds of q), so their product is
-formed with the histogram broadcast.
+A q axis is small whatever the data (hundreds of samples), so it is broadcast to the histogram, which stays dealt out
+however many categories it is kept by; sums are formed where the bins are.
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from pointmill.config import Q_AXIS, Q_RANGE, Axis
 from pointmill.operators.pairs import distance, weighted_axis
 
-#: Rows of a histogram that may be broadcast: bins times pairs of categories.
-MOST_ROWS = 2_000_000
-
 
 def q_axis(spark: SparkSession, axis: Axis = Q_AXIS, low: float = Q_RANGE[0], high: float = Q_RANGE[1]) -> DataFrame:
     """q of the samples of the axis in [low, high)."""
@@ -42,7 +39,7 @@ def transform(histogram: DataFrame, q: DataFrame, keys: list[str] | None = None,
     """q, [keys,] intensity = sum of value * sinc(q d), d being each bin's mean distance."""
     keys = keys or []
     placed = weighted_axis(histogram).where("value <> 0").select(*keys, "value", "d")
-    joined = q.join(F.broadcast(placed))  # bins of a histogram: bounded by its axis
+    joined = placed.join(F.broadcast(q))
     term = F.col("value") * sinc(F.col("q") * F.col("d"))
     out = joined.groupBy("q", *keys).agg(F.sum(term).alias("intensity"))
     return out.withColumn("intensity", F.col("intensity") * envelope(F.col("q"))) if enveloped else out

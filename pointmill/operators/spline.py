@@ -127,9 +127,12 @@ def find_minima(df: DataFrame, min_spacing: int = 1, min_prominence: float = 0.0
         prominence = np.where(np.isfinite(prominence), prominence, np.nanmax(np.append(top, y)) - y) / max(pdf["span"].iloc[0], 1e-300)
         keep = np.flatnonzero(prominence >= min_prominence)
         chosen: list[int] = []
-        for k in keep[np.argsort(y[keep], kind="stable")]:
-            if all(abs(int(pdf["i"][k]) - int(pdf["i"][c])) >= min_spacing for c in chosen) if min_spacing > 1 else True:
-                chosen.append(int(k))
+        place, step, taken = pdf["i"].to_numpy(), max(1, min_spacing), {}  # a stretch as long as the spacing has one at most
+        for k in keep[np.argsort(y[keep], kind="stable")].tolist():
+            at = int(place[k])
+            if all(abs(at - taken[b]) >= min_spacing for b in (at // step - 1, at // step, at // step + 1) if b in taken):
+                taken[at // step] = at
+                chosen.append(k)
         out = pdf.loc[sorted(chosen), ["set_id", "i", "x", "y"]].copy()
         out["prominence"] = prominence[sorted(chosen)]
         return out
