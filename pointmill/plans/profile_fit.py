@@ -36,7 +36,7 @@ def simulate(points: DataFrame, n: int) -> DataFrame:
 
 def fit(points: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parameters with chi2 and dof, curve with model, y_fit and residual) of data = a model + b."""
-    joined = splice(as_curve(profile(points)), data)
+    joined = splice(as_curve(profile(points).persist()), data)  # few rows, read more than once
     line = regression(joined, ["set_id"], x="model")
     return line.join(chi2(joined, line, ["set_id"], x="model"), "set_id"), residuals(joined, line, ["set_id"], x="model")
 
