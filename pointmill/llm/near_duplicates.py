@@ -311,32 +311,41 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return grouped_runs(rows, ["t1", "t2"], verify, "cid long, links long, linked_docs long, root long")
 
 
-def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, class_id (smallest doc_id of its equal texts), copies (documents in that class), n_links (other
-    documents of at least the threshold), group_id (smallest doc_id of the group that links connect), one row a document."""
+def _grouped(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of jaccard_join, and head_hash: the text_hash of the one document that stands for the row's group, which
+    has the smallest doc_id (null after all others) and, of these, the smallest text_hash. Its doc_id is group_id, which
+    does not tell groups apart where ids are null or used again; (group_id, head_hash) does."""
     signed = table_in_shared_folder(_signed(documents), "signatures")
     classes = cut(signed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()))
     candidates = _candidates(classes, threshold)
     links = cut(_verified(candidates, _sets(documents, classes, candidates.select(F.explode(F.array_distinct(F.concat("one", "two"))).alias("cid")).distinct()), threshold))
     counts = links.groupBy(F.col("cid").alias("__cid")).agg(F.sum("linked_docs").alias("linked_docs"))
     labels = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    named = classes.select("cid", "k1", "k2", "n", F.col("first.doc_id").alias("class_id")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    smallest = named.where(F.col("label") != F.col("cid")).select("label", "class_id").union(named.where(F.col("label") == F.col("cid")).select("label", "class_id")).groupBy(F.col("label").alias("__label")).agg(F.min("class_id").alias("group_id"))
-    full = cut(named.join(smallest, F.col("label") == F.col("__label")).join(counts, F.col("cid") == F.col("__cid"), "left").select("k1", "k2", "n", "class_id", "group_id", F.coalesce("linked_docs", F.lit(0)).alias("linked_docs")))
-    return signed.select("doc_id", "text_hash", "k1", "k2").join(full, ["k1", "k2"]).select("doc_id", "text_hash", "class_id", F.col("n").alias("copies"), (F.col("n") - 1 + F.col("linked_docs")).alias("n_links"), "group_id")
+    named = classes.select("cid", "k1", "k2", "n", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("class_hash")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    first = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class_hash")
+    smallest = named.groupBy(F.col("label").alias("__label")).agg(F.min(first).alias("head")).select("__label", F.col("head.class_id").alias("group_id"), F.col("head.class_hash").alias("head_hash"))
+    full = cut(named.join(smallest, F.col("label") == F.col("__label")).join(counts, F.col("cid") == F.col("__cid"), "left").select("k1", "k2", "n", "class_id", "group_id", "head_hash", F.coalesce("linked_docs", F.lit(0)).alias("linked_docs")))
+    return signed.select("doc_id", "text_hash", "k1", "k2").join(full, ["k1", "k2"]).select("doc_id", "text_hash", "class_id", F.col("n").alias("copies"), (F.col("n") - 1 + F.col("linked_docs")).alias("n_links"), "group_id", "head_hash")
+
+
+def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, class_id (smallest doc_id of its equal texts), copies (documents in that class), n_links (other
+    documents of at least the threshold), group_id (smallest doc_id of the group that links connect), one row a document."""
+    return _grouped(documents, threshold).drop("head_hash")
 
 
 def one_of_each_group(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents less all but one of each group of near duplicates: the one of the smallest doc_id stays."""
-    found = cut(jaccard_join(documents, threshold))
-    goes = found.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id", "text_hash").distinct()
+    """The documents less all but one of each group of near duplicates: the one of the smallest doc_id stays. Groups are
+    told apart by their documents, not by ids: a null id and an id of several texts are ids like others."""
+    found = cut(_grouped(documents, threshold))
+    head = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("head_hash"))
+    goes = found.where(~head).select("doc_id", "text_hash").distinct()
     if goes.count() <= BROADCAST_IDS:
         goes = F.broadcast(goes)
     columns = documents.columns
     tagged = documents.withColumn("__hash", F.xxhash64("text"))
     kept = tagged.join(goes, tagged["doc_id"].eqNullSafe(goes["doc_id"]) & (tagged["__hash"] == goes["text_hash"]), "left_anti")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("group_id")))
-    if stays.count() > stays.select("doc_id").distinct().count():  # repeated rows, or texts with one id: one row of each group
-        heads = stays.groupBy("group_id").agg(F.min("text_hash").alias("__one"))
-        kept = kept.join(heads, kept["doc_id"].eqNullSafe(heads["group_id"]) & (kept["__hash"] == heads["__one"]), "left_semi").dropDuplicates(["doc_id", "__hash"])
+    stays = found.where(head).select("doc_id", "text_hash")
+    if stays.count() > stays.distinct().count():  # repeated rows: one of each stays
+        kept = kept.dropDuplicates(["doc_id", "__hash"])
     return kept.select(*columns)

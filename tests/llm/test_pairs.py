@@ -73,6 +73,19 @@ def test_jaccard_join_odd_rows(spark, odd, empty):
     assert near_duplicates.jaccard_join(empty).count() == 0 and near_duplicates.one_of_each_group(empty).count() == 0
 
 
+def test_groups_without_ids_of_their_own(spark):
+    texts = [prose(900 + i, 80) for i in range(6)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (None, edited(texts[1], 1, 0))]
+    rows += [(7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[4]), (3, texts[2])]
+    kept = near_duplicates.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == 6
+    second = [t for _, t in got if t in (texts[1], rows[5][1])]
+    assert len(second) == 1
+    want = [(None, texts[0]), (None, second[0]), (3, texts[2]), (None, texts[3]), (7, texts[4]), (7, texts[5])]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_posterior_bounds():
     assert near_duplicates.least_matches() == sorted(near_duplicates.least_matches())
     r = np.random.default_rng(0)
