@@ -1,4 +1,5 @@
 import corpus_pipeline
+from tests.llm.conftest import SCHEMA, prose
 from tests.llm.test_pairs import brute_links
 
 
@@ -34,3 +35,15 @@ def test_odd_rows_pass_every_stage(spark, sf_dir, odd, empty):
     for docs in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs.withColumn("score", docs["doc_id"]), sf_dir).count() >= 0
+
+
+def test_boilerplate_goes_from_every_host(spark, sf_dir):
+    rows = []
+    for share in (9, 10, 11, 13):
+        for i in range(100):
+            text = prose(100 * share + i, 20) + ("\nall rights reserved" if i < share else "") + ("\nsee above" if i >= 96 else "")
+            rows.append((len(rows), text, "en", f"host{share}", len(text)))
+    out = corpus_pipeline.lines(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert len(out) == 400 and not any("all rights reserved" in r["text"] for r in out)
+    assert sum("see above" in r["text"] for r in out) == 16
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
