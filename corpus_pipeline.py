@@ -28,6 +28,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A site's boilerplate stands on about a tenth of its pages, by chance on 8 to 14 %, and other lines on under 5 %.
 BOILERPLATE_RATIO = 0.06
+#: Two pages with a line may be copies of one document, which the next stage joins.
+BOILERPLATE_PAGES = 3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup(docs, max_ratio=BOILERPLATE_RATIO)
+    out = line_dedup(docs, max_ratio=BOILERPLATE_RATIO, min_pages=BOILERPLATE_PAGES)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

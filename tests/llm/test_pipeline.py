@@ -47,3 +47,14 @@ def test_boilerplate_goes_from_every_host(spark, sf_dir):
     assert len(out) == 400 and not any("all rights reserved" in r["text"] for r in out)
     assert sum("see above" in r["text"] for r in out) == 16
     assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_boilerplate_goes_from_small_hosts(spark, sf_dir):
+    rows = []
+    for pages in (2, 3, 4, 20):
+        for i in range(pages):
+            text = prose(100 * pages + i, 20) + ("\nall rights reserved" if i < 4 else "")
+            rows.append((len(rows), text, "en", f"host{pages}", len(text)))
+    out = corpus_pipeline.lines(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert len(out) == 29 and all(r["text"].startswith(rows[r["doc_id"]][1].split("\n")[0]) for r in out)
+    assert [r["source"] for r in out if "all rights reserved" in r["text"]] == ["host2", "host2"]
