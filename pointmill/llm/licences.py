@@ -8,6 +8,8 @@ phrases stands. The method:
    (word, position); each hit votes for a template at a relative position (place in the text less place in the template).
 3. A template with enough votes at one relative position is a candidate; it is accepted if each of its mandatory key
    phrases stands in the text.
+4. Where other words of a text leave a template without enough votes though its key phrases stand, or where templates of
+   several labels stand, a template is judged by all its own words at all their places, so that no notice crowds out another.
 
 Null and empty texts have no words, no places, no labels and score 0. Repeated rows get equal results, and count each in
 the frequencies. An empty table gives an empty result.
@@ -99,21 +101,24 @@ def _longest_run(values: Column) -> Column:
 def scan(documents: DataFrame, text: str = "text", lookups: int = LOOKUPS, least_votes: int = LEAST_VOTES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each document.
 
-    score: the greatest share of its looked-up words that an accepted template has at one relative position; at least 1/2
-    where a base phrase stands."""
+    score: the greatest share of its looked-up words that an accepted template has at one relative position (of its own
+    words in the text, where it is judged by these); at least 1/2 where a base phrase stands."""
     idf = frequencies(documents, text)
     weights = F.create_map(*[x for w, v in idf.items() for x in (F.lit(w), F.lit(v))])
 
+    def placed(w: Column, of: list[str]) -> Column:
+        """(word, place) of the text's words that are among the given ones."""
+        return F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda p: p["w"].isin(of))
+
     def rare(w: Column) -> Column:
         """(word, place) of the text's licence words of highest IDF."""
-        placed = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda p: p["w"].isin(VOCABULARY))
 
         def top(p: Column) -> Column:
             known = F.array_distinct(F.transform(p, lambda x: x["w"]))
             best = F.slice(F.sort_array(F.transform(known, lambda x: F.struct((-weights[x]).alias("v"), x.alias("w")))), 1, lookups)
             return let(F.transform(best, lambda x: x["w"]), lambda b: F.filter(p, lambda x: F.array_contains(b, x["w"])))
 
-        return let(placed, top)
+        return let(placed(w, VOCABULARY), top)
 
     def votes(p: Column, template: str) -> Column:
         postings: dict[str, list[int]] = {}
@@ -122,22 +127,35 @@ def scan(documents: DataFrame, text: str = "text", lookups: int = LOOKUPS, least
         index = F.create_map(*[x for w, at in postings.items() for x in (F.lit(w), F.array(*map(F.lit, at)))])
         return _longest_run(F.flatten(F.transform(p, lambda x: F.transform(F.coalesce(index[x["w"]], F.array().cast("array<int>")), lambda at: x["i"] - at))))
 
-    def found(p: Column, joined: Column) -> Column:
+    def stands(joined: Column, phrases: list[str]) -> Column:
+        both = F.lit(True)
+        for phrase in phrases:
+            both = both & joined.contains(f" {phrase} ")
+        return both
+
+    def found(w: Column, p: Column, joined: Column) -> Column:
         """(label, share of the lookups) of each accepted template."""
         looked_up = F.size(F.array_distinct(F.transform(p, lambda x: x["w"])))
-        each = []
 
-        def accepted(n: Column, label: str, need: int) -> Column:
-            return let(n, lambda v: F.when(v >= need, F.struct(F.lit(label).alias("label"), (v / looked_up).alias("share"))))
+        def several(labels: Column) -> Column:
+            return F.size(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))) > 1
+
+        def own(label: str, template: str, need: int) -> Column:
+            def judge(q: Column) -> Column:
+                n = F.size(F.array_distinct(F.transform(q, lambda x: x["w"])))
+                return let(votes(q, template), lambda v: F.when(v >= need, F.struct(F.lit(label).alias("label"), (v / n).alias("share"))))
 
-        for label, template, phrases in TEMPLATES:
-            stands = F.lit(True)
-            for phrase in phrases:
-                stands = stands & joined.contains(f" {phrase} ")
+            return let(placed(w, sorted(set(template.split()))), judge)
+
+        def accepted(many: Column, label: str, template: str) -> Column:
             need = min(least_votes, len(template.split()))
+            return let(votes(p, template), lambda v: F.when((v >= need) & ~many, F.struct(F.lit(label).alias("label"), (v / looked_up).alias("share"))).otherwise(own(label, template, need)))
+
+        def each(many: Column) -> Column:
             # the phrases are looked for first, as the cheaper test; both must hold
-            each.append(F.when(stands, accepted(votes(p, template), label, need)))
-        return F.filter(F.array(*each), lambda x: x.isNotNull())
+            return F.filter(F.array(*[F.when(stands(joined, phrases), accepted(many, label, template)) for label, template, phrases in TEMPLATES]), lambda x: x.isNotNull())
+
+        return let(several(F.array(*[F.when(stands(joined, phrases), F.lit(label)) for label, _, phrases in TEMPLATES])), each)
 
     anchor = F.coalesce(F.col(text), F.lit("")).rlike(ANCHOR)
     cheap = documents.select("doc_id", words_of(F.col(text)).alias("__words"), anchor.alias("__anchor"))
@@ -150,7 +168,7 @@ def scan(documents: DataFrame, text: str = "text", lookups: int = LOOKUPS, least
             lambda j: F.struct(
                 F.size(w).cast("long").alias("n_words"),
                 F.array(*[F.struct(F.lit(label).alias("label"), _phrase_places(w, j, phrase).alias("at")) for phrase, label in BASE.items()]).alias("base"),
-                F.when(anchored, let(rare(w), lambda p: F.when(F.size(p) > 0, found(p, j)).otherwise(nothing))).otherwise(nothing).alias("more"),
+                F.when(anchored, let(rare(w), lambda p: F.when(F.size(p) > 0, found(w, p, j)).otherwise(nothing))).otherwise(nothing).alias("more"),
             ),
         )
 

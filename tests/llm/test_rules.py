@@ -110,3 +110,15 @@ def test_licences_match_brute_force(spark, odd, tables):
     assert by[600007] == "cc-by-nc"  # any character that no word has may stand between
     assert len(found) == docs.count()
     assert licences.scan(docs.where("false")).count() == 0
+
+
+def test_no_notice_crowds_out_another(spark, odd):
+    mit, bsd = (next(t for k, t, p in licences.TEMPLATES if k == label and len(t.split()) > 10) for label in ("mit", "bsd"))
+    nc, words = "Licensed under CC BY-NC 4.0.", "any associated binary charge conditions copy deal documentation"
+    made = [(1, f"{mit}\n{nc}\n{bsd}"), (2, f"{bsd} and {nc} {mit}"), (3, f"{words} {nc}"), (4, f"{words} x mit license"), (5, nc), (6, f"{mit} {bsd}")]
+    # the words of the shortest notice are frequent here, so that the rarest of a file are those of the others
+    common = [(100 + i, f"licensed under cc by nc 4 0 {i}", "en", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in made] + common, odd.schema)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(docs).collect()}
+    assert [got[d][0] for d in range(1, 7)] == ["bsd,cc-by-nc,mit", "bsd,cc-by-nc,mit", "cc-by-nc", "mit", "cc-by-nc", "bsd,mit"]
+    assert all(got[d][1] == 1 for d in (1, 2, 5, 6)) and 0 < got[3][1] <= 1 and 0.5 <= got[4][1] <= 1
