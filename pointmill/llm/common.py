@@ -15,9 +15,13 @@ ROWS_PER_BATCH = 1000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); set to one of our own only where it is unset, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, a folder of our own on a local master, as
+    in tests; on a cluster, whose executors would not see that folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pointmill-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -38,19 +42,27 @@ def table_in_shared_folder(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are kept small, as texts can be long."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """mapInArrow with a function of one batch, called on slices of few rows.
+
+    Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), so no session setting is touched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
+                if (out := fn(batch.slice(at, ROWS_PER_BATCH))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def training_share(doc_id: Column) -> Column:
     """True for rows that may be learnt from: crc32(doc_id as text) mod 5 isn't 0."""
     return F.crc32(doc_id.cast("string")) % 5 != 0

@@ -6,16 +6,24 @@ programme over the page's tree then labels whole subtrees as text or not, or as
 contradicts the ones around it. The trees are fitted in numpy on pages made by rule here, whose blocks are known: layouts,
 names of classes, missing end tags and the like vary at random. No column but the html is read.
 
+Scripts, styles, frames, drawings and the controls that hold choices or entries are never text; formulas, buttons and the
+fallback content of objects are inline text and go as the block around them goes. A head ends at its end tag or, where that
+is left out, at the first element or text that can't stand in it.
+
 A null or empty page, or one without main text, gives the empty text. Malformed markup is read as far as it goes: unclosed
-elements end with their parents, unmatched end tags are passed over. Repeated rows give equal texts; an empty table gives
-an empty result.
+elements end with their parents, unmatched end tags are passed over. Very long and deeply nested pages are read whole, in
+time that grows with their length. Blocks of equal features are judged alike (ties go to "not text"). Repeated rows give
+equal texts; other columns of the table are never read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +32,21 @@ from pyspark.sql import DataFrame
 from pointmill.llm.common import arrow_map
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop|data-truth)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_SKIPPED = frozenset(("script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "textarea", "select", "button", "math"))
+_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: The trainer's mark of a block's kind; read on its own pages only.
+_TRUTH = re.compile(r'data-truth="([01])"')
+_SKIPPED = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title"))
 _RAW = frozenset(("script", "style", "textarea", "iframe", "noscript", "template", "title"))
+_IN_HEAD = frozenset(("head", "title", "meta", "link", "base", "basefont", "script", "style", "noscript", "template"))
+_CLOSE = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in _SKIPPED}
 _VOID = frozenset(("br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"))
-_INLINE = frozenset(("a", "b", "i", "em", "strong", "span", "u", "s", "small", "big", "sub", "sup", "code", "kbd", "samp", "var", "abbr", "cite", "q", "mark", "time", "font", "tt", "del", "ins", "label", "dfn", "bdi", "bdo", "data", "picture", "acronym", "strike", "nobr"))
+_INLINE = frozenset(("a", "b", "i", "em", "strong", "span", "u", "s", "small", "big", "sub", "sup", "code", "kbd", "samp", "var", "abbr", "cite", "q", "mark", "time", "font", "tt", "del", "ins", "label", "dfn", "bdi", "bdo", "data", "picture", "acronym", "strike", "nobr", "math", "button", "object", "canvas", "ruby", "rt", "rp", "output", *"semantics annotation mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot munder mover munderover mtable mtr mtd mstyle mspace mfenced mpadded mphantom".split()))
 #: An open element of these is ended by a start tag of the others.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"tr", "thead"}}
 _SCOPE = frozenset(("ul", "ol", "dl", "table", "div", "section", "article", "body", "html", "main", "aside", "nav", "blockquote"))
 
+#: Pages made for training.
+MADE_PAGES = 2000
 TAGS = ("article", "main", "section", "div", "p", "heading", "list", "item", "table", "cell", "nav", "aside", "header", "footer", "form", "quote", "pre", "figure", "other")
 _TAG = {t: TAGS.index(t) for t in ("article", "main", "section", "div", "p", "nav", "aside", "header", "footer", "form", "pre")}
 _TAG |= {t: TAGS.index(k) for k, names in {"heading": "h1 h2 h3 h4 h5 h6", "list": "ul ol dl menu", "item": "li dt dd", "table": "table tbody thead tr", "cell": "td th", "quote": "blockquote", "figure": "figure figcaption", "form": "fieldset"}.items() for t in names.split()}
@@ -69,9 +83,11 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(page: str) -> Page:
+def parse(page: str, truth_marks: bool = False) -> Page:
     out = Page()
     children: list[int] = []
+    open_names: Counter[str] = Counter()
+    in_head = False
     stack: list[tuple[str, int]] = []  # open elements and the block that each belongs to
     parts: list[str] = []
     links = 0
@@ -84,11 +100,11 @@ def parse(page: str) -> Page:
         out.depth.append(out.depth[current] + 1 if current >= 0 else 0)
         bits, truth = 0, -1
         if attributes:
+            if truth_marks and (mark := _TRUTH.search(attributes)):
+                truth = int(mark[1])
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
-                if key == "data-truth":
-                    truth = int(value)
-                elif key == "style":
+                if key == "style":
                     bits |= _HIDDEN * (re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
                 elif key == "hidden" or key == "aria-hidden":
                     bits |= _HIDDEN * (key == "hidden" or value == "true")
@@ -120,6 +136,7 @@ def parse(page: str) -> Page:
         flush()
         while len(stack) > upto:
             name, _ = stack.pop()
+            open_names[name] -= 1
             if name == "a":
                 links -= 1
         current = stack[-1][1] if stack else 0
@@ -129,7 +146,9 @@ def parse(page: str) -> Page:
     while at < size:
         m = _TOKEN.search(page, at)
         chunk = page[at : m.start()] if m else page[at:]
-        if chunk:
+        if chunk and in_head and chunk.strip():
+            in_head = False
+        if chunk and not in_head:
             if "&" in chunk:
                 chunk = entities.unescape(chunk)
             parts.append(chunk)
@@ -143,21 +162,31 @@ def parse(page: str) -> Page:
             continue
         name = name.lower()
         if m[1]:
-            if name in _VOID:
+            if name == "head":
+                in_head = False
+            if name in _VOID or not open_names[name]:
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name in _INLINE and all(x[0] in _INLINE for x in stack[k:]):
+                    if name not in _INLINE:
+                        end(k)
+                    else:
                         for x in stack[k:]:
                             links -= x[0] == "a"
+                            open_names[x[0]] -= 1
                         del stack[k:]
-                    elif name not in _INLINE:
-                        end(k)
                     break
+                if stack[k][0] not in _INLINE and name in _INLINE:
+                    break  # an inline end tag doesn't end a block
             continue
-        if name in _SKIPPED or name in _RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(f"</{name}", re.I).search(page, at)
+        if name == "head":
+            in_head = len(out.tag) == 1
+            continue
+        if in_head and name not in _IN_HEAD:
+            in_head = False
+        if name in _SKIPPED:
+            if not m[3].endswith("/") or name in _RAW:
+                close = _CLOSE[name].search(page, at)
                 if close:
                     stop = page.find(">", close.end())
                     at = size if stop < 0 else stop + 1
@@ -172,24 +201,28 @@ def parse(page: str) -> Page:
         if name in _INLINE:
             if not m[3].endswith("/"):
                 stack.append((name, current))
+                open_names[name] += 1
                 if name == "a":
                     links += 1
                     out.own[current][4] += 1
             continue
         if name in ("html", "body") and len(out.tag) > 1 and name == "html":
             continue
-        for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph; items and cells end their like
-            open_name = stack[k][0]
-            if open_name == "p" or name in _ENDS and open_name in _ENDS[name]:
-                end(k)
-                break
-            if open_name in _SCOPE:
-                break
+        ends = _ENDS.get(name, ())
+        if open_names["p"] or any(open_names[x] for x in ends):
+            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph; items and cells end their like
+                open_name = stack[k][0]
+                if open_name == "p" or open_name in ends:
+                    end(k)
+                    break
+                if open_name in _SCOPE:
+                    break
         flush()
         if m[3].endswith("/"):
             continue
         current = block(name, m[3])
         stack.append((name, current))
+        open_names[name] += 1
     flush()
     return out
 
@@ -236,7 +269,8 @@ def node_features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     own = np.concatenate([p.own for p in pages]).astype(np.float64)
     total = np.column_stack([own, np.ones(len(tag)), own[:, 0] > 0])
     enclosing, within = np.zeros(len(tag), np.int64), np.zeros(len(tag), np.int64)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.cumsum(np.bincount(depth))[:-1])
     for at in levels[:0:-1]:
         np.add.at(total, parent[at], total[at])
     for at in levels[1:]:
@@ -295,15 +329,29 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, smooth: float = 2.0) -> Trees:
+def _sums_by_node(node: np.ndarray, n: int, g: np.ndarray, h: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For features of two values: the sums of g and h over each node's rows of the smaller value, as [feature, node]."""
+    rows, spread = np.arange(len(node)), np.zeros((len(node), 2 * n), np.float32)
+    spread[rows, node], spread[rows, n + node] = g, h
+    both = (flags @ spread).astype(np.float64)
+    return both[:, :n], both[:, n:]
+
+
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.25, bins: int = 24, smooth: float = 2.0) -> Trees:
     """Newton boosting of the log loss; splits are sought among quantiles."""
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    cuts = [c if len(c) > 1 else np.unique(np.append(c, (x[:, j].min() + x[:, j].max()) / 2)) for j, c in enumerate(cuts)]
-    coded = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)])
+    cuts = []
+    for j in range(x.shape[1]):
+        values = np.unique(x[:, j])
+        values = values if len(values) <= bins else np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[:-1], method="lower"))
+        cuts.append(values[values < x[:, j].max()] if len(values) > 1 else values)
+    coded = [np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)]
     share = float((weight * y).sum() / weight.sum())
     base = float(np.log(share / (1 - share)))
     score = np.full(len(y), base)
     inner, width = 2**depth - 1, bins + 2
+    two = np.array([j for j, c in enumerate(cuts) if len(c) == 1], np.int64)
+    several = [j for j, c in enumerate(cuts) if len(c) > 1]
+    flags = np.array([coded[j] == 0 for j in two], np.float32).reshape(len(two), len(y))
     features, cutoffs, values = [], [], []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
@@ -312,19 +360,28 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, de
         f, c = np.zeros(inner, np.int64), np.full(inner, np.inf, np.float32)
         for level in range(depth):
             first, n = 2**level - 1, 2**level
-            key = (at - first)[:, None] * width + coded
+            node = at - first
+            all_g, all_h = np.bincount(node, weights=g, minlength=n), np.bincount(node, weights=h, minlength=n)
             best = np.full(n, 1e-6)
-            for j in range(x.shape[1]):
-                sg = np.bincount(key[:, j], weights=g, minlength=n * width).reshape(n, width).cumsum(axis=1)
-                sh = np.bincount(key[:, j], weights=h, minlength=n * width).reshape(n, width).cumsum(axis=1)
-                k = len(cuts[j])
-                left_g, left_h, all_g, all_h = sg[:, :k], sh[:, :k], sg[:, -1:], sh[:, -1:]
-                gain = left_g**2 / (left_h + smooth) + (all_g - left_g) ** 2 / (all_h - left_h + smooth) - all_g**2 / (all_h + smooth)
+
+            def consider(j: int, left_g: np.ndarray, left_h: np.ndarray, best=best, first=first, n=n, all_g=all_g, all_h=all_h, f=f, c=c) -> None:
+                """Takes feature j where one of its cuts, by the sums left of them as [node, cut], gains most so far."""
+                gain = left_g**2 / (left_h + smooth) + (all_g[:, None] - left_g) ** 2 / (all_h[:, None] - left_h + smooth) - (all_g**2 / (all_h + smooth))[:, None]
                 top = gain.argmax(axis=1)
                 better = gain[np.arange(n), top] > best
                 best[better] = gain[np.arange(n), top][better]
                 f[first : first + n][better] = j
                 c[first : first + n][better] = cuts[j][top[better]]
+
+            sums_g, sums_h = _sums_by_node(node, n, g, h, flags)
+            for k, j in enumerate(two):
+                consider(j, sums_g[k][:, None], sums_h[k][:, None])
+            base_key = node * width
+            for j in several:
+                key = base_key + coded[j]
+                sg = np.bincount(key, weights=g, minlength=n * width).reshape(n, width).cumsum(axis=1)
+                sh = np.bincount(key, weights=h, minlength=n * width).reshape(n, width).cumsum(axis=1)
+                consider(j, sg[:, : len(cuts[j])], sh[:, : len(cuts[j])])
             at = 2 * at + 1 + (x[np.arange(len(y)), f[at]] > c[at])
         leaf = at - inner
         v = rate * np.bincount(leaf, weights=g, minlength=inner + 1) / (np.bincount(leaf, weights=h, minlength=inner + 1) + smooth)
@@ -339,15 +396,15 @@ class _Maker:
     """Pages whose blocks are known, for training: every layout, name and slip is drawn at random."""
 
     def __init__(self, seed: int):
-        self.r = np.random.default_rng(seed)
+        self.r = random.Random(seed)
         syllables = "ta ri no se lo mi ka du en ar ul to pe va shi gre mon tel bra co ne fi od il".split()
-        self.words = ["".join(self.r.choice(syllables, self.r.integers(1, 5))) for _ in range(600)]
+        self.words = ["".join(self.r.choices(syllables, k=self.r.randrange(1, 5))) for _ in range(600)]
 
     def chance(self, p: float) -> bool:
         return self.r.random() < p
 
     def pick(self, *options: str) -> str:
-        return options[self.r.integers(len(options))]
+        return options[self.r.randrange(len(options))]
 
     def name(self, group: str) -> str:
         """An attribute that names the block's kind, or nothing that tells it."""
@@ -359,10 +416,10 @@ class _Maker:
         return f' {self.pick("class", "class", "id")}="{word}"'
 
     def words_of(self, lo: int, hi: int) -> str:
-        return " ".join(self.pick(*self.words) for _ in range(self.r.integers(lo, hi)))
+        return " ".join(self.r.choices(self.words, k=self.r.randrange(lo, hi)))
 
     def prose(self, lo: int = 1, hi: int = 7) -> str:
-        return " ".join(self.words_of(2, 22).capitalize() + self.pick(".", ".", ".", "?", "!", ", " + self.words_of(1, 5) + ".") for _ in range(self.r.integers(lo, hi)))
+        return " ".join(self.words_of(2, 22).capitalize() + self.pick(".", ".", ".", "?", "!", ", " + self.words_of(1, 5) + ".") for _ in range(self.r.randrange(lo, hi)))
 
     def paragraph(self, truth: int, lo: int = 1, hi: int = 7) -> str:
         text = self.prose(lo, hi)
@@ -370,11 +427,19 @@ class _Maker:
             text = self.pick("<b>", "<em>", "<b>") + text + self.pick("</b>", "</em>", "<br>")
         if self.chance(0.2):
             text += f' <a href="/x">{self.words_of(1, 4)}</a>.'
+        if self.chance(0.05):
+            text += self.pick(" <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.", " <button>save</button> it.", " <object>" + self.words_of(1, 6) + "</object>")
         return f'<p data-truth="{truth}">{text}' + ("</p>" if self.chance(0.85) else "")
 
+    def linked_list(self) -> str:
+        """Links that are part of the article: works cited, parts of a series."""
+        tag = self.pick("ul", "ol")
+        items = "".join(f'<li><a href="/{i}">{self.words_of(1, 9)}</a>{self.pick("", "", ", " + self.words_of(1, 6), ".")}' + self.pick("</li>", "</li>", "") for i in range(self.r.randrange(2, 8)))
+        return f'<{tag} data-truth="1">{items}</{tag}>'
+
     def links(self, group: str, tag: str, truth: int = 0) -> str:
         marked = self.chance(0.4)  # labels may end like sentences
-        items = "".join(f'<li><a href="/{i}">{self.words_of(1, 4)}{self.pick(".", ",", "") if marked else ""}</a></li>' for i in range(self.r.integers(1, 10)))
+        items = "".join(f'<li><a href="/{i}">{self.words_of(1, 4)}{self.pick(".", ",", "") if marked else ""}</a></li>' for i in range(self.r.randrange(1, 10)))
         inner = f"<ul>{items}</ul>" if self.chance(0.7) else items.replace("<li>", "<div>").replace("</li>", "</div>")
         return f'<{tag}{self.name(group)} data-truth="{truth}">{inner}</{tag}>'
 
@@ -383,43 +448,47 @@ class _Maker:
         if group in ("menu", "share") or group == "side" and self.chance(0.5):
             return self.links(group, tag)
         if group == "comment":
-            inner = "".join(f'<div{self.name("comment")}><p>{self.prose(1, 4)}</p><span>{self.words_of(1, 3)}</span></div>' for _ in range(self.r.integers(1, 6)))
+            inner = "".join(f'<div{self.name("comment")}><p>{self.prose(1, 4)}</p><span>{self.words_of(1, 3)}</span></div>' for _ in range(self.r.randrange(1, 6)))
             return f'<{tag} {self.pick("class", "id")}="{self.pick(*TOKENS["comment"].split())}" data-truth="0"><h3>{self.words_of(1, 3)}</h3>{inner}</{tag}>'
         if group == "form":
             return f'<{tag}{self.name("form")} data-truth="0"><label>{self.words_of(1, 4)}</label><input name="q"><p>{self.words_of(2, 9)}</p></{tag}>'
         if group == "foot":
-            return f'<{tag}{self.name("foot")} data-truth="0">{self.pick("&copy; ", "")}{self.words_of(2, 14)}.{self.pick("", f"<p>{self.prose(1, 2)}</p>")}</{tag}>'
+            return f'<{tag}{self.name("foot")} data-truth="0">{self.pick("&copy; ", "")}{self.words_of(2, 14)}.{self.pick("", f" {self.prose(1, 8)}", f"<p>{self.prose(1, 8)}</p>")}</{tag}>'
         if group == "head":
             return f'<{tag}{self.name("head")} data-truth="0"><a href="/">{self.words_of(1, 3)}</a>{self.pick("", f"<h1>{self.words_of(1, 4)}</h1>", f"<p>{self.words_of(3, 9)}</p>")}</{tag}>'
         if group == "side":
-            return f'<{tag}{self.name("side")} data-truth="0"><h3>{self.words_of(1, 4)}</h3><p>{self.prose(1, 3)}</p></{tag}>'
-        return f'<{tag}{self.name(group)} data-truth="0">{self.pick("", "<p>")}{self.prose(1, 3)}</{tag}>'
+            return f'<{tag}{self.name("side")} data-truth="0"><h3>{self.words_of(1, 4)}</h3><p>{self.prose(1, 5)}</p></{tag}>'
+        return f'<{tag}{self.name(group)} data-truth="0">{self.pick("", "<p>")}{self.prose(1, 5)}</{tag}>'
 
     def article(self) -> str:
         parts = []
-        if self.chance(0.85):
-            parts.append(f'<{(h := self.pick("h1", "h1", "h2"))} data-truth="1">{self.words_of(2, 12)}</{h}>')
+        if self.chance(0.8):
+            title = f'<{(h := self.pick("h1", "h1", "h2"))} data-truth="1">{self.words_of(1, 12)}</{h}>'
+            parts.append(title if self.chance(0.9) else f'<header data-truth="1">{title}</header>')
         if self.chance(0.15):
             parts.append(f'<div class="{self.pick("byline", "meta", "author", "share")}" data-truth="0">{self.words_of(2, 6)}</div>')
-        brief = self.chance(0.15)
+        brief = self.chance(0.2)
         if brief:
             parts.append(f'<p data-truth="1">{self.words_of(1, 9).capitalize()}{self.pick(".", "")}' + self.pick("</p>", ""))
-        for _ in range(0 if brief and self.chance(0.6) else self.r.integers(1, 14)):
-            u = self.r.random()
+        short = self.chance(0.25)
+        for _ in range(0 if brief and self.chance(0.6) else self.r.randrange(1, 4 if short else 14)):
+            u = self.r.random() * (0.72 if short and self.chance(0.7) else 1.0)
             if u < 0.2:
                 parts.append(f'<p data-truth="1">{self.words_of(1, 13).capitalize()}{self.pick(".", ".", "")}' + self.pick("</p>", "</p>", ""))
             elif u < 0.72:
                 parts.append(self.paragraph(1, 1, 9))
             elif u < 0.78:
                 parts.append(f'<{(h := self.pick("h2", "h3"))} data-truth="1">{self.words_of(1, 8)}</{h}>')
+            elif u < 0.805:
+                parts.append(self.linked_list())
             elif u < 0.83:
-                parts.append(f'<ul data-truth="1">{"".join(f"<li>{self.prose(1, 3)}" + self.pick("</li>", "") for _ in range(self.r.integers(2, 6)))}</ul>')
+                parts.append(f'<ul data-truth="1">{"".join(f"<li>{self.prose(1, 3)}" + self.pick("</li>", "") for _ in range(self.r.randrange(2, 6)))}</ul>')
             elif u < 0.87:
                 parts.append(f'<blockquote data-truth="1"><p>{self.prose(1, 4)}</p></blockquote>')
             elif u < 0.90:
                 parts.append(f'<pre data-truth="1">{self.words_of(4, 40)}</pre>')
             elif u < 0.93:
-                parts.append('<table data-truth="1">' + "".join("<tr>" + "".join(f"<td>{self.words_of(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(self.r.integers(2, 5))) + "</table>")
+                parts.append('<table data-truth="1">' + "".join("<tr>" + "".join(f"<td>{self.words_of(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(self.r.randrange(2, 5))) + "</table>")
             elif u < 0.96:
                 parts.append(f'<div data-truth="1">{self.prose(1, 6)}</div>')
             elif u < 0.98:
@@ -429,13 +498,21 @@ class _Maker:
         return "".join(parts)
 
     def page(self) -> str:
-        if self.chance(0.04):
-            return self.paragraph(1) * int(self.r.integers(1, 5))
+        if self.chance(0.06):
+            return "".join(self.paragraph(1) for _ in range(self.r.randrange(1, 5)))
+        if self.chance(0.16):  # hardly anything but the article
+            tag = self.pick("article", "article", "main", "div", "section", "body")
+            opening = "<!DOCTYPE html><html><head><title>x</title></head>" if self.chance(0.5) else ""
+            title = f'<{(h := self.pick("h1", "h1", "h2"))} data-truth="1">{self.words_of(1, 7).capitalize()}</{h}>' if self.chance(0.6) else ""
+            one = title + "".join(self.paragraph(1, 1, 5) for _ in range(self.r.randrange(1, 3))) if self.chance(0.6) else self.article()
+            frame = "".join(self.extra(k) for k in ("menu", "head", "ad") if self.chance(0.25))
+            last = self.extra("foot") if self.chance(0.4) else ""
+            return f'{opening}{frame}<{tag}{self.name("text") if self.chance(0.3) else ""} data-truth="1">{one}</{tag}>{last}'
         tag = self.pick("article", "article", "main", "div", "div", "section", "td")
         body = f'<{tag}{self.name("text")} data-truth="1">{self.article()}' + (f"</{tag}>" if self.chance(0.95) else "")
         if tag == "td":
             body = f"<table><tr>{self.links('menu', 'td')}{body}</tr></table>"
-        for _ in range(self.r.integers(0, 3)):
+        for _ in range(self.r.randrange(0, 3)):
             body = f'<div{self.name("text") if self.chance(0.3) else ""}>{body}</div>'
         before = "".join(self.extra(g) for g, p in (("notice", 0.25), ("head", 0.6), ("menu", 0.75), ("ad", 0.45), ("form", 0.15), ("side", 0.2)) if self.chance(p))
         after = "".join(self.extra(g) for g, p in (("share", 0.25), ("ad", 0.3), ("comment", 0.35), ("side", 0.45), ("form", 0.2), ("menu", 0.15), ("foot", 0.85)) if self.chance(p))
@@ -443,10 +520,11 @@ class _Maker:
         return page + ("</body></html>" if self.chance(0.9) else "")
 
 
-def fit(pages: int = 900, seed: int = 11) -> Trees:
+@lru_cache(maxsize=4)
+def fit(pages: int = MADE_PAGES, seed: int = 11) -> Trees:
     """Trees from so many made pages. A block counts as text if most of the characters in it are."""
     maker = _Maker(seed)
-    parsed = [parse(maker.page()) for _ in range(pages)]
+    parsed = [parse(maker.page(), truth_marks=True) for _ in range(pages)]
     x, offsets = node_features(parsed)
     y, weight = [], []
     for p in parsed:
@@ -503,7 +581,7 @@ def main_texts(pages: list[str], trees: Trees) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, html: str = "html", made_pages: int = 900) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", made_pages: int = MADE_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     trees = fit(made_pages)
 

@@ -142,9 +142,6 @@ def grouped_runs(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
                 starts = split(table)
                 yield from fn({n: table.column(n).combine_chunks() for n in names}, np.append(starts, len(table)))
 
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return own.mapInArrow(run, schema)
 
 
