@@ -4,10 +4,11 @@ import re
 from collections import Counter
 from math import comb
 
+import pytest
 from pyspark.sql import functions as F
 
 from pointmill.llm import licences, rules
-from tests.llm.conftest import prose
+from tests.llm.conftest import SCHEMA, prose
 from tests.oracle import connect, same
 
 
@@ -46,17 +47,102 @@ def test_binomial_tail(spark):
         assert abs(r["p"] - want) < 1e-9
 
 
-def test_certified_cutoffs_reject_junk_not_good(spark):
-    good = [(i, prose(i, 70), "en", "s", 0) for i in range(1500)]
-    bad = [(2000 + i, " ".join(w + "$$" for w in prose(i, 70).split()), "en", "s", 0) for i in range(60)]
-    few = [(5000, " ".join(w + "$$" for w in prose(7, 70).split()), "de", "s", 0)]
-    docs = spark.createDataFrame(good + bad + few, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"stratum": F.lit("clash"), "n_words": F.lit(-1)})
-    labels = spark.createDataFrame([(r[0], int(r[0] < 2000), 0) for r in good + bad], "doc_id long, quality int, toxic int")
-    out = {r["doc_id"]: r["kept"] for r in rules.judge(docs, labels, rate=0.06).collect()}
-    assert all(out[i] for i in range(1500)) and not any(out[2000 + i] for i in range(60))
-    assert out[5000]  # nothing is certified in a stratum without labels
-    tight = rules.cutoffs(rules.measures(docs), labels, rate=1e-6)
-    assert tight.count() == 0
+def certified_by_brute_force(rows, labels, rate=rules.RATE, level=rules.LEVEL):
+    """stratum, rule -> certified cutoffs, by plain Python: fixed sequences by rule, Holm over rules and strata."""
+    values = {r["text_key"]: (r["stratum"], {m: (r[over] / r[under] if r[under] else 0.0) for m, (over, under, _) in rules.RULES.items()}) for r in rows if r["n_words"] >= 50}
+    quality = {}
+    for r in rows:
+        if r["doc_id"] in labels and r["text_key"] in values:
+            quality[r["text_key"]] = max(quality.get(r["text_key"], 0), labels[r["doc_id"]])
+    share, p = rate / len(rules.RULES), {}
+    for stratum in {s for k, (s, _) in values.items() if k in quality}:
+        good = [v for k, (s, v) in values.items() if s == stratum and quality.get(k) == 1]
+        for rule, (_, _, grid) in rules.RULES.items():
+            p[stratum, rule] = {}
+            for c in grid:
+                k = sum(v[rule] > c for v in good)
+                p[stratum, rule][c] = sum(comb(len(good), i) * share**i * (1 - share) ** (len(good) - i) for i in range(k + 1))
+    open_families, changed = dict(p), True
+    while changed and open_families:
+        changed = False
+        for f, own in sorted(open_families.items(), key=lambda x: max(x[1].values())):
+            if max(own.values()) <= level / len(open_families):
+                del open_families[f]
+                changed = True
+                break
+    bound = level / max(1, len(open_families))
+    out = {}
+    for f, own in p.items():
+        for c in sorted(own, reverse=True):  # from the laxest on, until one fails
+            if own[c] > bound:
+                break
+            out.setdefault(f, set()).add(c)
+    return out
+
+
+def junk(seed, n, kind):
+    words = prose(seed, n).split()
+    if kind == "symbols":
+        return " ".join(w + "$$" for w in words)
+    if kind == "capitals":
+        return " ".join(words).upper()
+    return " ".join(w + "!" for w in words)
+
+
+@pytest.fixture(scope="module")
+def holdout(spark):
+    """Good and bad documents of two languages, copies among them; one language has too few for a certificate."""
+    rows, labels = [], []
+    for lang, good, bad in (("en", 900, 90), ("de", 760, 30), ("fr", 90, 20)):
+        for i in range(good):
+            rows.append((len(rows), prose(7919 * len(rows), 70) + (" $$ ## $$ %% $$ ##" if i < 2 else ""), lang))
+            labels.append((rows[-1][0], 1, 0))
+        for i in range(bad):
+            rows.append((len(rows), junk(31 * len(rows), 70, ("symbols", "capitals", "shouts")[i % 3]), lang))
+            labels.append((rows[-1][0], 0, 0))
+        rows += [(10_000 + len(rows) + i, rows[-1][1], lang) for i in range(400)]  # copies of one bad text, unlabelled
+        labels += [(rows[-1][0], 0, 0)] * 3
+    rows += [(50_000, junk(5, 70, "symbols"), None), (None, None, "en"), (50_001, "", "de")]
+    docs = spark.createDataFrame([(d, t, s, "s", 0) for d, t, s in rows], SCHEMA)
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_cutoffs_match_brute_force(holdout):
+    docs, labels = holdout
+    measured = rules.measures(docs.withColumns({"stratum": F.lit("clash"), "text_key": F.lit(-1), "n_words": F.lit(-1)}))
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    want = certified_by_brute_force(measured.collect(), known)
+    got = {}
+    for r in rules.tested(measured, labels).where("certified").collect():
+        got.setdefault((r["stratum"], r["rule"]), set()).add(r["cutoff"])
+    assert got == want and {s for s, _ in got} == {"en", "de"}
+    used = rules.cutoffs(measured, labels).collect()
+    assert {(r["stratum"], r["rule"]) for r in used} >= {(s, r) for s in ("en", "de") for r in ("symbols", "capitals", "exclamations")}
+    assert rules.cutoffs(measured, labels, rate=1e-6).count() == 0
+
+
+def test_certified_cutoffs_reject_junk_and_match_sql(holdout, tmp_path):
+    import duckdb
+
+    docs, labels = holdout
+    con = duckdb.connect()
+    for name, table in (("documents", docs), ("labels", labels)):
+        table.write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+    judged = rules.judge(docs, labels)
+    same(judged, con, rules.ORACLE_SQL)
+    out = {r["doc_id"]: r["kept"] for r in judged.join(labels.distinct(), "doc_id").select("doc_id", "kept", "quality").collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert not any(kept for d, kept in out.items() if known[d] == 0 and lang[d] != "fr")
+    assert sum(out[d] for d, q in known.items() if q == 1) / sum(known.values()) > 0.99
+    assert all(kept for d, kept in out.items() if lang[d] == "fr" and known[d] == 0)  # nothing is certified there
+    assert {r["doc_id"]: r["kept"] for r in judged.collect()}[50_000]
+
+
+def test_cutoffs_are_certified_on_the_larger_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    assert rules.cutoffs(rules.measures(docs), labels).count() > 0
 
 
 def test_rules_empty(empty, tables):
