@@ -35,17 +35,35 @@ def residuals(df: DataFrame, fits: DataFrame, keys: list[str], x: str = "x", y:
     return joined.withColumn("y_fit", F.col("a") * F.col(x) + F.col("b")).withColumn("residual", (F.col(y) - F.col("y_fit")) / F.col(error))
 
 
-def chi2(df: DataFrame, fits: DataFrame, keys: list[str], **columns: str) -> DataFrame:
-    """keys, chi2, dof (rows less two)."""
-    return residuals(df, fits, keys, **columns).groupBy(*keys).agg(F.sum(F.col("residual") * F.col("residual")).alias("chi2"), (F.count(F.lit(1)) - 2).alias("dof"))
+def chi2(df: DataFrame, fits: DataFrame, keys: list[str], parameters: int = 2, **columns: str) -> DataFrame:
+    """keys, chi2, dof: rows less the parameters that were fitted (scale and offset, unless more are said to be)."""
+    return residuals(df, fits, keys, **columns).groupBy(*keys).agg(F.sum(F.col("residual") * F.col("residual")).alias("chi2"), (F.count(F.lit(1)) - parameters).alias("dof"))
+
+
+#: Up to so many points of a grid are aggregates of one pass; more are a broadcast table of rows, so that code doesn't grow.
+GRID_COLUMNS = 64
+
+
+def _grid(df: DataFrame, points: list[tuple[float, ...]], names: list[str], model: Callable[..., Column], keys: list[str], y: str, error: str) -> DataFrame:
+    """keys, names, chi2 for each point of the grid."""
+
+    def term(parameters: list[Column]) -> Column:
+        return F.sum(F.pow((F.col(y) - model(*parameters)) / F.col(error), F.lit(2.0)))
+
+    if len(points) <= GRID_COLUMNS:
+        sums = df.groupBy(*keys).agg(*[term([F.lit(float(v)) for v in p]).alias(f"c{i}") for i, p in enumerate(points)])
+        made = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, p, strict=True)], F.col(f"c{i}").alias("chi2")) for i, p in enumerate(points)])
+        out = sums.select(*keys, F.explode(made).alias("r")).select(*keys, "r.*")
+    else:
+        inner = [f"__{n}" for n in names]
+        table = df.sparkSession.createDataFrame([tuple(map(float, p)) for p in points], ", ".join(f"{n} double" for n in inner))
+        out = df.join(F.broadcast(table)).groupBy(*keys, *inner).agg(term([F.col(n) for n in inner]).alias("chi2")).withColumnsRenamed(dict(zip(inner, names, strict=True)))
+    return out.where(F.col("chi2").isNotNull() & ~F.isnan("chi2"))
 
 
 def grid_scan(df: DataFrame, values: list[float], model: Callable[[Column], Column], keys: list[str], y: str = "y", error: str = "yerr") -> DataFrame:
-    """keys, p, chi2 for each value of the parameter: one pass over the data, one sum for each value (no copies of rows)."""
-    terms = [F.sum(F.pow((F.col(y) - model(F.lit(float(v)))) / F.col(error), F.lit(2.0))).alias(f"c{i}") for i, v in enumerate(values)]
-    sums = df.groupBy(*keys).agg(*terms)
-    pairs = F.array(*[F.struct(F.lit(float(v)).alias("p"), F.col(f"c{i}").alias("chi2")) for i, v in enumerate(values)])
-    return sums.select(*keys, F.explode(pairs).alias("r")).select(*keys, "r.p", "r.chi2").where(~F.isnan("chi2"))
+    """keys, p, chi2 for each value of the parameter, in one pass over the data."""
+    return _grid(df, [(v,) for v in values], ["p"], model, keys, y, error)
 
 
 def best(scan: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,12 +83,8 @@ def refine(df: DataFrame, low: float, high: float, model: Callable[[Column], Col
 
 
 def landscape(df: DataFrame, first: list[float], second: list[float], model: Callable[[Column, Column], Column], y: str = "y", error: str = "yerr") -> DataFrame:
-    """p1, p2, chi2 over a grid of two parameters, in one aggregation."""
-    terms, pairs = [], [(a, b) for a in first for b in second]
-    for i, (a, b) in enumerate(pairs):
-        terms.append(F.sum(F.pow((F.col(y) - model(F.lit(a), F.lit(b))) / F.col(error), F.lit(2.0))).alias(f"c{i}"))
-    made = F.array(*[F.struct(F.lit(a).alias("p1"), F.lit(b).alias("p2"), F.col(f"c{i}").alias("chi2")) for i, (a, b) in enumerate(pairs)])
-    return df.agg(*terms).select(F.explode(made).alias("r")).select("r.*").where(~F.isnan("chi2"))
+    """p1, p2, chi2 over a grid of two parameters, in one pass over the data."""
+    return _grid(df, [(a, b) for a in first for b in second], ["p1", "p2"], model, [], y, error)
 
 
 def valley(scan: DataFrame, allowance: float) -> DataFrame:

@@ -45,10 +45,19 @@ def transform(histogram: DataFrame, q: DataFrame, keys: list[str] | None = None,
     return out.withColumn("intensity", F.col("intensity") * envelope(F.col("q"))) if enveloped else out
 
 
+#: Points that exact() takes at most: it holds every pair times every q, to check the binned transforms by.
+EXACT_POINTS = 20_000
+
+
 def exact(points: DataFrame, q: DataFrame) -> DataFrame:
-    """All pairs times all q, without bins: for few points, to check the others by."""
+    """All pairs times all q, without bins: for few points, to check the others by; more are refused. One side is
+    broadcast within that bound, and only partial sums leave a task."""
     slim = points.select("id", "x", "y", "z", "w")
-    pairs = slim.alias("a").join(slim.alias("b"), F.col("a.id") < F.col("b.id")).select((F.col("a.w") * F.col("b.w") * 2).alias("v"), distance("a", "b").alias("d"))
+    n = slim.count()
+    if n > EXACT_POINTS:
+        raise ValueError(f"{n} points are too many for the exact transform (at most {EXACT_POINTS}): use pair_histogram and transform")
+    other = F.broadcast(slim.alias("b"))
+    pairs = slim.alias("a").join(other, F.col("a.id") < F.col("b.id")).select((F.col("a.w") * F.col("b.w") * 2).alias("v"), distance("a", "b").alias("d"))
     own = slim.select((F.col("w") * F.col("w")).alias("v"), F.lit(0.0).alias("d"))
     return pairs.unionByName(own).join(F.broadcast(q)).groupBy("q").agg(F.sum(F.col("v") * sinc(F.col("q") * F.col("d"))).alias("intensity"))
 

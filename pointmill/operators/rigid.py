@@ -72,6 +72,11 @@ def penalties(points: DataFrame, moves: list[Move], wanted: DataFrame) -> DataFr
 
 def scores(points: DataFrame, moves: list[Move], data: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """move, chi2, penalty, total: how well each move's profile, scaled and shifted, fits the measured curve."""
+    return _scores(points, moves, data, wanted)[0]
+
+
+def _scores(points: DataFrame, moves: list[Move], data: DataFrame, wanted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The scores, and the cached profiles that they are read from: hundreds of rows a move."""
     spark = points.sparkSession
     models = transform(move_histograms(points, moves), q_axis(spark), ["move"]).select(F.col("move").cast("int").alias("set_id"), F.col("q").alias("x"), F.col("intensity").alias("y")).persist()  # few rows, read more than once
     curves = number_rows(models, ["set_id"], ["x"], F.lit(0))
@@ -79,9 +84,9 @@ def scores(points: DataFrame, moves: list[Move], data: DataFrame, wanted: DataFr
     joined = splice(curves, measured)
     fitted = chi2(joined, regression(joined, ["set_id"], x="model"), ["set_id"], x="model").select(F.col("set_id").alias("move"), "chi2")
     if wanted is None:
-        return fitted.select("move", "chi2", F.lit(0.0).alias("penalty"), F.col("chi2").alias("total"))
+        return fitted.select("move", "chi2", F.lit(0.0).alias("penalty"), F.col("chi2").alias("total")), models
     both = fitted.join(penalties(points, moves, wanted), "move", "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
-    return both.select("move", "chi2", "penalty", (F.col("chi2") + F.col("penalty")).alias("total"))
+    return both.select("move", "chi2", "penalty", (F.col("chi2") + F.col("penalty")).alias("total")), models
 
 
 def draw(centres: dict[int, np.ndarray], n: int, angle: float, shift: float, rng: np.random.Generator) -> list[Move]:
@@ -121,7 +126,9 @@ def refine(points: DataFrame, data: DataFrame, wanted: DataFrame | None = None,
         share = 1 - k / rounds
         centres = {b: poses[b][0] @ c + poses[b][1] for b, c in own.items() if b not in fixed}
         moves = draw(centres, tries, angle * share, shift * share, rng)
-        found = {r["move"]: r["total"] for r in scores(place(points, poses), moves, data, wanted).collect()}
+        judged, cached = _scores(place(points, poses), moves, data, wanted)
+        found = {r["move"]: r["total"] for r in judged.collect()}  # a row for each move
+        cached.unpersist()
         best = min(found, key=lambda m: (found[m], m))
         if not out.history:
             out.history.append(found[0])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointmill.ordered import BLOCK, blocked
+from pointmill.ordered import BLOCK, blocked, neighbours
 
 HALO = 64
 
@@ -93,49 +93,122 @@ def splice(model: DataFrame, data: DataFrame) -> DataFrame:
     return data.join(interpolate_at(model, data.select("set_id", "x").distinct()).withColumnRenamed("y", "model"), ["set_id", "x"])
 
 
-def find_minima(df: DataFrame, min_spacing: int = 1, min_prominence: float = 0.0) -> DataFrame:
+def _climbs(y: np.ndarray, top: np.ndarray, order: range) -> np.ndarray:
+    """For each of a row of minima, how high the curve climbs, going back along order, before it falls to that minimum's
+    height or below it: (height, True) where it does so, else the height reached at the end and False. top[k] is the highest
+    point between minima k and k + 1."""
+    out, settled = np.full(len(y), -np.inf), np.zeros(len(y), bool)
+    forward = order.step > 0
+    stack: list[tuple[float, float]] = []  # minima not undercut so far, and the height between each and the one after it
+    last = None
+    for k in order:
+        climbed = -np.inf if last is None else (top[k - 1] if forward else top[k])
+        while stack and stack[-1][0] > y[k]:
+            climbed = max(climbed, stack.pop()[1])
+        out[k], settled[k] = climbed, bool(stack)
+        stack.append((y[k], climbed))
+        last = k
+    return np.stack([out, settled])
+
+
+def _judged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sets left and right (how high the curve climbs on either side) and whether each is known, where it isn't yet; adds
+    height (the lower of both) and settled: whether minima beyond these rows could not change it."""
+    y, top, out = pdf["y"].to_numpy(), pdf["top"].to_numpy(), pdf.copy()
+    for side, order in (("left", range(len(y))), ("right", range(len(y) - 1, -1, -1))):
+        climb, known = _climbs(y, top, order)
+        before = pdf[f"{side}_known"].to_numpy() if f"{side}_known" in pdf else np.zeros(len(y), bool)
+        out[side] = np.where(before, pdf[side], climb) if before.any() else climb
+        out[f"{side}_known"] = before | (known > 0)
+    left, right, left_known, right_known = (out[c].to_numpy() for c in ("left", "right", "left_known", "right_known"))
+    out["height"] = np.where(left_known & right_known, np.minimum(left, right), np.where(left_known, left, np.where(right_known, right, np.inf)))
+    # a side that is open can only climb higher: it doesn't matter once it is above the other, known one
+    out["settled"] = (left_known & right_known) | (left_known & (right >= left)) | (right_known & (left >= right))
+    return out
+
+
+def find_minima(df: DataFrame, min_spacing: int = 1, min_prominence: float = 0.0, size: int = BLOCK) -> DataFrame:
     """set_id, i, x, y, prominence: minima whose relative prominence (how far the curve climbs on the lower of both sides
-    before it falls below the minimum, over the range of y) is at least min_prominence, and that stand min_spacing apart;
-    of closer ones the lower stays.
-
-    Candidates are found in parallel; only they and the maxima between them, a small share of the rows, meet by series."""
-    from pointmill.operators.windows import local_minima
-
-    low = local_minima(df).select("set_id", "i", F.col("x").cast("double"), F.col("y").cast("double"))
-    span = df.groupBy("set_id").agg((F.max("y") - F.min("y")).cast("double").alias("span"))
-    between = Window.partitionBy("set_id").orderBy("i")
-    edges = low.withColumn("after", F.lead("i").over(between)).where("after IS NOT NULL").select("set_id", "i", "after")
-    edge_of = blocked(df.select("set_id", "i", "n", F.col("y").cast("double").alias("top")), 0)
-    peaks = edges.withColumn("b", F.explode(F.sequence(F.floor(F.col("i") / F.lit(BLOCK)), F.floor(F.col("after") / F.lit(BLOCK)))))
-    high = peaks.alias("e").join(edge_of.select("set_id", F.col("i").alias("at"), "block", "top").alias("r"), (F.col("e.set_id") == F.col("r.set_id")) & (F.col("e.b") == F.col("r.block")) & (F.col("r.at") >= F.col("e.i")) & (F.col("r.at") <= F.col("e.after"))).groupBy("e.set_id", "e.i").agg(F.max("top").alias("top"))
-    kind = df.schema["set_id"].dataType.simpleString()
+    before it falls to the minimum's height or below, over the range of y; the whole range for a minimum that nothing
+    undercuts) is at least min_prominence, and that stand min_spacing rows apart; of closer ones the lower stays, of equal
+    ones the first.
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    This topographic prominence is a choice of ours: it depends on the curve alone, not on how bounds are grown and merged.
+    Rows are read once in blocks: each gives the minima whose climbs are settled inside it, and its open ones (those that
+    nothing in the block undercuts on one side), of which a block of m minima has about 2 ln m. Only these meet by series."""
+    kind = df.schema["set_id"].dataType.simpleString()
+    slim = df.select("set_id", "i", "n", F.col("x").cast("double"), F.col("y").cast("double"))
+    # flat stretches are no minima, but a climb ends where it falls to one
+    near = neighbours(slim, ["set_id"], {"__a": ("y", -1), "__b": ("y", 1)}, size)
+    is_end = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
+    strict = is_end | ((F.col("y") < F.col("__a")) & (F.col("y") < F.col("__b")))
+    low = near.where(is_end | ((F.col("y") <= F.col("__a")) & (F.col("y") <= F.col("__b")))).select("set_id", "i", "x", "y", strict.alias("strict"), F.floor(F.col("i") / F.lit(size)).alias("block"))
+    # the highest row from each minimum on, up to the next one of its block: rows are numbered by the minima before them
+    marked = slim.join(low.select("set_id", "i", F.lit(1).alias("low")), ["set_id", "i"], "left").withColumn("block", F.floor(F.col("i") / F.lit(size)))
+    stretch = F.count("low").over(Window.partitionBy("set_id", "block").orderBy("i"))
+    tops = marked.withColumn("stretch", stretch).groupBy("set_id", "block", "stretch").agg(F.max("y").alias("top"), F.min("i").alias("i"))
+    # a block's first rows, before its first minimum, belong to the stretch of the block before; they raise its last top
+    leads = tops.where("stretch = 0").select("set_id", "block", F.col("top").alias("lead"))
+    own = low.join(tops.where("stretch > 0").select("set_id", "i", "top"), ["set_id", "i"])
+
+    def by_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _judged(pdf.sort_values("i", ignore_index=True))
+        return out[columns]
+
+    columns = ["set_id", "block", "i", "x", "y", "strict", "top", "left", "left_known", "right", "right_known", "height", "settled"]
+    schema = f"set_id {kind}, block long, i long, x double, y double, strict boolean, top double, left double, left_known boolean, right double, right_known boolean, height double, settled boolean"
+    found = own.groupBy("set_id", "block").applyInPandas(by_block, schema)
+    span = slim.groupBy("set_id").agg((F.max("y") - F.min("y")).alias("span"), F.max("y").alias("highest"))
+
+    def by_series(records: pd.DataFrame, leads: pd.DataFrame) -> pd.DataFrame:
+        """Records of all blocks, with the heights of what was left out between them, judged once more."""
+        pdf = records.sort_values("i", ignore_index=True)
+        lead = dict(zip(leads["block"], leads["lead"], strict=True))
+        if len(pdf):
+            block, top = pdf["block"].to_numpy(), pdf["top"].to_numpy().copy()
+            for k in range(len(pdf) - 1):  # between two records: every block begun since, and none more
+                for b in range(int(block[k]) + 1, int(block[k + 1]) + 1):
+                    top[k] = max(top[k], lead.get(b, -np.inf))
+            pdf["top"] = top
+        return _judged(pdf)[["set_id", "i", "x", "y", "height"]]
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's records, each with the highest row up to the next record of the block."""
+        pdf = pdf.sort_values("i", ignore_index=True)
+        at = np.flatnonzero(~(pdf["left_known"] & pdf["right_known"]).to_numpy())
+        out = pdf.iloc[at].copy()
+        out["top"] = np.maximum.reduceat(pdf["top"].to_numpy(), at) if len(at) else []
+        return out[columns]
+
+    chains = found.groupBy("set_id", "block").applyInPandas(chain, schema)
+    late = chains.groupBy("set_id").cogroup(leads.groupBy("set_id")).applyInPandas(by_series, f"set_id {kind}, i long, x double, y double, height double")
+    heights = found.where("strict AND settled").select("set_id", "i", "x", "y", "height").unionByName(late.join(found.where("strict AND NOT settled").select("set_id", "i"), ["set_id", "i"], "left_semi"))
+    reach = F.greatest(F.when(F.col("height") < F.lit(float("inf")), F.col("height")).otherwise(F.col("highest")) - F.col("y"), F.lit(0.0))
+    kept = heights.join(span, "set_id").withColumn("prominence", reach / F.greatest("span", F.lit(1e-300))).where(F.col("prominence") >= min_prominence).select("set_id", "i", "x", "y", "prominence")
+    return kept if min_spacing <= 1 else _spaced(kept, min_spacing, size)
+
+
+def _spaced(minima: DataFrame, spacing: int, size: int) -> DataFrame:
+    """Of minima closer than spacing the lowest stays, and so on with those left. Minima fall into runs at each gap of at
+    least spacing, which don't touch each other: runs, not series, are the groups."""
+    own_block = F.floor(F.col("i") / F.lit(size))
+    near = minima.withColumn("__block", F.explode(F.array_distinct(F.array(own_block, F.floor((F.col("i") + spacing) / F.lit(size))))))
+    before = F.lag("i").over(Window.partitionBy("set_id", "__block").orderBy("i"))
+    marked = near.withColumn("__new", F.coalesce(F.col("i") - before >= spacing, F.lit(True)).cast("long")).where(F.col("__block") == own_block)
+    starts = marked.groupBy("set_id", "__block").agg(F.sum("__new").alias("__n"))
+    shift = starts.withColumn("__shift", F.sum("__n").over(Window.partitionBy("set_id").orderBy("__block")) - F.col("__n")).drop("__n")
+    running = F.sum("__new").over(Window.partitionBy("set_id", "__block").orderBy("i"))
+    placed = marked.withColumn("__own", running).join(shift, ["set_id", "__block"]).withColumn("run", F.col("__own") + F.col("__shift"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", ignore_index=True)
-        y, top = pdf["y"].to_numpy(), pdf["top"].to_numpy()
-        n = len(pdf)
-        left, right = np.full(n, np.inf), np.full(n, np.inf)
-        for out, order in ((left, range(n)), (right, range(n - 1, -1, -1))):
-            stack: list[tuple[float, float]] = []  # minima not yet undercut, and the height climbed since
-            for k in order:
-                climbed = -np.inf if not stack and k in (0, n - 1) else (top[k - 1] if out is left else top[k])
-                while stack and stack[-1][0] >= y[k]:
-                    climbed = max(climbed, stack.pop()[1])
-                out[k] = climbed if stack else np.inf
-                stack.append((y[k], climbed))
-        prominence = np.minimum(left, right) - y
-        prominence = np.where(np.isfinite(prominence), prominence, np.nanmax(np.append(top, y)) - y) / max(pdf["span"].iloc[0], 1e-300)
-        keep = np.flatnonzero(prominence >= min_prominence)
-        chosen: list[int] = []
-        place, step, taken = pdf["i"].to_numpy(), max(1, min_spacing), {}  # a stretch as long as the spacing has one at most
-        for k in keep[np.argsort(y[keep], kind="stable")].tolist():
+        place, taken, chosen = pdf["i"].to_numpy(), {}, []  # a stretch as long as the spacing has one at most
+        for k in np.argsort(pdf["y"].to_numpy(), kind="stable").tolist():
             at = int(place[k])
-            if all(abs(at - taken[b]) >= min_spacing for b in (at // step - 1, at // step, at // step + 1) if b in taken):
-                taken[at // step] = at
+            if all(abs(at - taken[b]) >= spacing for b in (at // spacing - 1, at // spacing, at // spacing + 1) if b in taken):
+                taken[at // spacing] = at
                 chosen.append(k)
-        out = pdf.loc[sorted(chosen), ["set_id", "i", "x", "y"]].copy()
-        out["prominence"] = prominence[sorted(chosen)]
-        return out
+        return pdf.loc[sorted(chosen), ["set_id", "i", "x", "y", "prominence"]]
 
-    rows = low.join(high, ["set_id", "i"], "left").join(span, "set_id")
-    return rows.groupBy("set_id").applyInPandas(judge, f"set_id {kind}, i long, x double, y double, prominence double")
+    kind = minima.schema["set_id"].dataType.simpleString()
+    return placed.select("set_id", "run", "i", "x", "y", "prominence").groupBy("set_id", "run").applyInPandas(choose, f"set_id {kind}, i long, x double, y double, prominence double")

@@ -29,9 +29,11 @@ def as_curve(profiles: DataFrame, set_id: int = 0) -> DataFrame:
     return number_rows(profiles.select(F.lit(set_id).alias("set_id"), F.col("q").alias("x"), F.col("intensity").alias("y")), ["set_id"], ["x"], F.lit(0))
 
 
-def simulate(points: DataFrame, n: int) -> DataFrame:
-    """A measured curve as the points would give: about n rows at logarithmic steps, with errors."""
-    return simulate_errors(reduce_log(as_curve(profile(points)), n))
+def simulate(points: DataFrame, n: int, by_kind: bool = False) -> DataFrame:
+    """A measured curve as the points would give: about n rows at logarithmic steps, with errors. By kind, it is the sum of
+    the partial profiles, whose bins have mean distances of their own."""
+    whole = partial_profiles(points).groupBy("q").agg(F.sum("intensity").alias("intensity")) if by_kind else profile(points)
+    return simulate_errors(reduce_log(as_curve(whole), n))
 
 
 def fit(points: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:

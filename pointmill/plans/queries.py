@@ -39,6 +39,11 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+def significant(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Values that span many orders are rounded to significant digits, so that small ones stay apart."""
+    return df.withColumns({c: F.format_string(f"%.{digits - 1}e", c).cast("double") for c in columns})
+
+
 # --- pair histograms and profiles -------------------------------------------------------------------------------------
 
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
@@ -126,7 +131,7 @@ def debye_waller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.withColumn("intensity", F.col("intensity") * profiles.debye_waller(F.col("q"), 0.5, ends)), {"q": 10, "intensity": 2}).select("q", "kind", "intensity")
 
 
-@query(f"WITH {POINTS}, q AS (SELECT i * 0.05 AS q FROM range(1, 11) t(i)), pr AS (SELECT a.w * b.w * 2 AS v, {_D} AS d FROM p a JOIN p b ON a.id < b.id UNION ALL SELECT w * w, 0 FROM p) SELECT round(q, 10) AS q, round(sum(v * ({_SINC})), 2) AS intensity FROM q, pr GROUP BY q.q")
+@query(f"WITH {POINTS}, q AS (SELECT i * 0.05::DOUBLE AS q FROM range(1, 11) t(i)), pr AS (SELECT a.w * b.w * 2 AS v, {_D} AS d FROM p a JOIN p b ON a.id < b.id UNION ALL SELECT w * w, 0 FROM p) SELECT round(q, 10) AS q, round(sum(v * ({_SINC})), 2) AS intensity FROM q, pr GROUP BY q.q")
 def exact_debye(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.range(1, 11).select((F.col("id") * 0.05).alias("q"))
     return rounded(profiles.exact(points(spark, sf_dir), q), {"q": 10, "intensity": 2})
@@ -138,7 +143,7 @@ _FACTORS = ((0, 1.0, 2.0), (1, 2.0, 10.0), (2, 0.5, 5.0))
 @query(
     f"WITH {POINTS}, pr AS (SELECT least(a.body % 3, b.body % 3) AS ff_a, greatest(a.body % 3, b.body % 3) AS ff_b, {_D} AS d FROM p a JOIN p b ON a.id < b.id), "
     "h AS (SELECT ff_a, ff_b, bin, sum(c) AS value, sum(c)::BIGINT AS cnt, sum(s) AS dsum FROM (SELECT ff_a, ff_b, floor(d * 4 + 0.5)::BIGINT AS bin, count(*) * 2 AS c, sum(d) * 2 AS s FROM pr GROUP BY ALL UNION ALL SELECT body % 3, body % 3, 0, count(*), 0 FROM p GROUP BY ALL) GROUP BY ALL), "
-    f"q AS (SELECT i * 0.05 AS q FROM range(1, 11) t(i)), f(ff, a, b) AS (VALUES {', '.join(map(str, _FACTORS))}), "
+    f"q AS (SELECT i * 0.05::DOUBLE AS q FROM range(1, 11) t(i)), f(ff, a, b) AS (VALUES {', '.join(map(str, _FACTORS))}), "
     f"i AS (SELECT q, ff_a, ff_b, sum(value * ({_SINC})) AS intensity FROM q, (SELECT ff_a, ff_b, value, dsum / cnt AS d FROM h) GROUP BY ALL) "
     "SELECT round(q, 10) AS q, round(sum(intensity * (x.a * exp(-x.b * q * q) + 1.0) * (y.a * exp(-y.b * q * q) + 1.0)), 2) AS intensity FROM i JOIN f x ON ff_a = x.ff JOIN f y ON ff_b = y.ff GROUP BY q"
 )
@@ -191,7 +196,7 @@ def move_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three moves against the curve that the second one gives: it must fit best."""
     p, moves = points(spark, sf_dir), [(b, r, np.array(t)) for b, r, t in _MOVES]
     truth = rigid.place(p, {b: (moves[1][1], moves[1][2]) if b == moves[1][0] else (np.eye(3), np.zeros(3)) for b in range(10)})
-    return rounded(rigid.scores(p, moves, profile_fit.simulate(truth, 40)), {"chi2": 3, "total": 3})
+    return significant(rigid.scores(p, moves, profile_fit.simulate(truth, 40)), "chi2", "total")
 
 
 # --- series -----------------------------------------------------------------------------------------------------------
@@ -384,7 +389,8 @@ def landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_fit_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A simulated curve is fitted with every water scale of a grid; that of 1 must win."""
     p = points(spark, sf_dir).where("kind <> 'x'")
-    return rounded(profile_fit.fit_water_scale(p, profile_fit.simulate(p, 40), [0.0, 0.5, 1.0, 1.5, 2.0]), {"chi2": 3, "a": 4, "b": 2})
+    fits = profile_fit.fit_water_scale(p, profile_fit.simulate(p, 40, by_kind=True), [0.0, 0.5, 1.0, 1.5, 2.0])
+    return significant(rounded(fits, {"a": 4, "b": 2}), "chi2")
 
 
 _BIN = "least(greatest(floor((l_extendedprice + 1e-6) / 1100), 0), 99)::BIGINT"
@@ -553,7 +559,7 @@ def map_cutoff_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_fit_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curve that the third cutoff's voxels give is fitted at every cutoff: the third must win."""
     p = map_fit.banded_points(_map(spark, sf_dir), _LEVELS, _LOW, _HIGH)
-    return rounded(map_fit.fit_cutoff(p, profile_fit.simulate(p.where("band >= 3"), 40), _LEVELS), {"chi2": 3, "a": 4, "b": 2})
+    return significant(rounded(map_fit.fit_cutoff(p, profile_fit.simulate(p.where("band >= 3"), 40), _LEVELS), {"a": 4, "b": 2}), "chi2")
 
 
 @query(f"WITH {POINTS} SELECT id, CASE WHEN body = 2 AND id >= 300 THEN 11 WHEN body = 2 AND id >= 100 THEN 10 WHEN body IN (4, 5) THEN 4 ELSE body END::BIGINT AS body FROM p WHERE body <> 7 UNION ALL SELECT id, 20 FROM p WHERE body = 1")

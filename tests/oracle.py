@@ -1,6 +1,7 @@
 """Comparison of a query's rows with those that DuckDB gives for its SQL."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -17,6 +18,7 @@ def connect(sf_dir):
 
 def rows(columns, data):
     def plain(v):
+        assert not isinstance(v, Decimal), "a query's numbers are doubles or longs"
         if isinstance(v, float):
             return float(f"{v:.9g}")
         return v
