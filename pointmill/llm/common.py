@@ -70,3 +70,29 @@ def training_share(doc_id: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Keys of a join that are dealt out further at most, and rows of a key from which it is.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key at most, where a few keys may hold most rows of left.
+
+    The keys of most rows (at most HOT_KEYS of them, so their list may be broadcast; any other key holds under a thousandth
+    of the rows) are dealt by a hash of spread into parts of about HOT_ROWS rows, and right's row goes to every part. Keys
+    are never null; how is inner or left."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
+    hot = cut(counts.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], F.least(F.ceil(F.col("__n") / F.lit(HOT_ROWS)), F.lit(10_000)).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+
+    def marked(df: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & (F.col(k) == F.col(f"__hot_{i}"))
+        return df.join(F.broadcast(hot), on, "left").drop(*[f"__hot_{i}" for i in range(len(keys))])
+
+    one = marked(left).withColumn("__part", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    two = marked(right).withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return one.join(two, [*keys, "__part"], how).drop("__part")
