@@ -13,7 +13,9 @@ texts are linked if the Jaccard similarity of their sets is at least the thresho
 5. Classes joined by links form groups by connected components.
 
 Null and empty texts have no words: they form one class of equal texts, linked to nothing else. Rows with a null doc_id are
-joined by their text like others. Repeated rows are copies. An empty table gives an empty result.
+joined by their text like others. Repeated rows are copies. Very long texts are read whole. A pair exactly at the threshold
+is linked; of equal smallest ids the smallest text hash stands for a group. Other columns pass through whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import ROWS_PER_BATCH, arrow_map, cut, table_in_shared_folder
+from pointmill.llm.common import arrow_map, cut, free_name, salted_join, table_in_shared_folder
 from pointmill.llm.components import connected_components
 from pointmill.llm.words import U64, Texts, mix, shingles, texts
 
 SIZE, THRESHOLD = 5, 0.8
-#: Bands of ROWS values: a pair of similarity 0.8 shares none with probability (1 - 0.8^4)^24 = 3e-6.
-BANDS, ROWS = 24, 4
-VALUES = BANDS * ROWS
+#: MinHash values of a signature. They are read as bands of a few values each, as many as the threshold allows (see band_rows).
+VALUES = 96
+#: The greatest probability with which a pair at the threshold may share no band.
+MISS = 1e-4
 STEP, TOLERANCE = 16, 1e-5
 #: Members of a bucket, and documents of a verifying task, that are taken together at most.
 BLOCK = 400
@@ -60,6 +63,15 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
     return out
 
 
+def band_rows(threshold: float) -> int:
+    """Values in a band: the most with which a pair at the threshold shares no band, (1 - t^rows)^(VALUES / rows), with
+    probability MISS at most. 4 from 0.76 on (3e-6 at 0.8), 3 from 0.63, 2 from 0.42, 1 from 0.10; below that it is refused."""
+    for rows in (4, 3, 2, 1):
+        if (1 - threshold**rows) ** (VALUES // rows) <= MISS:
+            return rows
+    raise ValueError(f"a threshold of {threshold} is too low for signatures of {VALUES} values")
+
+
 def signatures(block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes of each text's words in order, and its MinHash values (16 bits each) as [text, value]."""
     words, offsets = block.words()
@@ -79,9 +91,14 @@ def signatures(block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one.view(np.int64), two.view(np.int64), sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    packed = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), BANDS)
-    return mix(packed + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+def band_keys(sig: np.ndarray, rows: int = 4) -> np.ndarray:
+    """A key for each band of each signature."""
+    bands = VALUES // rows
+    parts = sig.reshape(len(sig), bands, rows).astype(U64)
+    packed = parts[:, :, 0]
+    for j in range(1, rows):
+        packed = packed | (parts[:, :, j] << U64(16 * j))
+    return mix(packed + np.arange(1, bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def _signed(documents: DataFrame) -> DataFrame:
@@ -101,10 +118,10 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
 
 
-def _banded(classes: DataFrame) -> DataFrame:
+def _banded(classes: DataFrame, width: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = band_keys(_sigs(batch.column("sig"))).view(np.int64)
-        cid = np.repeat(np.asarray(batch.column("cid")), BANDS)
+        keys = band_keys(_sigs(batch.column("sig")), width).view(np.int64)
+        cid = np.repeat(np.asarray(batch.column("cid")), keys.shape[1])
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid)], names=["key", "cid"])
 
     return arrow_map(classes.where("k1 <> 0 OR k2 <> 0").select("cid", "sig"), run, "key long, cid long")
@@ -191,7 +208,8 @@ def _blocks_of(members: DataFrame, key: str, size: str, salt: str) -> DataFrame:
 
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """t1, t2 (two blocks of documents, or one twice), one, two: the pairs left by the pruning, as arrays of their members."""
-    bands = _banded(classes)
+    width = band_rows(threshold)
+    bands = _banded(classes, width)
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first")).where("n > 1")
     members = cut(bands.join(buckets, "key"))
     hubs = members.groupBy("cid").agg(F.min("first").alias("hub"))
@@ -203,14 +221,14 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
 
     def prune(columns, starts):
         sig = _sigs(columns["sig"])
-        keys, own = band_keys(sig), columns["key"].to_numpy().view(np.uint64)
+        keys, own = band_keys(sig, width), columns["key"].to_numpy().view(np.uint64)
         cid, home = columns["cid"].to_numpy(), columns["home"].to_numpy()
         at = (keys == own[:, None]).argmax(axis=1)
         for a, b in pairs_of(starts, columns["side"].to_numpy()):
             a, b = surviving(sig, a, b, least)
             if not len(a):
                 continue
-            earlier = (keys[a] == keys[b]) & (np.arange(BANDS) < at[b][:, None])
+            earlier = (keys[a] == keys[b]) & (np.arange(keys.shape[1]) < at[b][:, None])
             first = ~earlier.any(axis=1) & (cid[a] != cid[b])
             a, b = a[first], b[first]
             if not len(a):
@@ -321,7 +339,8 @@ def _grouped(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = classes.select("cid", "k1", "k2", "n", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("class_hash")).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class_hash")
     smallest = named.groupBy(F.col("label").alias("__label")).agg(F.min(first).alias("head")).select("__label", F.col("head.class_id").alias("group_id"), F.col("head.class_hash").alias("head_hash"))
-    full = cut(named.join(smallest, F.col("label") == F.col("__label")).join(counts, F.col("cid") == F.col("__cid"), "left").select("k1", "k2", "n", "class_id", "group_id", "head_hash", F.coalesce("linked_docs", F.lit(0)).alias("linked_docs")))
+    headed = salted_join(named, smallest.withColumnRenamed("__label", "label"), ["label"], F.col("cid"))
+    full = cut(headed.join(counts, F.col("cid") == F.col("__cid"), "left").select("k1", "k2", "n", "class_id", "group_id", "head_hash", F.coalesce("linked_docs", F.lit(0)).alias("linked_docs")))
     return signed.select("doc_id", "text_hash", "k1", "k2").join(full, ["k1", "k2"]).select("doc_id", "text_hash", "class_id", F.col("n").alias("copies"), (F.col("n") - 1 + F.col("linked_docs")).alias("n_links"), "group_id", "head_hash")
 
 
@@ -339,10 +358,11 @@ def one_of_each_group(documents: DataFrame, threshold: float = THRESHOLD) -> Dat
     goes = found.where(~head).select("doc_id", "text_hash").distinct()
     if goes.count() <= BROADCAST_IDS:
         goes = F.broadcast(goes)
-    columns = documents.columns
-    tagged = documents.withColumn("__hash", F.xxhash64("text"))
-    kept = tagged.join(goes, tagged["doc_id"].eqNullSafe(goes["doc_id"]) & (tagged["__hash"] == goes["text_hash"]), "left_anti")
+    columns, own_hash = documents.columns, free_name(documents, "text_hash")
+    tagged = documents.withColumn(own_hash, F.xxhash64("text"))
+    goes = goes.select(F.col("doc_id").alias("goes_id"), F.col("text_hash").alias("goes_hash"))
+    kept = tagged.alias("t").join(goes.alias("g"), F.col("t.doc_id").eqNullSafe(F.col("g.goes_id")) & (F.col(f"t.{own_hash}") == F.col("g.goes_hash")), "left_anti")
     stays = found.where(head).select("doc_id", "text_hash")
     if stays.count() > stays.distinct().count():  # repeated rows: one of each stays
-        kept = kept.dropDuplicates(["doc_id", "__hash"])
+        kept = kept.dropDuplicates(["doc_id", own_hash])
     return kept.select(*columns)
