@@ -100,7 +100,40 @@ def test_posterior_bounds():
     assert lost == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("threshold, rows", [(0.95, 4), (0.8, 4), (0.7, 3), (0.5, 2), (0.3, 1)])
+def test_bands_follow_the_threshold(spark, threshold, rows):
+    """Pairs at and above the threshold are found whatever it is: recall of links against brute force."""
+    assert near_duplicates.band_rows(threshold) == rows
+    r = np.random.default_rng(int(100 * threshold))
+    docs = []
+    for i in range(25):
+        base = prose(3000 + i, 60)
+        docs += [(10 * i, base)] + [(10 * i + k, edited(base, int(r.integers(0, 8)), 50 * i + k)) for k in range(1, 5)]
+    got = {x["doc_id"]: x["n_links"] for x in near_duplicates.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), threshold).collect()}
+    sets, want = [shingle_set(t) for _, t in docs], 0
+    for i in range(len(docs)):
+        want += sum(len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9 for j in range(len(docs)) if j != i)
+    assert want > 10 and sum(got.values()) == want
+
+
+def test_low_thresholds_are_refused():
+    with pytest.raises(ValueError):
+        near_duplicates.band_rows(0.05)
+
+
+def test_stages_keep_columns_of_inner_names(spark):
+    rows = [(i, prose(i % 3, 60), 5) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hash int").withColumns({"text_hash": F.lit(5), "goes_id": F.lit(5)})
+    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    for out, n in ((near_duplicates.one_of_each_group(docs), 3), (decontamination.clean(docs, bench), 4)):
+        assert out.columns == docs.columns and out.count() == n and out.where("__hash = 5 AND text_hash = 5 AND goes_id = 5").count() == n
+
+
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_components(spark, monkeypatch, hot):
+    from pointmill.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     edges = [(i, i + 1) for i in range(30) if i % 10 != 9] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == i // 10 * 10 for i in range(30)) and all(got[k] == 100 for k in range(100, 140))
@@ -129,7 +162,7 @@ def test_alignment_matches_brute_force():
 
 
 def test_contamination(spark, odd):
-    items = [(i, prose(1000 + i, 30)) for i in range(6)] + [(90, None), (91, ""), (92, "tiny")]
+    items = [(i, prose(1000 + i, 30)) for i in range(6)] + [(90, None), (91, ""), (92, "#!"), (93, "zqx")]
     docs, want = [], set()
     r = np.random.default_rng(3)
     for d in range(60):
@@ -153,6 +186,41 @@ def test_contamination(spark, odd):
     assert decontamination.contamination(table.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("chars", [1_000_000, 150])
+def test_items_of_every_length_match_brute_force(spark, monkeypatch, chars):
+    """Items of 1 to 100 characters, hidden with up to the edits that they may have and one more; all pairs are compared."""
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+    r = np.random.default_rng(11)
+
+    def letters(n):
+        return "".join(r.choice(list("abcdefghij klmnop"), n)).strip().replace("  ", "ab") or "q"
+
+    items, docs = [], []
+    for m in [*range(1, 45), 59, 60, 61, 79, 80, 99, 100]:
+        item = "".join(("v" if c == " " else c) for c in letters(m).ljust(m, "w"))
+        items.append((m, item))
+        for extra in (0, 1):
+            hidden = list(item)
+            for _ in range(m // 10 + extra):
+                k, kind = int(r.integers(len(hidden))), r.integers(3)
+                if kind == 0:
+                    hidden[k] = "z"
+                elif kind == 1 and len(hidden) > 1:
+                    del hidden[k]
+                else:
+                    hidden.insert(k, "y")
+            docs.append((len(docs), f"{letters(25)} {''.join(hidden)} {letters(25)}"))
+    want = set()
+    for d, text in docs:
+        data = decontamination.normal(next(iter(decontamination.texts(decontamination.pa.array([text])))))[0].tobytes()
+        for i, item in items:
+            if (len(item) < 10 and item.encode() in data) or (len(item) >= 10 and edit_distance_inside(item.encode(), data) <= len(item) // 10):
+                want.add((d, i))
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want
+    assert {(2 * k, i) for k, (i, _) in enumerate(items)} <= want
+
+
 def test_contamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 300)
     items = spark.createDataFrame([(i, prose(i, 30)) for i in range(6)], "item_id long, text string")
@@ -167,16 +235,41 @@ def test_line_dedup_matches_sql(spark, sf_dir):
 
 
 @pytest.mark.parametrize("bound", [0, 50_000])
-def test_line_dedup(spark, odd, empty, monkeypatch, bound):
+def test_line_dedup(spark, odd, empty, monkeypatch, bound, tmp_path):
+    import duckdb
+
+    from pointmill.llm import common
+
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", bound)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     rows = [(i, f"Menu\nline {i}\n\nMenu\nshared {i % 20}", "en", "a" if i < 40 else None, 0) for i in range(60)]
     out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(out[i]["text"] == f"line {i}\n\nshared {i % 20}" and out[i]["dedup_dropped"] == 2 for i in range(60))
-    more = line_dedup.line_dedup(odd)
-    assert more.count() == odd.count() and more.where("text IS NULL").count() == 2
+    # repeated rows, nulls and columns of every name used inside
+    both = spark.createDataFrame(rows + rows[:1] * 30, SCHEMA).unionByName(odd)
+    names = ["__host", "__drop", "__kept", "host_of_lines", "lines_kept", "line_t1", "dedup_lines", "dedup_dropped", "key", "host"]
+    clash = both.withColumns({n: F.lit(7) for n in names})
+    more = line_dedup.line_dedup(clash)
+    assert more.columns == [*clash.columns, "_dedup_lines", "_dedup_dropped"] and more.where(" OR ".join(f"`{n}` <> 7" for n in names)).count() == 0
+    assert more.count() == both.count() and more.where("text IS NULL").count() == 2
+    path = str(tmp_path / "documents")
+    both.write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    same(line_dedup.line_dedup(both.select("doc_id", "source", "text")), con, line_dedup.ORACLE_SQL)
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_salted_join(spark, monkeypatch):
+    from pointmill.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(i, 1 if i < 60 else i % 7, "x") for i in range(100)], "id long, k int, v string")
+    right = spark.createDataFrame([(k, k * 10) for k in (1, 2, 3)], "k int, w int")
+    for how in ("inner", "left"):
+        assert sorted(tuple(r) for r in common.salted_join(left, right, ["k"], F.col("id"), how).select("id", "k", "w").collect()) == sorted(tuple(r) for r in left.join(right, "k", how).select("id", "k", "w").collect())
+
+
 def check_pack(pieces, ids):
     by, seqs = defaultdict(list), defaultdict(list)
     for p in pieces:
