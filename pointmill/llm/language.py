@@ -10,24 +10,30 @@ For each page, four pieces of evidence are combined as log-odds:
 Counts for the last three come from grouped aggregation over all pages of the posteriors that the text alone gives; each
 page's own share is taken out of the counts that it is judged by.
 
+Navigation and footers are left out of the text evidence on purpose: they are the site's own words, the same on its pages in
+every language, and would speak for the site's language, which the host prior already stands for.
+
 A null or empty page has no text evidence: what remains decides. A null url, or one without a host, belongs to a host and a
-suffix named by the empty string. Without labelled documents the language is null and the posterior 0. Repeated rows count
-each; an empty table gives an empty result.
+suffix named by the empty string. Without labelled documents the language is null and the posterior 0. Very long pages are
+read whole; of equally likely languages the first by name is given. Repeated rows count each; other columns are never read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import arrow_map, table_in_shared_folder
+from pointmill.llm.common import arrow_map, cut, salted_join, table_in_shared_folder
 from pointmill.llm.words import U64, texts
 
-#: Labelled documents read for each language, and languages told apart, at most.
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Labelled documents read for each language at most. All languages that documents have are told apart.
+PER_LANGUAGE = 400
 BUCKETS = 1 << 15
+#: Keys of sampled documents that are broadcast at most; beyond that, they meet the documents by a shuffle.
+BROADCAST_KEYS = 200_000
 #: How many pages' worth a level of the hierarchy leans on the level above, and how far a text's evidence may go: trigrams
 #: of running text are not independent, so each counts for 1 / SPREAD, and no more than FULL of them do.
 LEAN, SPREAD, FULL = 5.0, 8.0, 160
@@ -48,15 +54,13 @@ _PLAIN[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 
 def model(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and, for each trigram bucket, its log probability in each of them."""
-    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    known = documents.where(F.col("lang").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
+    # the first few of each language by a hash of id and text; equal rows count as one. Spark cuts each task's rows first
+    first = known.select("lang", "key").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= per_language)
+    picked = cut(first.select("lang", "key"))
+    langs = sorted(r["lang"] for r in picked.select("lang").distinct().collect())  # a name for each language
     if not langs:
         return [], np.zeros((BUCKETS, 0))
-    picked = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("key")).orderBy("key").limit(per_language).select("doc_id")
-        picked = part if picked is None else picked.unionByName(part)
-    picked = picked.distinct()
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: dict[str, np.ndarray] = {}
@@ -72,8 +76,9 @@ def model(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
             [pa.array([name for name, at, _ in found for _ in at], pa.string()), pa.array(np.concatenate([at for _, at, _ in found]), pa.int64()), pa.array(np.concatenate([n[at] for _, at, n in found]), pa.int64())], names=["lang", "bucket", "n"]
         )
 
-    # the ids are at most LANGUAGES * per_language, the counts at most LANGUAGES * BUCKETS
-    sample = known.where(F.col("lang").isin(langs)).select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").select("lang", "text")
+    # at most per_language keys a language, and BUCKETS counts; of equal rows one is read
+    side = F.broadcast(picked) if len(langs) * per_language <= BROADCAST_KEYS else picked
+    sample = known.join(side, ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")
     table = arrow_map(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS, len(langs)))
     counts[table["bucket"].to_numpy(np.int64), [langs.index(x) for x in table["lang"]]] = table["n"]
@@ -93,7 +98,7 @@ def evidence(pages: DataFrame, langs: list[str], weights: np.ndarray) -> DataFra
     """page_id, url, host, suffix, declared, support (array of log-likelihoods by language) of each page."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     declared = F.lower(F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"""(?i)<html[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
-    slim = pages.select("page_id", "url", host.alias("host"), declared.alias("declared"), visible(F.coalesce(F.col("html"), F.lit(""))).alias("text")).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
+    slim = pages.select("page_id", "url", host.alias("host"), declared.alias("declared"), visible(F.coalesce(F.col("html"), F.lit(""))).alias("text"), F.xxhash64("html").alias("text_key")).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -107,10 +112,10 @@ def evidence(pages: DataFrame, langs: list[str], weights: np.ndarray) -> DataFra
             first, last = np.minimum(offsets[:-1], len(at)), np.minimum(np.maximum(offsets[1:] - 2, offsets[:-1]), len(at))
             n = np.maximum(1, last - first)
             out.append((sums[last] - sums[first]) / n[:, None] * np.minimum(last - first, FULL)[:, None] / SPREAD)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "suffix", "declared")), pa.array(np.concatenate(out).tolist(), pa.list_(pa.float64()))], names=["page_id", "url", "host", "suffix", "declared", "support"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "suffix", "declared", "text_key")), pa.array(np.concatenate(out).tolist(), pa.list_(pa.float64()))], names=["page_id", "url", "host", "suffix", "declared", "text_key", "support"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return arrow_map(slim, run, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, suffix string, declared string, support array<double>")
+    return arrow_map(slim, run, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, suffix string, declared string, text_key long, support array<double>")
 
 
 def _posterior(logs: Column) -> Column:
@@ -134,29 +139,31 @@ def identify(pages: DataFrame, documents: DataFrame, per_language: int = PER_LAN
         """By keys: the posteriors' sums, one column for each language. Few and mergeable, so a large host is no trouble."""
         return found.groupBy(*keys).agg(F.array(*[F.sum(F.col("p")[i]) for i in size]).alias("__".join(keys) + "__n") if keys else F.array(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in size]).alias("all__n"))
 
-    hosts, suffixes, declared, everything = sums("host"), sums("suffix"), sums("declared"), sums()
-    joined = found.join(hosts, "host").join(suffixes, "suffix").join(declared, "declared").crossJoin(F.broadcast(everything))  # one row
+    everything = sums()
+    joined = found.crossJoin(F.broadcast(everything))  # one row
+    spread = F.struct("page_id", "url", "text_key")
+    for key in ("host", "suffix", "declared"):  # a key may hold most pages
+        joined = salted_join(joined, sums(key), [key], spread)
 
-    def less_own(name: str) -> list[Column]:
-        return [F.greatest(F.col(name)[i] - F.col("p")[i], F.lit(0.0)) for i in size]
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
-    def total(columns: list[Column]) -> Column:
-        out = columns[0]
-        for c in columns[1:]:
-            out = out + c
-        return out
+    def leaning(counts: str, above: str) -> Column:
+        """The counts' shares, drawn towards those of the level above."""
+        return F.zip_with(counts, above, lambda c, s: (c + lean * s) / (F.col(f"{counts}_sum") + lean))
 
-    whole, by_suffix, by_host, by_declared = (less_own(n) for n in ("all__n", "suffix__n", "host__n", "declared__n"))
-    share = [(c + 1.0 / len(langs)) / (total(whole) + 1) for c in whole]
-    share = [(c + lean * s) / (total(by_suffix) + lean) for c, s in zip(by_suffix, share, strict=True)]
-    share = [(c + lean * s) / (total(by_host) + lean) for c, s in zip(by_host, share, strict=True)]
+    names = {"all__n": "whole", "suffix__n": "by_suffix", "host__n": "by_host", "declared__n": "by_declared"}
+    own = joined.withColumns({new: F.zip_with(old, "p", lambda n, p: F.greatest(n - p, F.lit(0.0))) for old, new in names.items()})
+    own = own.withColumns({f"{new}_sum": total(F.col(new)) for new in names.values()})
+    own = own.withColumn("share", F.transform("whole", lambda c: (c + 1.0 / len(langs)) / (F.col("whole_sum") + 1)))
+    own = own.withColumn("share", leaning("by_suffix", "share")).withColumn("share", leaning("by_host", "share"))
     # P(declared | language), leaning on 1 / 20 for a declaration that names none of the language's pages
-    said = [F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log((d + 0.05 * lean) / (w + lean))) for d, w in zip(by_declared, whole, strict=True)]
-    logs = F.array(*[F.col("support")[i] + F.log(share[i]) + said[i] for i in size])
-    names = F.array(*map(F.lit, langs))
-    best = joined.withColumn("q", _posterior(logs))
+    said = F.when(F.col("declared") == "", F.transform("whole", lambda w: F.lit(0.0))).otherwise(F.zip_with("by_declared", "whole", lambda d, w: F.log((d + 0.05 * lean) / (w + lean))))
+    own = own.withColumn("said", said).withColumn("prior", F.zip_with("share", "said", lambda s, d: F.log(s) + d))
+    best = own.withColumn("q", _posterior(F.zip_with("support", "prior", lambda t, r: t + r)))
+    lang_names = F.array(*map(F.lit, langs))
 
     def top(p: str) -> Column:
-        return names[F.array_position(p, F.array_max(p)).cast("int") - 1]
+        return lang_names[F.array_position(p, F.array_max(p)).cast("int") - 1]
 
     return best.select("page_id", "url", "host", "declared", top("p").alias("text_lang"), top("q").alias("lang"), F.array_max("q").alias("posterior"))

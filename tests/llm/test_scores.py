@@ -91,6 +91,43 @@ def test_language_by_host_where_the_text_is_silent(spark, tables):
     assert out[8] == "de" and out[0] == "de" and out[100] == "en"
 
 
+def test_language_fusion_matches_plain_python(spark, tables):
+    """The posterior of every page from the text's support and counts over all pages, by hand."""
+    from math import exp, log
+
+    langs, weights = language.model(tables["documents"])
+    rows = [r.asDict() for r in language.evidence(tables["pages"], langs, weights).collect()]
+    size, lean = range(len(langs)), language.LEAN
+    for r in rows:
+        e = [exp(x - max(r["support"])) for x in r["support"]]
+        r["p"] = [x / sum(e) for x in e]
+
+    def counts(r, keep):
+        return [max(0.0, sum(o["p"][i] for o in rows if keep(o)) - r["p"][i]) for i in size]
+
+    got = {r["page_id"]: r for r in language.identify(tables["pages"], tables["documents"]).collect()}
+    for r in rows[:12]:
+        whole, suffix, host, said = (counts(r, k) for k in (lambda o: True, lambda o: o["suffix"] == r["suffix"], lambda o: o["host"] == r["host"], lambda o: o["declared"] == r["declared"]))
+        share = [(c + 1 / len(langs)) / (sum(whole) + 1) for c in whole]
+        share = [(c + lean * s) / (sum(suffix) + lean) for c, s in zip(suffix, share, strict=True)]
+        share = [(c + lean * s) / (sum(host) + lean) for c, s in zip(host, share, strict=True)]
+        logs = [r["support"][i] + log(share[i]) + (log((said[i] + 0.05 * lean) / (whole[i] + lean)) if r["declared"] else 0.0) for i in size]
+        e = [exp(x - max(logs)) for x in logs]
+        assert got[r["page_id"]]["lang"] == langs[logs.index(max(logs))] and abs(got[r["page_id"]]["posterior"] - max(e) / sum(e)) < 1e-9
+
+
+def test_language_tells_any_number_apart(spark):
+    r = np.random.default_rng(5)
+    docs, pages = [], []
+    for k in range(70):
+        words = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        docs += [(100 * k + i, " ".join(r.choice(words, 30)), f"l{k:02}") for i in range(3)] * 2
+        pages.append((k, f"http://h{k}.example/", f"<html><body>{' '.join(r.choice(words, 40))}</body></html>"))
+    docs += [(None, docs[0][1], "l00")] * 3
+    out = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string"), per_language=2).collect()
+    assert len({x["lang"] for x in out}) == 70 and all(x["lang"] == f"l{x['page_id']:02}" for x in out)
+
+
 def test_language_odd_rows(spark, tables, empty):
     pages = spark.createDataFrame([(1, None, None), (None, "nohost", ""), (1, "http://x.y/", "<html lang=EN>hi"), (1, "http://x.y/", "<html lang=EN>hi")], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("p", F.lit(1))
     assert language.identify(pages, tables["documents"]).count() == 4
