@@ -38,6 +38,80 @@ def test_toxicity_ignores_columns(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_samples_are_bounded_whatever_repeats(spark):
+    docs, labels = labelled(spark, 240)
+    again = docs.limit(1).crossJoin(spark.range(3000)).select(*docs.columns)
+    many = labels.unionByName(labels)
+    picked = toxicity.sample(docs.unionByName(again), many, per_class=30).collect()
+    assert sorted(r["toxic"] for r in picked).count(1) == 30 and len(picked) <= 60
+    assert len({r["key"] for r in picked}) == len(picked)
+    same = quality.fit(docs.unionByName(again), sample=50)
+    assert same.shape == (quality.BUCKETS + 1,)
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert quality.fit(nulls, sample=50).any()
+    assert toxicity.sample(nulls, labels).count() == 0
+
+
+def test_clusters_part_languages(tables):
+    rows = tables["documents"].where("length(text) > 300").select("lang", "text").collect()
+    words = []
+    for block in toxicity.texts(toxicity.pa.array([r["text"] for r in rows])):
+        _, offsets, own = toxicity.features(block)
+        words += [own[offsets[i] : offsets[i + 1]] for i in range(len(block))]
+    clusters = toxicity.learn_clusters(words)
+    found = [int(clusters(w, np.array([0, len(w)]))[0]) for w in words]
+    pure = sum(max(sum(f == c and r["lang"] == lang for f, r in zip(found, rows, strict=True)) for lang in ("en", "de", "fr", "es")) for c in set(found))
+    assert pure / len(rows) > 0.95
+
+
+def tiny_model(r):
+    return toxicity.Model(r.normal(size=(toxicity.BUCKETS, 4)).astype(np.float32), [r.normal(size=(w, 4, 3)).astype(np.float32) for w in toxicity.WIDTHS], [r.normal(size=3).astype(np.float32) for _ in toxicity.WIDTHS], r.normal(size=9), 0.3)
+
+
+def logit_by_loops(m, ids):
+    """Windows of each width over the words of one text; words beyond its end are zero."""
+    x = [sum(m.embedding[k] for k in word) for word in ids]
+    pooled = []
+    for w, filters, bias in zip(toxicity.WIDTHS, m.filters, m.bias, strict=True):
+        for f in range(filters.shape[2]):
+            values = [sum(float(x[i + j] @ filters[j][:, f]) for j in range(w) if i + j < len(x)) for i in range(len(x))]
+            pooled.append(max(0.0, max(values) + float(bias[f])) if values else 0.0)
+    return float(np.dot(pooled, m.out)) + m.constant
+
+
+def test_convolution_matches_loops():
+    r = np.random.default_rng(0)
+    m, docs = tiny_model(r), [r.integers(0, toxicity.BUCKETS, (n, 3)).astype(np.int32) for n in (5, 1, 0, 2, 9)]
+    got = toxicity.logits(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]), m)
+    assert np.allclose(got, [logit_by_loops(m, d) for d in docs], atol=1e-4)
+
+
+def test_a_training_step_goes_down_the_slope():
+    """The first step moves each weight against the sign of its numerical gradient (the loss by loops, nudged)."""
+    r = np.random.default_rng(1)
+    docs, y = [r.integers(0, 50, (n, 3)).astype(np.int32) for n in (4, 6, 3, 5)], np.array([1.0, 0.0, 1.0, 0.0])
+    first, after = (toxicity.train(docs, y, dim=4, n_filters=3, epochs=1, batch=4, rate=rate, seed=5) for rate in (0.0, 1e-3))
+
+    def loss(m):
+        z = [logit_by_loops(m, d) for d in docs]
+        return float(np.mean([np.log1p(np.exp(-v if t else v)) for v, t in zip(z, y, strict=True)]))
+
+    checked = 0
+    for part, moved in ((first.out, after.out), (first.filters[1], after.filters[1]), (first.bias[0], after.bias[0])):
+        for at in np.ndindex(part.shape):
+            keep = part[at]
+            part[at] = keep + 1e-3
+            up = loss(first)
+            part[at] = keep - 1e-3
+            down = loss(first)
+            part[at] = keep
+            slope = (up - down) / 2e-3
+            if abs(slope) > 1e-3:
+                assert np.sign(part[at] - moved[at]) == np.sign(slope)
+                checked += 1
+    assert checked > 5
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     docs, labels = labelled(spark, 200)
     out = toxicity.toxicity(docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000)), labels)
@@ -68,6 +142,21 @@ def test_expectation_maximisation_recovers_accuracies():
     assert all(abs(chance[j, 1, quality.GOOD] / (1 - chance[j, 1, quality.ABSTAIN]) - a) < 0.05 for j, a in enumerate(accuracy))
 
 
+def test_posteriors_match_enumeration():
+    """Given the estimated chances, each pattern's posterior by Bayes' rule over the two classes, vote by vote."""
+    r = np.random.default_rng(2)
+    patterns = np.array([[a, b, c] for a in range(3) for b in range(3) for c in range(3)])
+    counts = r.integers(1, 200, len(patterns)).astype(float)
+    q, chance, prior = quality.expectation_maximisation(patterns, counts, rounds=4000)
+    for row, got in zip(patterns.tolist(), q, strict=True):
+        odds = [1 - prior, prior]
+        for j, v in enumerate(row):
+            if v != quality.ABSTAIN:
+                for c in (0, 1):
+                    odds[c] *= chance[j, c, v] / (chance[j, c, quality.GOOD] + chance[j, c, quality.BAD])
+        assert abs(odds[1] / sum(odds) - got) < 1e-4
+
+
 def test_quality_odd_rows(odd, empty):
     out = quality.quality(odd)
     assert out.count() == odd.count() and out.where("score IS NULL").count() == 0
