@@ -198,13 +198,42 @@ def test_licences_match_brute_force(spark, odd, tables):
     assert licences.scan(docs.where("false")).count() == 0
 
 
-def test_no_notice_crowds_out_another(spark, odd):
-    mit, bsd = (next(t for k, t, p in licences.TEMPLATES if k == label and len(t.split()) > 10) for label in ("mit", "bsd"))
+def notice(label, least=40):
+    return next(t for k, t, _ in licences.TEXTS if k == label and len(t.split()) > least)
+
+
+def test_texts_that_only_name_a_licence_and_changed_notices(spark, odd, tmp_path):
+    import duckdb
+
+    mit, bsd, gpl, isc, mpl = notice("mit"), notice("bsd"), notice("gpl"), notice("isc", 20), notice("mpl", 20)
     nc, words = "Licensed under CC BY-NC 4.0.", "any associated binary charge conditions copy deal documentation"
-    made = [(1, f"{mit}\n{nc}\n{bsd}"), (2, f"{bsd} and {nc} {mit}"), (3, f"{words} {nc}"), (4, f"{words} x mit license"), (5, nc), (6, f"{mit} {bsd}")]
-    # the words of the shortest notice are frequent here, so that the rarest of a file are those of the others
+    made = [
+        ("We left the Mozilla Public License behind in 1999 and never looked back.", ""),
+        ("The essay compares the GNU Affero General Public License with other texts.", "gpl"),
+        ("He had permission is hereby granted free of charge on his lips and sought to deal in the software without restriction.", ""),
+        ("Redistribution and use in source and binary forms was the topic of the talk.", ""),
+        (f"{mit}\n{nc}\n{bsd}", "bsd,cc-by-nc,mit"),
+        (f"{bsd} and {nc} {mit}", "bsd,cc-by-nc,mit"),
+        (f"{words} {nc}", "cc-by-nc"),
+        (f"{words} x mit license", "mit"),
+        (f"{mit} {bsd}", "bsd,mit"),
+        (f"{gpl.replace('This program', 'The Small Tool of Example Company Limited')}", "gpl"),
+        (bsd.replace("the copyright holder nor", "Example Company and its many friends abroad nor"), "bsd"),
+        (mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "PERSONS NAMED ABOVE"), "mit"),
+        (isc, "isc"),
+        (mpl, "mpl"),
+        ("prose " * 3000 + mit + " prose" * 3000, "mit"),
+        ("Licensed under the Mozilla Public License", "mpl"),
+        ("licensed under cc by 4 0; licensed under cc by 4 0", "cc-by"),
+    ]
     common = [(100 + i, f"licensed under cc by nc 4 0 {i}", "en", "s", 0) for i in range(40)]
-    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in made] + common, odd.schema)
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(docs).collect()}
-    assert [got[d][0] for d in range(1, 7)] == ["bsd,cc-by-nc,mit", "bsd,cc-by-nc,mit", "cc-by-nc", "mit", "cc-by-nc", "bsd,mit"]
-    assert all(got[d][1] == 1 for d in (1, 2, 5, 6)) and 0 < got[3][1] <= 1 and 0.5 <= got[4][1] <= 1
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, (t, _) in enumerate(made)] + common, odd.schema)
+    found = licences.scan(docs)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in found.collect()}
+    assert [got[d][0] for d in range(len(made))] == [want for _, want in made]
+    assert got[1][1] == 0.5 and got[0][1] == 0 and got[4][1] == 1
+    path = str(tmp_path / "documents")
+    docs.unionByName(odd).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    same(licences.scan(docs.unionByName(odd)), con, licences.ORACLE_SQL)
