@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointmill.functions.text import is_numeric, tokens
+from pointmill.ordered import BLOCK, number_rows
 
 NAMES = ("x", "y", "yerr", "xerr")
 
 
 def lines(spark: SparkSession, path: str | list[str], recursive: bool = False, suffix: str | None = None) -> DataFrame:
-    """set_id (the file), line (from 0), text. A file is read whole: these formats are small, and there may be many."""
+    """set_id (the file), line (from 0), text. Large files are read in splits: lines are numbered within each and shifted by
+    those of the splits before, so that no task needs a whole file."""
     reader = spark.read.option("recursiveFileLookup", recursive)
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("set_id"), F.split("value", "\n").alias("__lines"))
-    return whole.select("set_id", F.posexplode("__lines").alias("line", "text"))
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("set_id"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("text"))
+    return number_rows(rows, ["set_id"], ["__at"], F.col("__split")).select("set_id", F.col("i").alias("line"), "text")
 
 
 def numeric_rows(rows: DataFrame) -> DataFrame:
@@ -35,9 +37,8 @@ def curve(rows: DataFrame, skip: int = 0, scale_x: float = 1.0) -> DataFrame:
     numeric = numeric_rows(rows)
     counts = numeric.groupBy("set_id", "width").agg(F.count(F.lit(1)).alias("__n"))
     width = counts.groupBy("set_id").agg(F.min_by("width", F.struct(-F.col("__n"), F.col("width"))).alias("width"))
-    by = Window.partitionBy("set_id").orderBy("line")  # a file's lines
-    placed = numeric.join(width, ["set_id", "width"]).withColumn("i", (F.row_number().over(by) - 1 - skip).cast("long")).where("i >= 0")
-    placed = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("set_id")))
+    placed = number_rows(numeric.join(width, ["set_id", "width"]), ["set_id"], ["line"], F.floor(F.col("line") / F.lit(BLOCK)))
+    placed = placed.withColumns({"i": F.col("i") - skip, "n": F.col("n") - skip}).where("i >= 0")
     out = placed.select("set_id", "i", "n", *[F.try_element_at("values", F.lit(k + 1)).alias(c) for k, c in enumerate(NAMES)])
     return out.withColumn("x", F.col("x") * scale_x) if scale_x != 1.0 else out
 

@@ -11,27 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed values of the format: voxel type by mode.
 MODES = {0: np.int8, 1: np.int16, 2: np.float32, 6: np.uint16, 12: np.float16}
+#: Fixed values of reconstruction files: the stamp of those whose flags count, and the flags of signed bytes and half bytes.
+REC_STAMP, REC_SIGNED, REC_HALF_BYTES = 1146047817, 1, 16
 VOXEL = "set_id string, x int, y int, z int, val float, cell double"
 
 
-def header(raw: bytes) -> dict:
-    """Sizes, mode, axis order, cell lengths; modes of complex or packed numbers are an error."""
+def header(raw: bytes, reconstruction: bool = False) -> dict:
+    """Sizes, voxel type, axis order, cell lengths; modes of complex or packed numbers are an error. Bytes of a reconstruction
+    (.rec) are unsigned, unless its stamp and flags say signed."""
     if len(raw) < 1024:
         raise ValueError("no room for a header")
     words = struct.unpack("<10i", raw[:40])
     mode = words[3]
     if mode not in MODES:
         raise ValueError(f"mode {mode} isn't supported")
+    kind = MODES[mode]
+    if reconstruction and mode == 0:
+        stamp, flags = struct.unpack("<2i", raw[152:160])
+        if stamp == REC_STAMP and flags & REC_HALF_BYTES:
+            raise ValueError("voxels of half a byte aren't supported")
+        kind = np.int8 if stamp == REC_STAMP and flags & REC_SIGNED else np.uint8
     lengths = struct.unpack("<3f", raw[40:52])
     order = struct.unpack("<3i", raw[64:76])
     extended = struct.unpack("<i", raw[92:96])[0]
-    return {"size": words[:3], "mode": mode, "grid": words[7:10], "lengths": lengths, "order": order if sorted(order) == [1, 2, 3] else (1, 2, 3), "extended": max(0, extended)}
+    return {"size": words[:3], "mode": mode, "kind": kind, "grid": words[7:10], "lengths": lengths, "order": order if sorted(order) == [1, 2, 3] else (1, 2, 3), "extended": max(0, extended)}
 
 
-def voxels(raw: bytes) -> tuple[np.ndarray, float]:
+def voxels(raw: bytes, reconstruction: bool = False) -> tuple[np.ndarray, float]:
     """The voxels as [x, y, z], and the width of a cell."""
-    h = header(raw)
-    kind = np.dtype(MODES[h["mode"]]).newbyteorder("<")
+    h = header(raw, reconstruction)
+    kind = np.dtype(h["kind"]).newbyteorder("<")
     body = raw[1024 + h["extended"] :]
     count = int(np.prod(h["size"]))
     if len(body) != count * kind.itemsize:
@@ -48,7 +57,7 @@ def read_map(spark: SparkSession, path: str | list[str], section: int = 1 << 20)
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                data, cell = voxels(raw)
+                data, cell = voxels(raw, name.lower().endswith(".rec"))
                 step = max(1, section // max(1, data[0].size))
                 for lo in range(0, data.shape[0], step):
                     part = data[lo : lo + step]

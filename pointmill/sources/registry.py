@@ -28,7 +28,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """A structure's atoms, a curve's rows or a map's voxels, by the path's suffix."""
     readers = {".pdb": structures.read_pdb, ".ent": structures.read_pdb, ".xyz": structures.read_xyz, ".dat": curves.read_dat, ".rsr": curves.read_dat, ".xvg": curves.read_xvg}
     if suffix(path) == ".cif":
-        return structures.cif_points(structures.read_cif(spark, path))
+        return structures.read_cif_atoms(spark, path)
     if suffix(path) in MAPS:
         return maps.read_map(spark, path)
     if suffix(path) not in readers:

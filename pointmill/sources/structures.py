@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +37,35 @@ def pdb_records(rows: DataFrame) -> DataFrame:
     return out.join(most, "set_id").withColumn("occupancy", F.when(F.col("__most") == 0, 1.0).otherwise(F.col("occupancy"))).drop("__most")
 
 
-def unknown_records(rows: DataFrame) -> DataFrame:
-    """Lines that are neither atoms, terminators, headers nor footers: a caller may raise on them."""
+def _known(text: Column) -> Column:
     known = ("ATOM", "HETATM", "TER", "END", "ENDMDL", "MASTER", "CONECT", "ANISOU", "LINK", "SSBOND", "HET", "HETNAM", "FORMUL", "DBREF", "SCALE1", "SCALE2", "SCALE3", "ORIGX1", "ORIGX2", "ORIGX3", "SITE", "CISPEP", "NUMMDL", "SEQADV", "MODRES", "HETSYN", "DBREF1", "DBREF2", "SPLIT", "CAVEAT", "OBSLTE", "SPRSDE", "MDLTYP", "MTRIX1", "MTRIX2", "MTRIX3", "")
-    return rows.where(~F.trim(F.substring("text", 1, 6)).isin(*known, *_HEADER))
+    return F.trim(F.translate(F.substring(text, 1, 6), "\r", "")).isin(*known, *_HEADER)
 
 
-def read_pdb(spark: SparkSession, path: str | list[str], keep_hydrogens: bool = False) -> DataFrame:
-    out = pdb_records(lines(spark, path))
+def unknown_records(rows: DataFrame) -> DataFrame:
+    """Lines that are neither atoms, terminators, headers nor footers."""
+    return rows.where(~_known(F.col("text")))
+
+
+def _part_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of path, or of its parts (name_part1.pdb, name_part2.pdb, ...) under path's name where it comes in parts."""
+    if isinstance(path, str) and "*" not in path and "." in path:
+        stem, suffix = path.rsplit(".", 1)
+        try:
+            parts = lines(spark, f"{stem}_part[0-9]*.{suffix}")
+        except AnalysisException:  # no such file
+            return lines(spark, path)
+        number = F.regexp_extract("set_id", r"_part(\d+)\.[^.]*$", 1).cast("long")
+        return parts.select(F.regexp_replace("set_id", r"_part\d+(\.[^.]*)$", "$1").alias("set_id"), (number * F.lit(1 << 32) + F.col("line")).alias("line"), "text")
+    return lines(spark, path)
+
+
+def read_pdb(spark: SparkSession, path: str | list[str], keep_hydrogens: bool = False, strict: bool = True) -> DataFrame:
+    """The atoms of a file, or of its parts one after another. A record of no known kind is an error, unless strict is off."""
+    rows = _part_lines(spark, path)
+    if strict:
+        rows = rows.where(F.when(_known(F.col("text")), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unrecognized record: "), F.substring("text", 1, 6))).cast("boolean")))
+    out = pdb_records(rows)
     return out if keep_hydrogens else out.where("element <> 'H'")
 
 
@@ -57,19 +81,52 @@ def read_xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_cif(spark: SparkSession, path: str | list[str], category: str = "_atom_site", recursive: bool = False) -> DataFrame:
-    """set_id, line and a map of label to value for each row of the loop of a category: the labels are the lines that begin with
-    it, the rows the lines after them up to a #, a loop_ or another label."""
-    rows = lines(spark, path, recursive).withColumn("text", F.trim("text"))
+    """set_id, line and a map of label to value for each row of a category's loops: the labels are the lines that begin with it
+    and a dot (or, as crystal files have them, an underscore), the rows the lines after them up to a #, a loop_, a data_ or
+    another label. Categories that only begin alike are other loops; of atom sites the one that tells elements is read."""
+    rows = lines(spark, path, recursive).withColumn("text", F.trim(F.translate("text", "\r", "")))
     w = Window.partitionBy("set_id").orderBy("line")
-    label = F.col("text").startswith(f"{category}.")
+    label = F.col("text").rlike(f"^{category}[._]")
     marked = rows.withColumn("__label", label).withColumn("__ends", F.col("text").rlike(r"^(#|loop_|_|data_)") & ~label)
-    seen = marked.withColumns({"__labels": F.sum(F.col("__label").cast("int")).over(w), "__since": F.max(F.when(F.col("__label"), F.col("line"))).over(w), "__ended": F.max(F.when(F.col("__ends"), F.col("line"))).over(w)})
-    names = seen.where("__label").groupBy("set_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: F.split_part(F.split(s["text"], r"\s+")[0], F.lit("."), F.lit(2))).alias("__names"))
-    data = seen.where((F.col("__labels") > 0) & ~F.col("__label") & ~F.col("__ends") & (F.coalesce("__ended", F.lit(-1)) < F.col("__since")) & (F.col("text") != ""))
-    parts = data.join(names, "set_id").withColumn("__t", quoted_tokens(F.col("text")))
+    starts = (F.col("__label") & ~F.coalesce(F.lag("__label").over(w), F.lit(False))).cast("int")
+    seen = marked.withColumn("__starts", starts)
+    seen = seen.withColumns({"__loop": F.sum("__starts").over(w), "__since": F.max(F.when(F.col("__label"), F.col("line"))).over(w), "__ended": F.max(F.when(F.col("__ends"), F.col("line"))).over(w)})
+    name = F.regexp_extract("text", rf"^{category}[._](\S+)", 1)
+    names = seen.where("__label").groupBy("set_id", "__loop").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", name.alias("name")))), lambda s: s["name"]).alias("__names"))
+    if category == "_atom_site":
+        names = names.where(F.array_contains("__names", "type_symbol") | F.array_contains("__names", "Cartn_x"))
+    data = seen.where((F.col("__loop") > 0) & ~F.col("__label") & ~F.col("__ends") & (F.coalesce("__ended", F.lit(-1)) < F.col("__since")) & (F.col("text") != ""))
+    parts = data.join(names, ["set_id", "__loop"]).withColumn("__t", quoted_tokens(F.col("text")))
     return parts.where(F.size("__t") == F.size("__names")).select("set_id", "line", F.map_from_arrays("__names", "__t").alias("row"))
 
 
+def cif_items(spark: SparkSession, path: str | list[str], category: str) -> DataFrame:
+    """set_id and a map of label to value of a category's single items, a label and its value a line."""
+    pattern = rf"^{category}[._](\S+)\s+(\S.*)$"
+    rows = lines(spark, path).withColumn("text", F.trim(F.translate("text", "\r", ""))).where(F.col("text").rlike(pattern))
+    entry = F.struct(F.regexp_extract("text", pattern, 1).alias("k"), F.regexp_extract("text", pattern, 2).alias("v"))
+    return rows.groupBy("set_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("items"))  # a few lines a file
+
+
+def _other_than(key: str) -> Callable[[Column, Column], Column]:
+    return lambda k, v: k != key
+
+
+def read_cif_atoms(spark: SparkSession, path: str | list[str], keep_hydrogens: bool = True) -> DataFrame:
+    """The atoms of macromolecule and crystal files alike: a row without Cartesian coordinates is a crystal's, whose fractional
+    ones are taken times the lengths of the file's cell (of right angles: others are read as if they were right)."""
+    cells = cif_items(spark, path, "_cell").select("set_id", *[F.regexp_extract(F.col("items")[f"length_{c}"], r"^[^(]*", 0).try_cast("double").alias(f"__{c}") for c in "abc"])
+    rows = read_cif(spark, path).join(F.broadcast(cells) if isinstance(path, str) and "*" not in path else cells, "set_id", "left")
+    filled = rows
+    for axis, side in zip("xyz", "abc", strict=True):
+        missing = F.col("row")[f"Cartn_{axis}"].isNull() & F.col("row")[f"fract_{axis}"].isNotNull()
+        length = F.coalesce(F.col(f"__{side}"), F.raise_error(F.lit(f"a crystal without cell length {side}")).cast("double"))
+        value = (F.regexp_extract(F.col("row")[f"fract_{axis}"], r"^[^(]*", 0).try_cast("double") * length).cast("string")
+        filled = filled.withColumn("row", F.when(missing, F.map_concat(F.map_filter("row", _other_than(f"Cartn_{axis}")), F.create_map(F.lit(f"Cartn_{axis}"), value))).otherwise(F.col("row")))
+    out = cif_points(filled.drop("__a", "__b", "__c"))
+    return out if keep_hydrogens else out.where("element <> 'H'")
+
+
 def cif_points(rows: DataFrame) -> DataFrame:
     """The atom fields of a loop's rows; author's labels come first, missing optional ones are null, coordinates must be there."""
     def pick(*names: str) -> Column:
@@ -77,7 +134,7 @@ def cif_points(rows: DataFrame) -> DataFrame:
         return F.coalesce(*found) if len(found) > 1 else found[0]
 
     return rows.select(
-        "set_id", "line", pick("group_PDB").alias("record"), pick("id").try_cast("int").alias("serial"), pick("auth_atom_id", "label_atom_id").alias("name"), pick("label_alt_id").alias("altLoc"),
+        "set_id", "line", pick("group_PDB").alias("record"), pick("id").try_cast("int").alias("serial"), pick("auth_atom_id", "label_atom_id", "label").alias("name"), pick("label_alt_id").alias("altLoc"),
         pick("auth_comp_id", "label_comp_id").alias("resName"), pick("auth_asym_id", "label_asym_id").alias("chainID"), pick("auth_seq_id", "label_seq_id").try_cast("int").alias("resSeq"),
         *[F.coalesce(F.col("row")[f"Cartn_{c}"].try_cast("double"), F.raise_error(F.lit(f"no coordinate {c}")).cast("double")).alias(c) for c in "xyz"],
         F.coalesce(pick("occupancy").try_cast("double"), F.lit(1.0)).alias("occupancy"), F.upper(pick("type_symbol")).alias("element"),
