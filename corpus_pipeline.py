@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import read, table_in_shared_folder
+from pointmill.llm.common import read, small_batches, table_in_shared_folder
 from pointmill.llm.decontamination import clean
 from pointmill.llm.line_dedup import line_dedup
 from pointmill.llm.near_duplicates import one_of_each_group
@@ -55,12 +55,20 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
+def _in_small_batches(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality", quality),
-    ("line_dedup", lines),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("packing", packing),
+    ("quality", _in_small_batches(quality)),
+    ("line_dedup", _in_small_batches(lines)),
+    ("near_duplicates", _in_small_batches(near_duplicates)),
+    ("decontamination", _in_small_batches(decontamination)),
+    ("packing", _in_small_batches(packing)),
 ]
 
 #: SQL can't express learnt scores, MinHash pruning, alignment or tokenizing: the stages are tested against brute force.

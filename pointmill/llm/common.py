@@ -41,10 +41,18 @@ def table_in_shared_folder(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand at most ROWS_PER_BATCH rows at once to Python in this session: for executors of little memory beside
+    the heap. The registered queries and the pipeline ask for it; operators leave the session as it is."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch, called on slices of few rows.
 
-    Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), so no session setting is touched."""
+    Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), so no session setting is touched
+    here; see small_batches for less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -214,7 +214,7 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
     members = cut(bands.join(buckets, "key"))
     hubs = members.groupBy("cid").agg(F.min("first").alias("hub"))
     sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("hub_n"))
-    homes = hubs.join(sizes, "hub").select("cid", F.xxhash64("hub", F.pmod(F.xxhash64("cid"), F.ceil(F.col("hub_n") / F.lit(BLOCK)))).alias("home"))
+    homes = salted_join(hubs, sizes, ["hub"], F.col("cid")).select("cid", F.xxhash64("hub", F.pmod(F.xxhash64("cid"), F.ceil(F.col("hub_n") / F.lit(BLOCK)))).alias("home"))
     known = homes.join(classes.select("cid", "sig"), "cid")
     rows = _blocks_of(members.join(known, "cid").select("key", "n", "cid", "home", "sig"), "key", "n", "cid").drop("n")
     least = least_matches(threshold)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pointmill.llm import licences, rules
 from pointmill.llm import line_dedup as lines
-from pointmill.llm.common import read
+from pointmill.llm.common import read, small_batches
 from pointmill.llm.decontamination import contamination
 from pointmill.llm.html_text import extract
 from pointmill.llm.language import identify
@@ -60,7 +60,15 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {
+def _in_small_batches(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_OWN: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
@@ -73,6 +81,8 @@ QUERIES: dict[str, Query] = {
     "op10_licences": op10_licences,
 }
 
+QUERIES: dict[str, Query] = {name: _in_small_batches(query) for name, query in _OWN.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": rules.ORACLE_SQL,
     "op8_line_dedup": lines.ORACLE_SQL,
