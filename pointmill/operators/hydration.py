@@ -52,3 +52,39 @@ def neighbour_voxels(voxels: DataFrame, steps: int) -> DataFrame:
     offsets = F.array(*[F.struct(*[F.lit(v * steps).alias(n) for v, n in zip(s, "abc", strict=True)]) for s in _SIDES])
     made = voxels.select("i", "j", "k").distinct().withColumn("o", F.explode(offsets)).select(*[(F.col(n) + F.col(f"o.{m}")).alias(n) for n, m in zip("ijk", "abc", strict=True)]).distinct()
     return made.join(voxels.select("i", "j", "k").distinct(), ["i", "j", "k"], "left_anti")
+
+
+def contacts(candidates: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """candidates with score: how many points lie within reach of each, by the same cells as in free()."""
+
+    def cell(c):
+        return F.floor(F.col(c) / reach)
+
+    offset = F.explode(F.array(*[F.lit(v) for v in (-1, 0, 1)]))
+    near = points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), *[cell(c).alias(f"p{n}") for c, n in zip("xyz", "abc", strict=True)])
+    spread = candidates.select("of", "x", "y", "z", *[cell(c).alias(n) for c, n in zip("xyz", "abc", strict=True)]).withColumn("da", offset).withColumn("db", offset).withColumn("dc", offset)
+    met = spread.join(near, (F.col("a") + F.col("da") == F.col("pa")) & (F.col("b") + F.col("db") == F.col("pb")) & (F.col("c") + F.col("dc") == F.col("pc")), "left")
+    close = sum(((F.col(c) - F.col(f"p{c}")) ** 2 for c in "xyz"), F.lit(0.0)) <= reach * reach
+    return met.groupBy("of", "x", "y", "z").agg(F.count_if(F.coalesce(close, F.lit(False))).alias("score"))
+
+
+def thinned(scored: DataFrame, spacing: float) -> DataFrame:
+    """One candidate for each cell of width spacing: that of most contacts (of equal ones the least of, x, y, z)."""
+    cells = [F.floor(F.col(c) / spacing) for c in "xyz"]
+    best = F.min(F.struct((-F.col("score")).alias("s"), "of", "x", "y", "z")).alias("r")
+    return scored.groupBy(*[c.alias(f"__{n}") for c, n in zip(cells, "abc", strict=True)]).agg(best).select("r.of", "r.x", "r.y", "r.z", (-F.col("r.s")).alias("score"))
+
+
+def hydrate(points: DataFrame, shell: float = 3.0, clearance: float = 2.5, reach: float = 5.0, spacing: float = 2.0, waters: int | None = None, directions: list[tuple[float, float, float]] | None = None, weight: float = 10.0) -> DataFrame:
+    """points with waters attached (kind w): candidates shell away along the axes (or directions), less those with a point
+    nearer than clearance, scored by contacts, thinned, and culled to so many of most contacts (all that a shell about a
+    body of this size holds, unless given; see target)."""
+    from pointmill.operators.mass import radius_of_gyration
+
+    if waters is None:
+        waters = int(target(radius_of_gyration(points).first()["rg"] or 0.0))
+    made = in_directions(points, shell, directions) if directions else along_axes(points, shell)
+    kept = thinned(contacts(free(made, points, clearance), points, reach), spacing).orderBy(F.desc("score"), "of", "x", "y", "z").limit(waters)
+    columns = {"id": F.xxhash64(F.lit("w"), "of", "x", "y", "z").cast(points.schema["id"].dataType), "w": F.lit(float(weight)), "kind": F.lit("w")}
+    attached = kept.select(*[(columns[c] if c in columns else F.col(c) if c in "xyz" else F.lit(None).cast(points.schema[c].dataType)).alias(c) for c in points.columns])
+    return points.unionByName(attached)

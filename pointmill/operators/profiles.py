@@ -45,6 +45,20 @@ def transform(histogram: DataFrame, q: DataFrame, keys: list[str] | None = None,
     return out.withColumn("intensity", F.col("intensity") * envelope(F.col("q"))) if enveloped else out
 
 
+def transform_at(histogram: DataFrame, q: DataFrame, axis: Axis = Q_AXIS, low: float = Q_RANGE[0], high: float = Q_RANGE[1]) -> DataFrame:
+    """q, intensity at any q (a small table): inside the default axis by the spline through its samples, which are computed
+    once whatever is asked; outside by the kernel itself."""
+    from pointmill.operators.spline import interpolate_at
+    from pointmill.ordered import number_rows
+
+    spark, asked = histogram.sparkSession, q.select("q").distinct()
+    last = max(axis.value(i) for i in range(axis.bins) if axis.value(i) < high - 1e-12)
+    inside = F.col("q").between(low - 1e-12, last + 1e-12)
+    knots = transform(histogram, q_axis(spark, axis, low, high)).select(F.lit(0).alias("set_id"), F.col("q").alias("x"), F.col("intensity").alias("y"))
+    near = interpolate_at(number_rows(knots, ["set_id"], ["x"], F.lit(0)), asked.where(inside).select(F.lit(0).alias("set_id"), F.col("q").alias("x")))
+    return near.select(F.col("x").alias("q"), F.col("y").alias("intensity")).unionByName(transform(histogram, asked.where(~inside)))
+
+
 #: Points that exact() takes at most: it holds every pair times every q, to check the binned transforms by.
 EXACT_POINTS = 20_000
 

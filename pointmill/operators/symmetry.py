@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from pointmill.config import DISTANCE_AXIS
+from pointmill.operators.pairs import cross_histogram, merge, pair_histogram
+
 TRANSFORM = "body long, copy int, r00 double, r01 double, r02 double, r10 double, r11 double, r12 double, r20 double, r21 double, r22 double, t0 double, t1 double, t2 double"
 
 
@@ -91,6 +94,23 @@ def pair_schedule(rotations: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def histogram(points: DataFrame, rotations: list[np.ndarray], centre: tuple[float, float, float] = (0, 0, 0), width: float = DISTANCE_AXIS.width) -> DataFrame:
+    """bin, value, cnt, dsum of the assembly that a group of rotations makes of points: as if all copies were joined with
+    each other, from copy 0 with itself and with the scheduled copies alone."""
+    n, spark = len(rotations), points.sparkSession
+    schedule = [(k, weight) for k, weight in pair_schedule(rotations) if k]
+    own = pair_histogram(points, width=width).select("bin", *[(F.col(c) * n).alias(c) for c in ("value", "cnt", "dsum")])
+    if not schedule:
+        return own
+    one = points.select(F.lit(0).cast("long").alias("body"), "id", "x", "y", "z", "w")
+    moved = transforms(spark, {0: rotations}, centre).where(F.col("copy").isin([k for k, _ in schedule]))
+    others = copies(one, moved)
+    times = F.broadcast(spark.createDataFrame([(k, n * weight / 2) for k, weight in schedule], "copy_b int, times double"))
+    cross = cross_histogram(one.withColumn("copy", F.lit(0)), others, ["copy"], width).join(times, "copy_b")
+    both = cross.select("bin", *[(F.col(c) * F.col("times")).cast(t).alias(c) for c, t in (("value", "double"), ("cnt", "long"), ("dsum", "double"))])
+    return merge(own.unionByName(both))
+
+
 def moments(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A row by keys of the sums from which the superposition of point pairs (ax .. az onto bx .. bz) follows."""
     sums = [F.count(F.lit(1)).alias("n")]

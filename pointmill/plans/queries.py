@@ -618,3 +618,7 @@ def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming aggregation, run over the table as a batch."""
     return rounded(incremental.windowed(table(spark, sf_dir, "events"), window="1 hour").withColumn("start", F.col("start").cast("timestamp_ntz")), {"total": 4})
+
+
+# the queries of solvent, symmetry and parameter fits register themselves
+from pointmill.plans import solvent as _solvent  # noqa: E402, F401

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,21 +47,50 @@ def apply_changes(points: DataFrame, changes: DataFrame) -> DataFrame:
     return points.join(gone, "body", "left_anti").unionByName(changes.where("id IS NOT NULL").select(*points.columns))
 
 
-def maintain(changes: DataFrame, points_path: str, partial_path: str, checkpoint: str, width: float = DISTANCE_AXIS.width, on_update: Callable[[int], None] | None = None) -> StreamingQuery:
-    """A streaming query over changes (whole new states of bodies). Each batch writes version batch + 1 of both tables and
-    reads version batch, so a batch that runs again after a failure gives the same tables."""
+def begin(points: DataFrame, path: str, width: float = DISTANCE_AXIS.width) -> None:
+    """Version 0 of the tables below path: all points, and the histograms of all pairs of bodies."""
+    points.write.mode("overwrite").parquet(f"{path}/points/version=0")
+    by_body_pairs(points, width).write.mode("overwrite").parquet(f"{path}/pairs/version=0")
+    points.select("body").distinct().write.mode("overwrite").parquet(f"{path}/changed/version=0")
+
+
+def _last(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """body and the last version, up to the given one, in which it changed: a row for each body."""
+    return spark.read.parquet(f"{path}/changed").where(F.col("version") <= version).groupBy("body").agg(F.max("version").alias("last"))
+
+
+def current_points(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The points as of a version: each body's rows of the version in which it last changed."""
+    rows = spark.read.parquet(f"{path}/points").where(F.col("version") <= version)
+    return rows.join(_last(spark, path, version), "body").where("version = last").drop("version", "last")
+
+
+def current_pairs(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The histograms as of a version: a pair's rows are those of the later of both bodies' last changes."""
+    rows, last = spark.read.parquet(f"{path}/pairs").where(F.col("version") <= version), _last(spark, path, version)
+    one = rows.join(last.withColumnsRenamed({"body": "body_a", "last": "last_a"}), "body_a")
+    both = one.join(last.withColumnsRenamed({"body": "body_b", "last": "last_b"}), "body_b")
+    return both.where(F.col("version") == F.greatest("last_a", "last_b")).drop("version", "last_a", "last_b")
+
+
+def maintain(changes: DataFrame, path: str, checkpoint: str, width: float = DISTANCE_AXIS.width, on_update: Callable[[int], None] | None = None) -> StreamingQuery:
+    """A streaming query over changes (whole new states of bodies; an empty one is a row with a null id). Batch n writes
+    version n + 1 below path: the changed bodies, their points and the histograms of the pairs that touch them, nothing
+    else. It reads versions up to n alone and overwrites its own, so a batch that runs again gives the same tables. begin()
+    on current_points() starts anew where versions have become many."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        points, partial = (spark.read.parquet(f"{p}/version={number}") for p in (points_path, partial_path))
+        spark, version = batch.sparkSession, number + 1
         batch = batch.persist()
         changed = [r["body"] for r in batch.select("body").distinct().collect()]  # ids of the bodies of one batch
-        apply_changes(points, batch).write.mode("overwrite").parquet(f"{points_path}/version={number + 1}")
-        new = spark.read.parquet(f"{points_path}/version={number + 1}")
-        update(partial, new, changed, width).write.mode("overwrite").parquet(f"{partial_path}/version={number + 1}")
+        batch.select("body").distinct().write.mode("overwrite").parquet(f"{path}/changed/version={version}")
+        batch.where("id IS NOT NULL").write.mode("overwrite").parquet(f"{path}/points/version={version}")
+        before = current_points(spark, path, number)
+        now = before.where(~F.col("body").isin(changed)).unionByName(batch.where("id IS NOT NULL").select(*before.columns))
+        touched(now, changed, width).write.mode("overwrite").parquet(f"{path}/pairs/version={version}")
         batch.unpersist()
         if on_update:
-            on_update(number + 1)
+            on_update(version)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 

@@ -6,24 +6,29 @@ from tests.test_points import cloud, counts
 
 
 def test_stream_of_changes(spark, tmp_path):
-    old = cloud(spark, 40, 5)
-    points, partial = str(tmp_path / "points"), str(tmp_path / "partial")
-    old.write.parquet(f"{points}/version=0")
-    incremental.by_body_pairs(old).write.parquet(f"{partial}/version=0")
+    """Only what touches changed bodies is written; every version equals the histogram of its points."""
+    old, path = cloud(spark, 40, 5), str(tmp_path / "tables")
+    incremental.begin(old, path)
     feed = str(tmp_path / "feed")
     for k in (1, 2):
         old.where(F.col("body") == k).withColumn("x", F.col("x") + 3.0 * k).coalesce(1).write.mode("append").parquet(feed)
+    gone = old.where(F.col("body") == 0).limit(1).withColumn("id", F.lit(None).cast(old.schema["id"].dataType))
+    gone.coalesce(1).write.mode("append").parquet(feed)
     stream = spark.readStream.schema(old.schema).option("maxFilesPerTrigger", 1).parquet(feed)
     seen = []
-    q = incremental.maintain(stream, points, partial, str(tmp_path / "ck"), on_update=seen.append)
+    q = incremental.maintain(stream, path, str(tmp_path / "ck"), on_update=seen.append)
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    last = max(seen)
-    assert last == 2
-    new = spark.read.parquet(f"{points}/version={last}")
-    assert counts(incremental.total(spark.read.parquet(f"{partial}/version={last}"))) == counts(pairs.merge(pairs.pair_histogram(new)))
+    assert max(seen) == 3
+    for version in range(4):
+        points = incremental.current_points(spark, path, version)
+        assert counts(incremental.total(incremental.current_pairs(spark, path, version))) == counts(pairs.merge(pairs.pair_histogram(points)))
+    bodies = old.select("body").distinct().count()
+    assert incremental.current_points(spark, path, 3).select("body").distinct().count() == bodies - 1
+    pairs_of = spark.read.parquet(f"{path}/pairs").where("version = 1").select("body_a", "body_b").distinct().count()
+    assert pairs_of == bodies
 
 
 def test_windows_of_a_stream_equal_the_batch(spark, sf_dir, tmp_path):
