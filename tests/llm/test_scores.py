@@ -56,8 +56,8 @@ def test_clusters_part_languages(tables):
     rows = tables["documents"].where("length(text) > 300").select("lang", "text").collect()
     words = []
     for block in toxicity.texts(toxicity.pa.array([r["text"] for r in rows])):
-        _, offsets, own = toxicity.features(block)
-        words += [own[offsets[i] : offsets[i + 1]] for i in range(len(block))]
+        ids, offsets = toxicity.features(block)
+        words += [ids[offsets[i] : offsets[i + 1], 0] for i in range(len(block))]
     clusters = toxicity.learn_clusters(words)
     found = [int(clusters(w, np.array([0, len(w)]))[0]) for w in words]
     pure = sum(max(sum(f == c and r["lang"] == lang for f, r in zip(found, rows, strict=True)) for lang in ("en", "de", "fr", "es")) for c in set(found))
