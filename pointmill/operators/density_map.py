@@ -57,3 +57,9 @@ def cutoff_scan(voxels: DataFrame, cutoffs: list[float], cell: float = 1.0) -> D
     counts = voxels.agg(*[F.count_if(F.col("val") >= c).alias(f"c{i}") for i, c in enumerate(cutoffs)])
     made = F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"c{i}").alias("voxels")) for i, c in enumerate(cutoffs)])
     return counts.select(F.explode(made).alias("r")).select("r.cutoff", "r.voxels", (F.col("r.voxels") * cell**3).alias("volume"))
+
+
+def image(voxels: DataFrame, z: int, step: int = 1) -> DataFrame:
+    """x, y, val: one section of the map as an image, step by step voxels averaged into a pixel."""
+    cells = [F.floor(F.col(c) / step).cast("int").alias(c) for c in "xy"]
+    return voxels.where(F.col("z") == z).groupBy(*cells).agg(F.avg("val").alias("val"))

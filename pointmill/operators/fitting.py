@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,17 @@ def valley(scan: DataFrame, allowance: float) -> DataFrame:
     """The parameters whose chi2 lies within allowance (a share) of the least: how well the minimum is known. A scan has few rows."""
     least = scan.agg(F.min("chi2").alias("__least"))
     return scan.join(F.broadcast(least)).where(F.col("chi2") <= F.col("__least") * (1 + allowance)).agg(F.min("p").alias("low"), F.max("p").alias("high"), F.min("chi2").alias("chi2"), F.avg("chi2").alias("mean_chi2"))
+
+
+def until_hopeless(scan: DataFrame, keys: list[str], limit: float, relative: bool = True, share: float = 0.7, window: int = 7, run: int = 3) -> DataFrame:
+    """The rows of a scan (keys, p, chi2) from the greatest p down to where it would have been given up: after the first
+    share of the values, once so many in a row, themselves and as the mean of the last window values, exceed limit (times the
+    least value so far, if relative). Keys' scans are few rows each, so all values are evaluated at once and cut here."""
+    down = Window.partitionBy(*keys).orderBy(F.desc("p"))
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bar = F.lit(float(limit)) * F.min("chi2").over(so_far) if relative else F.lit(float(limit))
+    late = F.row_number().over(down) > F.count(F.lit(1)).over(Window.partitionBy(*keys)) * share
+    over = late & (F.col("chi2") > bar) & (F.avg("chi2").over(down.rowsBetween(1 - window, 0)) > bar)
+    marked = scan.withColumn("__over", over.cast("int")).withColumn("__run", F.sum("__over").over(down.rowsBetween(1 - run, 0)))
+    ended = F.coalesce(F.max((F.col("__run") == run).cast("int")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("__ended", ended).where("__ended = 0").drop("__over", "__run", "__ended")

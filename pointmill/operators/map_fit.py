@@ -6,6 +6,8 @@ every cutoff: its histogram is the sum over the bands from there on.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,72 @@ def cutoff_histograms(points: DataFrame, levels: int, width: float = DISTANCE_AX
 
 def fit_cutoff(points: DataFrame, data: DataFrame, levels: int) -> DataFrame:
     """level, chi2, a, b: the measured curve against the profile of each cutoff."""
+    return _fit_cutoff(points, data, levels)[0]
+
+
+def _fit_cutoff(points: DataFrame, data: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """The fits, and the cached profiles that they are read from: hundreds of rows a level."""
     spark = points.sparkSession
     models = transform(cutoff_histograms(points, levels), q_axis(spark), ["level"]).select(F.col("level").alias("set_id"), F.col("q").alias("x"), F.col("intensity").alias("y")).persist()  # few rows, read more than once
     curves = number_rows(models, ["set_id"], ["x"], F.lit(0))
     measured = data.drop("set_id").withColumn("set_id", F.explode(F.sequence(F.lit(1), F.lit(levels))))
     joined = splice(curves, measured)
     line = regression(joined, ["set_id"], x="model")
-    return line.join(chi2(joined, line, ["set_id"], x="model"), "set_id").select(F.col("set_id").alias("level"), "chi2", "a", "b")
+    fits = line.join(chi2(joined, line, ["set_id"], x="model"), "set_id").select(F.col("set_id").alias("level"), "chi2", "a", "b")
+    return fits, models
+
+
+@dataclass
+class Cutoff:
+    """The best cutoff, its chi2, the least and greatest cutoff whose chi2 lies within the allowance, and the cutoffs at
+    whose minima the coarse, smoothed scan was looked at closer."""
+
+    cutoff: float
+    chi2: float
+    low: float
+    high: float
+    minima: list[float] = field(default_factory=list)
+
+
+def smoothed_minima(scan: list[tuple[int, float]], window: int = 3) -> list[int]:
+    """The levels at which chi2, averaged over neighbours, is lower than on both sides; an end counts if it is the lower one.
+    scan holds a row for each level."""
+    rows = sorted(scan)
+    half = window // 2
+    smooth = [sum(c for _, c in rows[max(0, i - half) : i + half + 1]) / len(rows[max(0, i - half) : i + half + 1]) for i in range(len(rows))]
+    inside = [float("inf"), *smooth, float("inf")]
+    return [rows[i][0] for i in range(len(rows)) if inside[i] > inside[i + 1] < inside[i + 2]]
+
+
+def search_cutoff(voxels: DataFrame, data: DataFrame, low: float, high: float, levels: int = 16, cell: float = 1.0, rounds: int = 2, most: int = 3, allowance: float = 0.1) -> Cutoff:
+    """The cutoff whose voxels give the measured curve: a coarse scan over low..high, then closer scans about each of the
+    best minima of its smoothed chi2, and about the best of those again. A scan of all its levels is one job; the driver sees
+    a row for each level."""
+    seen: dict[float, float] = {}
+    data = data.persist()  # few rows, read by every scan
+
+    def scan(lo: float, hi: float) -> list[tuple[int, float]]:
+        step = (hi - lo) / levels
+        fits, cached = _fit_cutoff(banded_points(voxels, levels, lo, hi, cell), data, levels)
+        rows = [(r["level"], r["chi2"]) for r in fits.select("level", "chi2").collect() if r["chi2"] is not None]
+        cached.unpersist()
+        seen.update({lo + (k - 1) * step: c for k, c in rows if c == c})
+        return rows
+
+    try:
+        rows, step = scan(low, high), (high - low) / levels
+        by_level = dict(rows)
+        places = [low + (k - 1) * step for k in sorted(smoothed_minima(rows), key=lambda k: by_level[k])[:most]]
+        if not seen:
+            raise ValueError("no cutoff leaves voxels that can be fitted")
+        for at in places:
+            scan(max(low, at - step), min(high, at + step))
+        for _ in range(rounds - 1):
+            step = 2 * step / levels
+            at = min(seen, key=lambda c: (seen[c], c))
+            scan(max(low, at - step), min(high, at + step))
+    finally:
+        data.unpersist()
+    best = min(seen, key=lambda c: (seen[c], c))
+    near = [c for c, v in seen.items() if v <= seen[best] * (1 + allowance)]
+    return Cutoff(best, seen[best], min(near), max(near), places)

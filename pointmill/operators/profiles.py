@@ -104,6 +104,25 @@ def volume_scale(q: Column, cx: float, kind: str = "average", c: float = 0.0) ->
     return F.lit({"average": cx, "grid": cx, "scalable": 1.0, "linear": 1 + cx * (3 - c)}[kind])
 
 
+#: Mean radii in Angstrom that other programs for the same curves scale displaced volume by.
+GAUSSIAN_RADIUS, LINEAR_RADIUS = 1.58, 1.64
+
+
+def emulated_scale(q: Column, cx: float, program: str, mean_volume: float | None = None) -> Column:
+    """How three other published conventions scale displaced volume with cx: "volume", by the mean displaced volume (needed
+    there alone; doi 10.1107/S0021889895007047), "radius", by a fixed mean radius, both as explicit models, and "linear", by
+    a constant radius without q (doi 10.1107/S2059798317005745)."""
+    if program == "volume":
+        if mean_volume is None:
+            raise ValueError("the mean displaced volume is needed")
+        return volume_scale(q, cx, "explicit", mean_volume ** (2 / 3) / (4 * pi))
+    if program == "radius":
+        return volume_scale(q, cx, "explicit", GAUSSIAN_RADIUS**2 / (4 * pi))
+    if program == "linear":
+        return volume_scale(q, cx, "linear", 2 * pi * (4 * pi / 3) ** (2 / 3) * LINEAR_RADIUS**2)
+    raise ValueError(f"no program {program}")
+
+
 def surface_total(interior: Column, cross: Column, surface: Column, cx: float) -> Column:
     """ii + cx is + cx^2 ss."""
     return interior + cx * cross + cx * cx * surface

@@ -1,8 +1,8 @@
 """Rigid-body refinement: many moves of bodies are tried in one job, and the best one is taken.
 
-A move turns one body about its centre of mass and shifts it. Distances within a body stay, as do those between bodies that
-don't move, so a move's histogram is the one by pairs of bodies less the rows that pair the moved body with others, plus the
-join of its moved points with all points of other bodies. All moves of a round are evaluated together; the driver holds
+A move turns a body, or a group of bodies held together by constraints, about a pivot and shifts it. Distances within the
+group stay, as do those between bodies that don't move, so a move's histogram is the one by pairs of bodies less the rows
+that pair the group with others, plus the join of its moved points with all points of other bodies. All moves of a round are evaluated together; the driver holds
 their transforms and one score each. Poses are kept as one transform a body and applied to the points as they were read, so
 plans don't grow with the rounds.
 """
@@ -23,12 +23,22 @@ from pointmill.operators.profiles import q_axis, transform
 from pointmill.operators.spline import splice
 from pointmill.ordered import number_rows
 
-Move = tuple[int, np.ndarray, np.ndarray]  # body, rotation, translation
+Move = tuple[int | tuple[int, ...], np.ndarray, np.ndarray]  # body or bodies, rotation, translation
+Target = tuple[tuple[int, ...], np.ndarray]  # the bodies that a move takes along, and the point about which it turns
+
+
+def _group(move: Move) -> tuple[int, ...]:
+    return move[0] if isinstance(move[0], tuple) else (move[0],)
+
+
+def _moving(spark: SparkSession, moves: list[Move]) -> DataFrame:
+    """move, moving: the bodies that each move takes along."""
+    return spark.createDataFrame([(k, list(_group(m))) for k, m in enumerate(moves)], "move int, moving array<long>")
 
 
 def table(spark: SparkSession, moves: list[Move]) -> DataFrame:
-    """A row for each move, numbered from 0 in the column copy, in the form that symmetry.copies takes."""
-    rows = [(body, k, *map(float, r.ravel()), *map(float, t)) for k, (body, r, t) in enumerate(moves)]
+    """A row for each body of each move, numbered from 0 in the column copy, in the form that symmetry.copies takes."""
+    rows = [(body, k, *map(float, m[1].ravel()), *map(float, m[2])) for k, m in enumerate(moves) for body in _group(m)]
     return spark.createDataFrame(rows, symmetry.TRANSFORM)
 
 
@@ -40,17 +50,19 @@ def moved(points: DataFrame, moves: list[Move]) -> DataFrame:
 def move_histograms(points: DataFrame, moves: list[Move], width: float = DISTANCE_AXIS.width) -> DataFrame:
     """move, bin, value, cnt, dsum of all pairs of points, for each move by itself."""
     slim = points.select("body", "id", "x", "y", "z", "w")
-    ids = points.sparkSession.createDataFrame([(k, body) for k, (body, _, _) in enumerate(moves)], "move int, moving long")
+    ids = _moving(points.sparkSession, moves)
     base = pairs.pair_histogram(slim, ["body"], width)
-    still = base.join(F.broadcast(ids)).where((F.col("body_a") == F.col("moving")) == (F.col("body_b") == F.col("moving")))
-    left, n = moved(slim, moves), slim.count()
+    still = base.join(F.broadcast(ids)).where(F.array_contains("moving", F.col("body_a")) == F.array_contains("moving", F.col("body_b")))
+    left, n, apart = moved(slim, moves), slim.count(), F.col("a.body") != F.col("b.body")
+    if any(len(_group(m)) > 1 for m in moves):
+        left, apart = left.join(F.broadcast(ids), "move"), ~F.array_contains("a.moving", F.col("b.body"))
     if n <= pairs.BROADCAST_POINTS:
-        both = left.alias("a").join(F.broadcast(slim.alias("b")), F.col("a.body") != F.col("b.body"))
+        both = left.alias("a").join(F.broadcast(slim.alias("b")), apart)
     else:  # points are dealt into tiles of bounded size; each moved point meets every tile
         tiles = -(-n // pairs.TILE)
         spread = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
         dealt = slim.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-        both = spread.alias("a").join(dealt.alias("b"), (F.col("a.tile") == F.col("b.tile")) & (F.col("a.body") != F.col("b.body")))
+        both = spread.alias("a").join(dealt.alias("b"), (F.col("a.tile") == F.col("b.tile")) & apart)
     d = pairs.distance("a", "b")
     cross = both.select("a.move", (F.col("a.w") * F.col("b.w")).alias("v"), d.alias("d"), pairs.bin_of(d, width).alias("bin"))
     sums = cross.groupBy("move", "bin").agg((F.sum("v") * 2).alias("value"), (F.count(F.lit(1)) * 2).alias("cnt"), (F.sum("d") * 2).alias("dsum"))
@@ -61,8 +73,8 @@ def penalties(points: DataFrame, moves: list[Move], wanted: DataFrame) -> DataFr
     """move, penalty: the sum over the constraints (id_a, id_b, rest, kind). Only their end points are carried for each move."""
     ends = wanted.select(F.col("id_a").alias("id")).union(wanted.select("id_b")).distinct()
     held = points.join(ends, "id", "left_semi").select("body", "id", "x", "y", "z", F.lit(1.0).alias("w"))
-    every = points.sparkSession.createDataFrame([(k, body) for k, (body, _, _) in enumerate(moves)], "move int, moving long")
-    rest = held.join(F.broadcast(every)).where(F.col("body") != F.col("moving"))
+    every = _moving(points.sparkSession, moves)
+    rest = held.join(F.broadcast(every)).where(~F.array_contains("moving", F.col("body")))
     columns = [F.concat_ws(":", "move", "id").alias("id"), "move", "x", "y", "z"]
     both = moved(held, moves).select(*columns).union(rest.select(*columns))
     own = wanted.join(F.broadcast(every)).select(F.concat_ws(":", "move", "id_a").alias("id_a"), F.concat_ws(":", "move", "id_b").alias("id_b"), "rest", "kind")
@@ -89,15 +101,68 @@ def _scores(points: DataFrame, moves: list[Move], data: DataFrame, wanted: DataF
     return both.select("move", "chi2", "penalty", (F.col("chi2") + F.col("penalty")).alias("total")), models
 
 
-def draw(centres: dict[int, np.ndarray], n: int, angle: float, shift: float, rng: np.random.Generator) -> list[Move]:
-    """n random moves of random bodies, turning by up to angle about the body's centre and shifting by up to shift an axis.
-    The first move leaves everything in its place."""
-    ids = sorted(centres)
-    out: list[Move] = [(ids[0], np.eye(3), np.zeros(3))]
-    while len(out) < n + 1:
-        body = ids[int(rng.integers(len(ids)))]
-        turn = symmetry.rotation(tuple(rng.normal(size=3)), float(rng.uniform(-angle, angle)))
-        out.append((body, turn, centres[body] - turn @ centres[body] + rng.uniform(-shift, shift, 3)))
+@dataclass(frozen=True)
+class Link:
+    """A constraint as bodies see it: the two bodies and its end points, where they were read."""
+
+    body_a: int
+    body_b: int
+    end_a: np.ndarray
+    end_b: np.ndarray
+
+
+def links(points: DataFrame, wanted: DataFrame) -> list[Link]:
+    """The constraints between different bodies, in order of their ids: a handful for each body, as the poses are."""
+    ends = points.select("id", F.col("body").cast("long").alias("body"), "x", "y", "z")
+    a = ends.select(*[F.col(c).alias(f"{c}_a") for c in ends.columns])
+    b = ends.select(*[F.col(c).alias(f"{c}_b") for c in ends.columns])
+    rows = wanted.join(a, "id_a").join(b, "id_b").where("body_a <> body_b").orderBy("id_a", "id_b").collect()
+    return [Link(r["body_a"], r["body_b"], *(np.array([r[f"{c}_{e}"] for c in "xyz"]) for e in "ab")) for r in rows]
+
+
+def connected(start: int, edges: list[Link], cut: Link | None = None) -> set[int]:
+    """The bodies that constraints join to start, all but the cut one."""
+    found, left = {start}, [start]
+    while left:
+        body = left.pop()
+        near = {e.body_b if e.body_a == body else e.body_a for e in edges if e is not cut and body in (e.body_a, e.body_b)}
+        left += near - found
+        found |= near
+    return found
+
+
+def body_targets(centres: dict[int, np.ndarray], fixed: tuple[int, ...] = ()) -> list[Target]:
+    """Each body alone, about its centre."""
+    return [((b,), centres[b]) for b in sorted(centres) if b not in fixed]
+
+
+def link_targets(edges: list[Link], sizes: dict[int, int], fixed: tuple[int, ...] = ()) -> list[Target]:
+    """For each constraint the bodies on one side of it, about its end on the other side, so that the constraint and all of
+    those within the side hold. The side has fewer points (the second body's if equal) and none of the fixed bodies. In a ring
+    the sides are one, and the first body goes alone about its own end."""
+    out = []
+    for e in edges:
+        one, two = connected(e.body_a, edges, e), connected(e.body_b, edges, e)
+        sides = [((e.body_a,), e.end_a)] if e.body_b in one else sorted([(tuple(sorted(two)), e.end_a), (tuple(sorted(one)), e.end_b)], key=lambda s: sum(sizes[b] for b in s[0]))
+        out += [s for s in sides if not set(s[0]) & set(fixed)][:1]
+    return out
+
+
+#: What a move changes, by the name of its mask: (turns, shifts).
+MASKS = {"all": (1, 1), "rotation": (1, 0), "translation": (0, 1)}
+
+
+def draw(targets: list[Target], n: int, angle: float, shift: float, rng: np.random.Generator, sequential: bool = False, first: int = 0, mask: str = "all") -> list[Move]:
+    """n moves of targets, drawn at random or one after the other from the first on, turning by up to angle about the pivot
+    and shifting by up to shift an axis, as far as the mask lets them. Move 0 leaves everything in its place."""
+    if not targets:
+        raise ValueError("nothing may move")
+    turns, shifts = MASKS[mask]
+    out: list[Move] = [(targets[0][0], np.eye(3), np.zeros(3))]
+    for k in range(n):
+        bodies, pivot = targets[(first + k) % len(targets) if sequential else int(rng.integers(len(targets)))]
+        turn = symmetry.rotation(tuple(rng.normal(size=3)), turns * float(rng.uniform(-angle, angle)))
+        out.append((bodies, turn, pivot - turn @ pivot + shifts * rng.uniform(-shift, shift, 3)))
     return out
 
 
@@ -115,17 +180,31 @@ def place(points: DataFrame, poses: dict[int, tuple[np.ndarray, np.ndarray]]) ->
     return at.select(*points.columns)
 
 
-def refine(points: DataFrame, data: DataFrame, wanted: DataFrame | None = None, rounds: int = 10, tries: int = 16, angle: float = 0.5, shift: float = 5.0, fixed: tuple[int, ...] = (), seed: int = 1) -> Refined:
-    """Greedy search: a round tries so many moves at once and takes the best if the total falls. Amplitudes decay linearly."""
+def refine(
+    points: DataFrame, data: DataFrame, wanted: DataFrame | None = None, rounds: int = 10, tries: int = 16, angle: float = 0.5, shift: float = 5.0, fixed: tuple[int, ...] = (), seed: int = 1, select: str = "body", sequential: bool = False, mask: str = "all"
+) -> Refined:
+    """Greedy search: a round tries so many moves at once and takes the best if the total falls. Amplitudes decay linearly.
+    Moves are of bodies, or with select="link" of what hangs together on one side of a constraint."""
+    if select not in ("body", "link") or mask not in MASKS:
+        raise ValueError(f"no selection {select} or mask {mask}")
     rng = np.random.default_rng(seed)
-    means = points.groupBy("body").agg(*[F.avg(c).alias(c) for c in "xyz"]).collect()  # a row for each body
+    means = points.groupBy("body").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n")).collect()  # a row for each body
     poses = {r["body"]: (np.eye(3), np.zeros(3)) for r in means}
     own = {r["body"]: np.array([r["x"], r["y"], r["z"]]) for r in means}
+    sizes = {r["body"]: r["n"] for r in means}
+    edges = links(points, wanted) if select == "link" and wanted is not None else []
     out = Refined(poses)
     for k in range(rounds):
         share = 1 - k / rounds
-        centres = {b: poses[b][0] @ c + poses[b][1] for b, c in own.items() if b not in fixed}
-        moves = draw(centres, tries, angle * share, shift * share, rng)
+
+        def at(body: int, v: np.ndarray) -> np.ndarray:
+            return poses[body][0] @ v + poses[body][1]
+
+        if select == "link":
+            targets = link_targets([Link(e.body_a, e.body_b, at(e.body_a, e.end_a), at(e.body_b, e.end_b)) for e in edges], sizes, fixed)
+        else:
+            targets = body_targets({b: at(b, c) for b, c in own.items()}, fixed)
+        moves = draw(targets, tries, angle * share, shift * share, rng, sequential, k * tries, mask)
         judged, cached = _scores(place(points, poses), moves, data, wanted)
         found = {r["move"]: r["total"] for r in judged.collect()}  # a row for each move
         cached.unpersist()
@@ -133,8 +212,9 @@ def refine(points: DataFrame, data: DataFrame, wanted: DataFrame | None = None,
         if not out.history:
             out.history.append(found[0])
         if found[best] < found[0]:
-            body, r, t = moves[best]
-            before = poses[body]
-            poses[body] = r @ before[0], r @ before[1] + t
+            _, r, t = moves[best]
+            for body in _group(moves[best]):
+                before = poses[body]
+                poses[body] = r @ before[0], r @ before[1] + t
         out.history.append(min(found[best], found[0]))
     return out

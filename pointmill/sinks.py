@@ -53,3 +53,24 @@ def write_settings(table: DataFrame, path: str) -> None:
     heads = table.select("section").distinct().select(F.col("section").alias("s"), F.lit(0).alias("o"), F.lit("").alias("k"), F.concat(F.lit("[ "), "section", F.lit(" ]")).alias("value"))
     body = table.select(F.col("section").alias("s"), F.lit(1).alias("o"), F.col("key").alias("k"), F.concat_ws(" ", "key", "value").alias("value"))
     heads.unionByName(body).orderBy("s", "o", "k").select("value").coalesce(1).write.text(path)
+
+
+def landscape_lines(scan: DataFrame) -> DataFrame:
+    """p1, value: the line of a text grid for each p1 of a landscape (p1, p2, chi2), its values in order of p2. A line is as
+    long as the grid is wide."""
+    cells = F.array_sort(F.collect_list(F.struct("p2", "chi2")))
+    return scan.groupBy("p1").agg(cells.alias("c")).select("p1", F.concat_ws("\t", F.format_string("%.8e", F.col("p1").cast("double")), F.transform("c", lambda c: F.format_string("%.8e", c["chi2"].cast("double")))).alias("value"))
+
+
+def write_landscape(scan: DataFrame, path: str) -> None:
+    rows = landscape_lines(scan)
+    rows.repartitionByRange("p1").sortWithinPartitions("p1").select("value").write.text(path)
+
+
+def voxel_atoms(marked: DataFrame, low: tuple[float, float, float], cell: float = 1.0, set_id: str = "grid") -> DataFrame:
+    """Voxels (i, j, k, surface) as records for write_pdb: carbon in chain A for the interior, oxygen in chain B for the surface."""
+    xyz = [(F.lit(float(lo)) + F.col(n) * cell).alias(c) for lo, n, c in zip(low, "ijk", "xyz", strict=True)]
+    element = F.when(F.col("surface"), "O").otherwise("C")
+    rows = marked.select(F.lit(set_id).alias("set_id"), "i", "j", "k", *xyz, F.lit("ATOM").alias("record"), element.alias("name"), F.lit("GRD").alias("resName"), F.when(F.col("surface"), "B").otherwise("A").alias("chainID"), F.lit(1).alias("resSeq"), F.lit(1.0).alias("occupancy"), F.lit(0.0).alias("tempFactor"), element.alias("element"))
+    placed = number_rows(rows.withColumnRenamed("i", "vi"), ["set_id"], ["vi", "j", "k"], F.col("vi"))
+    return placed.withColumn("line", F.col("i")).drop("i", "n", "vi", "j", "k")
