@@ -32,8 +32,8 @@ from pointmill.llm.words import U64, texts
 #: Labelled documents read for each language at most. All languages that documents have are told apart.
 PER_LANGUAGE = 400
 BUCKETS = 1 << 15
-#: Parts of a language's rows among which its sample is sought first.
-PARTS = 64
+#: A language's rows are counted in 2^RANGE_BITS ranges of their hash to find how far its sample reaches.
+RANGE_BITS = 10
 #: Keys of sampled documents that are broadcast at most; beyond that, they meet the documents by a shuffle.
 BROADCAST_KEYS = 200_000
 #: How many pages' worth a level of the hierarchy leans on the level above, and how far a text's evidence may go: trigrams
@@ -57,10 +57,14 @@ _PLAIN[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 def model(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and, for each trigram bucket, its log probability in each of them."""
     known = documents.where(F.col("lang").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
-    # the first few of each language by a hash of id and text; equal rows count as one. Each of many parts of a language gives
-    # its own first few, so that no task sees more of them than PARTS times as many
-    each = known.select("lang", "key").distinct().withColumn("part", F.pmod("key", F.lit(PARTS)))
-    few = each.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("key"))).where(F.col("n") <= per_language)
+    # the first few of each language by a hash of id and text; equal rows count as one. Counts by range of the hash tell how
+    # far the first few reach, so that only rows up to there are put in order, whatever share of all rows a language has
+    each = known.select("lang", "key").distinct().withColumn("range", F.shiftright("key", 64 - RANGE_BITS))
+    ranges = each.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = ranges.withColumn("before", before).where(F.col("before") < per_language).groupBy("lang").agg(F.max("range").alias("last"))
+    # a row for each language, of which the model holds BUCKETS numbers anyway
+    few = each.join(F.broadcast(reached), "lang").where(F.col("range") <= F.col("last"))
     first = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= per_language)
     picked = cut(first.select("lang", "key"))
     langs = sorted(r["lang"] for r in picked.select("lang").distinct().collect())  # a name for each language
