@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointmill.llm import licences, rules
+from pointmill.llm import filter_audit, licences, rules
 from pointmill.llm import line_dedup as lines
 from pointmill.llm.common import read, small_batches
 from pointmill.llm.decontamination import contamination
+from pointmill.llm.fingerprints import fingerprints
 from pointmill.llm.html_text import extract
 from pointmill.llm.language import identify
 from pointmill.llm.near_duplicates import jaccard_join
 from pointmill.llm.packing import pack
 from pointmill.llm.quality import quality
+from pointmill.llm.token_alignment import token_alignment
 from pointmill.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def _in_small_batches(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -79,6 +93,9 @@ _OWN: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_licences": op10_licences,
+    "op11_alignment": op11_alignment,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 QUERIES: dict[str, Query] = {name: _in_small_batches(query) for name, query in _OWN.items()}
@@ -87,4 +104,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": rules.ORACLE_SQL,
     "op8_line_dedup": lines.ORACLE_SQL,
     "op10_licences": licences.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
