@@ -180,6 +180,7 @@ class Aligner:
         ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in plain], num_threads=1)
         # B writes a space before what it is given: where the unit starts with other white space, it isn't the unit's
         ids_b = [x if u[0] == " " or x[:1] != [self.mark] else x[1:] for u, x in zip(plain, ids_b, strict=True)]
+        ids_b = [[self.mark] if u == " " else x for u, x in zip(plain, ids_b, strict=True)]  # nor before nothing
         good = [b"".join([self.bytes_a[k] for k in x]) == u and b"".join([self.bytes_b[k] for k in y]) == u for u, x, y in zip(units, ids_a, ids_b, strict=True)]
         own = np.flatnonzero(good)
         sizes = np.zeros((len(units), 4), np.int64)
