@@ -44,38 +44,44 @@ _MARK = "▁"
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of the groups of two rising arrays of token ends with one last value: how many tokens of each lie before."""
+    a, b = a.tolist(), b.tolist()
     i = j = 0
     n, m = len(a), len(b)
-    cuts_a: list[np.ndarray] = []
-    cuts_b: list[np.ndarray] = []
+    cuts_a: list[int] = []
+    cuts_b: list[int] = []
     while i < n:
         step = 1
         while i < n:  # at the shift j - i
-            k = min(step, n - i, m - j)
-            same = a[i : i + k] == b[j : j + k]
-            run = k if same.all() else int(same.argmin())
+            run = k = min(step, n - i, m - j)
+            if a[i : i + k] != b[j : j + k]:
+                run = 0
+                while k - run > 1:  # the first run of them are equal, not the first k
+                    mid = (run + k) // 2
+                    if a[i + run : i + mid] == b[j + run : j + mid]:
+                        run = mid
+                    else:
+                        k = mid
             if run:
-                cuts_a.append(np.arange(i + 1, i + run + 1))
-                cuts_b.append(np.arange(j + 1, j + run + 1))
+                cuts_a.extend(range(i + 1, i + run + 1))
+                cuts_b.extend(range(j + 1, j + run + 1))
                 i, j = i + run, j + run
             if run < k:
                 break
             step *= 2
         if i == n:
             break
-        x, y = int(a[i]), int(b[j])
+        x, y = a[i], b[j]
         while x != y:
             if x < y:
                 i += 1
-                x = int(a[i])
+                x = a[i]
             else:
                 j += 1
-                y = int(b[j])
+                y = b[j]
         i, j = i + 1, j + 1
-        cuts_a.append(np.array([i]))
-        cuts_b.append(np.array([j]))
-    nothing = np.zeros(0, np.int64)
-    return np.concatenate(cuts_a or [nothing]), np.concatenate(cuts_b or [nothing])
+        cuts_a.append(i)
+        cuts_b.append(j)
+    return np.array(cuts_a, np.int64), np.array(cuts_b, np.int64)
 
 
 def _byte_levels() -> dict[str, int]:
@@ -88,7 +94,7 @@ def _byte_levels() -> dict[str, int]:
 class Aligner:
     """Units met so far, with their tokens' groups and links; made anew in each Python worker."""
 
-    KEPT = 400_000
+    KEPT, TOGETHER = 600_000, 512
 
     def __init__(self, path_a: str, path_b: str):
         self.paths, self.a = (path_a, path_b), None
@@ -174,42 +180,74 @@ class Aligner:
             self.known.update((keys[k], first + i) for i, k in enumerate(fresh))
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
 
+    def _encoded(self, units: list[bytes]) -> tuple[list[int], list[int]] | None:
+        """Ids of A and of B of units that may stand one after another, or None if they aren't the units' bytes."""
+        text = b"".join(units).decode()
+        ids_a = self.a.encode(text, add_special_tokens=False).ids
+        if text == " ":
+            ids_b = [self.mark]
+        else:
+            ids_b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
+            if text[0] != " " and ids_b[:1] == [self.mark]:
+                ids_b = ids_b[1:]  # B writes a space before what it is given; this isn't the unit's
+        raw = text.encode()
+        return (ids_a, ids_b) if all(b"".join(map(of.__getitem__, ids)) == raw for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))) else None
+
     def _learn(self, units: list[bytes]) -> None:
-        plain = [u.decode() for u in units]
-        ids_a = [x.ids for x in self.a.encode_batch_fast(plain, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in plain], num_threads=1)
-        # B writes a space before what it is given: where the unit starts with other white space, it isn't the unit's
-        ids_b = [x if u[0] == " " or x[:1] != [self.mark] else x[1:] for u, x in zip(plain, ids_b, strict=True)]
-        ids_b = [[self.mark] if u == " " else x for u, x in zip(plain, ids_b, strict=True)]  # nor before nothing
-        good = [b"".join([self.bytes_a[k] for k in x]) == u and b"".join([self.bytes_b[k] for k in y]) == u for u, x, y in zip(units, ids_a, ids_b, strict=True)]
-        own = np.flatnonzero(good)
+        """Encodes units together where white space may follow each, in lots; the others by themselves."""
+        lots: list[list[int]] = []
+        lot: list[int] = []
+        for i, u in enumerate(units):
+            if 0x20 < u[-1] < 0x7F:
+                lot.append(i)
+                if len(lot) == self.TOGETHER:
+                    lots.append(lot)
+                    lot = []
+            else:
+                lots.append([i])
+        lots.append(lot)
+        own: list[int] = []
+        ids_a: list[int] = []
+        ids_b: list[int] = []
+        while lots:
+            lot = lots.pop()
+            if not lot:
+                continue
+            if found := self._encoded([units[i] for i in lot]):
+                own += lot
+                ids_a += found[0]
+                ids_b += found[1]
+            elif len(lot) > 1:
+                half = len(lot) // 2
+                lots += [lot[:half], lot[half:]]
         sizes = np.zeros((len(units), 4), np.int64)
+        first = np.zeros(len(units), np.int64)
         links = np.zeros(0, np.int64)
         strings: list[bytes | None] = [None] * len(units)
-        if len(own):
-            flat_a = np.array([k for i in own.tolist() for k in ids_a[i]], np.int64)
-            flat_b = np.array([k for i in own.tolist() for k in ids_b[i]], np.int64)
+        if own:
+            flat_a, flat_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
             ends_a, ends_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
-            edges = np.cumsum([len(units[i]) for i in own.tolist()])
+            edges = np.cumsum([len(units[i]) for i in own])
             cuts_a, cuts_b = align(ends_a, ends_b)
-            spans = np.union1d(ends_a, ends_b)  # each span between two ends is a link
+            spans = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+            spans = spans[np.append(spans[1:] != spans[:-1], True)]  # each span between two ends is a link
             links = flat_a[np.searchsorted(ends_a, spans)] << 32 | flat_b[np.searchsorted(ends_b, spans)]
-            until = np.stack([np.searchsorted(ends_a, edges, side="right"), np.searchsorted(ends_b, edges, side="right"), np.searchsorted(ends_a[cuts_a - 1], edges, side="right"), np.searchsorted(spans, edges, side="right")], axis=1)
+            until = np.stack([np.searchsorted(e, edges, side="right") for e in (ends_a, ends_b, ends_a[cuts_a - 1], spans)], axis=1)
             sizes[own] = np.diff(until, axis=0, prepend=np.zeros((1, 4), np.int64))
+            first[own] = len(self.links) + until[:, 3] - sizes[own, 3]
             groups, i, j = [], 0, 0
             word_a, word_b = self.text_a, self.text_b
-            ia, ib = flat_a.tolist(), flat_b.tolist()
             for p, q in zip(cuts_a.tolist(), cuts_b.tolist(), strict=True):
                 if p == i + 1 and q == j + 1:
-                    groups.append(f"{word_a[ia[i]]}|{word_b[ib[j]]}")
+                    groups.append(f"{word_a[ids_a[i]]}|{word_b[ids_b[j]]}")
                 else:
-                    groups.append(",".join([word_a[k] for k in ia[i:p]]) + "|" + ",".join([word_b[k] for k in ib[j:q]]))
+                    groups.append(",".join([word_a[k] for k in ids_a[i:p]]) + "|" + ",".join([word_b[k] for k in ids_b[j:q]]))
                 i, j = p, q
             lo = 0
-            for i, hi in zip(own.tolist(), until[:, 2].tolist(), strict=True):
+            for i, hi in zip(own, until[:, 2].tolist(), strict=True):
                 strings[i] = ";".join(groups[lo:hi]).encode()
                 lo = hi
-        self.first = np.concatenate([self.first, len(self.links) + np.cumsum(sizes[:, 3]) - sizes[:, 3]])
+        self.first = np.concatenate([self.first, first])
         self.links = np.concatenate([self.links, links])
         self.sizes = np.vstack([self.sizes, sizes])
         self.strings += strings
