@@ -7,8 +7,9 @@ points by category, and all terms of a profile come from one histogram by pair o
 
 from __future__ import annotations
 
-from math import cos, floor, pi, sin, sqrt
+from math import cos, pi, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +25,31 @@ STEP_SCORES, CLEAR_SCORE, SURFACE_SCORE = (0, 3, 5), 7, 42
 
 
 def directions(divisions: int = 8) -> list[tuple[float, float, float]]:
-    """Unit vectors at equal steps of both angles, each once (to 1e-5)."""
-    angles = [2 * pi * a / divisions for a in range(divisions // 4 + 1)]
-    found = {}
-    for theta in angles:
-        for phi in angles:
-            octant = (cos(phi) * sin(theta), sin(phi) * sin(theta), cos(theta))
-            for signs in range(8):
-                v = tuple((-c if signs >> n & 1 else c) if abs(c) >= 1e-5 else 0.0 for n, c in enumerate(octant))
-                found.setdefault(tuple(round(c, 5) + 0.0 for c in v), v)
-    return list(found.values())
+    """Unit vectors to the crossings of a grid of latitudes and longitudes, divisions to a full turn (a multiple of 4)."""
+    if divisions % 4:
+        raise ValueError("divisions is a multiple of 4")
 
+    def cosine(step: int) -> float:  # equal at mirrored steps, 0 and 1 where they should be
+        step %= divisions
+        step = min(step, divisions - step)
+        return -cosine(divisions // 2 - step) if 4 * step > divisions else 0.0 if 4 * step == divisions else cos(2 * pi * step / divisions)
 
-def ray_steps(cell: float = 1.0, divisions: int = 8) -> list[tuple[int, int, int, int, int]]:
-    """(ray, step, i, j, k): the voxels, counted from the one that looks, that each ray meets at its three steps."""
-    radii = (sqrt(cell) + 1e-3, 2 * cell, 3 * cell)
+    def sine(step: int) -> float:
+        return cosine(step - divisions // 4)
+
+    poles = [(0.0, 0.0, 1.0), (0.0, 0.0, -1.0)]
+    rings = range(1, divisions // 2)
+    return poles + [(sine(t) * cosine(p), sine(t) * sine(p), cosine(t)) for t in rings for p in range(divisions)]
 
-    def bins(length: float) -> int:
-        whole = floor(round(abs(length), 9) + 0.5)
-        return int((whole if length >= 0 else -whole) / cell)
 
-    return [(ray, step, *(bins(r * c) for c in v)) for ray, v in enumerate(directions(divisions)) for step, r in enumerate(radii, 1)]
+def ray_steps(cell: float = 1.0, divisions: int = 8) -> list[tuple[int, int, int, int, int]]:
+    """(ray, step, i, j, k): the voxels, counted from the one that looks, that each ray meets at its three steps. A length is
+    rounded (halves away from 0) before it is divided by the cell."""
+    rays = np.array(directions(divisions))
+    radii = np.array([sqrt(cell) + 1e-3, 2 * cell, 3 * cell])  # fixed values
+    lengths = (rays[:, None, :] * radii[None, :, None]).round(9)
+    voxels = np.trunc(np.trunc(lengths + np.copysign(0.5, lengths)) / cell).astype(int)
+    return [(ray, step + 1, *map(int, voxels[ray, step])) for ray, step in np.ndindex(len(rays), len(radii))]
 
 
 def ray_scores(voxels: DataFrame, cell: float = 1.0, divisions: int = 8) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointmill.stored import stored
+
 #: Rows of a block.
 BLOCK = 100_000
 
@@ -44,3 +46,16 @@ def neighbours(df: DataFrame, series: list[str], columns: dict[str, tuple[str, i
     out = blocked(df, halo, size)
     out = out.withColumns({name: F.lead(c, k).over(w) if k >= 0 else F.lag(c, -k).over(w) for name, (c, k) in columns.items()})
     return out.where("core").drop("block", "core")
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int, size: int = BLOCK) -> DataFrame:
+    """The first n rows along order, for any n: rows are dealt into ranges, and only the range in which the n-th falls is
+    numbered. Rows that are equal in order are taken in any order."""
+    ranges = max(1, -(-df.count() // size))
+    placed = stored(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = counts.select("__range", (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__before"), "__rows")  # a row for each range
+    joined = placed.join(before.where(F.col("__before") < n), "__range")
+    whole = joined.where(F.col("__before") + F.col("__rows") <= n)
+    cut = joined.where(F.col("__before") + F.col("__rows") > n).withColumn("__i", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return whole.unionByName(cut.where(F.col("__before") + F.col("__i") <= n).drop("__i")).drop("__range", "__before", "__rows")

@@ -127,14 +127,20 @@ def symmetric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(h.groupBy(F.floor(F.col("bin") / 4).alias("bin4")).agg(F.sum("value").alias("value"), F.sum("cnt").alias("cnt"), F.sum("dsum").alias("dsum")), {"dsum": 2})
 
 
-@query(
-    f"WITH {POINTS}, o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), n AS (SELECT id AS of, x + a * 3 AS x, y + b * 3 AS y, z + c * 3 AS z FROM p, o), "
+_PLACED = (
+    f"WITH RECURSIVE {POINTS}, o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), n AS (SELECT DISTINCT id AS of, x + a * 3 AS x, y + b * 3 AS y, z + c * 3 AS z FROM p, o), "
     "s AS (SELECT of, n.x, n.y, n.z, count(*) FILTER (pow(p.x - n.x, 2) + pow(p.y - n.y, 2) + pow(p.z - n.z, 2) <= 25) AS score, min(pow(p.x - n.x, 2) + pow(p.y - n.y, 2) + pow(p.z - n.z, 2)) AS near FROM n, p GROUP BY ALL), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY floor(x / 2), floor(y / 2), floor(z / 2) ORDER BY score DESC, of, x, y, z) AS o FROM s WHERE near >= 6.25), "
-    "k AS (SELECT * FROM r WHERE o = 1 ORDER BY score DESC, of, x, y, z LIMIT 60) SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, 10.0::DOUBLE AS w FROM k"
+    "r AS (SELECT *, row_number() OVER (ORDER BY score DESC, of, x, y, z) AS o FROM s WHERE near >= 6.25), "
+    "e AS (SELECT a.o AS better, b.o AS worse FROM r a JOIN r b ON a.o < b.o AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) < 4), "
+    # one water after another, in order: the first that no placed one is near to
+    "g(o, placed) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nxt, list_append(placed, nxt) FROM (SELECT placed, (SELECT min(r.o) FROM r WHERE r.o > g.o AND NOT EXISTS (SELECT 1 FROM e WHERE e.worse = r.o AND list_contains(placed, e.better))) AS nxt FROM g) WHERE nxt IS NOT NULL AND len(placed) < {limit}), "
+    "k AS (SELECT r.* FROM r JOIN (SELECT unnest(placed) AS o FROM (SELECT placed FROM g ORDER BY len(placed) DESC LIMIT 1)) USING (o)) "
 )
+
+
+@query(_PLACED.replace("{limit}", "60") + "SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, 10.0::DOUBLE AS w FROM k")
 def hydrated_waters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sixty waters that generating, clearing, scoring, thinning and culling attach."""
+    """The sixty waters that generating, clearing, scoring, placing apart and culling attach."""
     p = points(spark, sf_dir)
     made = hydration.hydrate(p, waters=60)
     return rounded(made.where("kind = 'w' AND body IS NULL").select("x", "y", "z", "w"), dict.fromkeys("xyz", 6))
