@@ -75,8 +75,8 @@ def free_copy(spark: SparkSession, body: int, turn: np.ndarray, shift: tuple[flo
 
 
 def copies(points: DataFrame, table: DataFrame) -> DataFrame:
-    """points of each body under each of its transforms: adds copy, moves x, y, z. The table is small beside the points."""
-    joined = points.join(F.broadcast(table), "body")
+    """points of each body under each of its transforms: adds copy, moves x, y, z. Spark broadcasts the table where it is small."""
+    joined = points.join(table, "body")
     moved = {c: sum((F.col(f"r{k}{m}") * F.col(d) for m, d in enumerate("xyz")), F.lit(0.0)) + F.col(f"t{k}") for k, c in enumerate("xyz")}
     return joined.withColumns(moved).drop(*[f"r{a}{b}" for a in range(3) for b in range(3)], "t0", "t1", "t2")
 

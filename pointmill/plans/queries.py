@@ -621,5 +621,6 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the queries of solvent, symmetry and parameter fits register themselves
+from pointmill.plans import assemblies as _assemblies  # noqa: E402, F401
 from pointmill.plans import solvent as _solvent  # noqa: E402, F401
 from pointmill.plans import surfaces as _surfaces  # noqa: E402, F401
