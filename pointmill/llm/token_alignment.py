@@ -94,7 +94,7 @@ def _byte_levels() -> dict[str, int]:
 class Aligner:
     """Units met so far, with their tokens' groups and links; made anew in each Python worker."""
 
-    KEPT, TOGETHER = 600_000, 512
+    KEPT, TOGETHER = 350_000, 512
 
     def __init__(self, path_a: str, path_b: str):
         self.paths, self.a = (path_a, path_b), None
@@ -259,6 +259,16 @@ def _gathered(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Values under 2^31, compressed, after their number."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], 4 * size, codec="zstd", asbytes=True), np.int32) if size else np.zeros(0, np.int32)
+
+
 def _block(aligner: Aligner, column: pa.Array) -> dict[str, np.ndarray | list]:
     """What one block's row holds, beside its id and the documents' ids."""
     aligner.open()
@@ -304,9 +314,9 @@ def _block(aligner: Aligner, column: pa.Array) -> dict[str, np.ndarray | list]:
         "n_links": sizes[:, 3],
         "groups_sha256": ["" if b else d.hexdigest() for b, d in zip(bad.tolist(), digests, strict=True)],
         "doc_units": np.bincount(owner, minlength=n).astype(np.int64),
-        "units": back.astype(np.int32),
-        "unit_links": each.astype(np.int32),
-        "links": place.astype(np.int32),
+        "units": _packed(back),
+        "unit_links": _packed(each),
+        "links": _packed(place),
         "pair_a": (pairs >> 32).astype(np.int32),
         "pair_b": (pairs & 0xFFFFFFFF).astype(np.int32),
         "pair_n": np.bincount(place, weights=np.repeat(times, each), minlength=len(pairs)).astype(np.int64),
@@ -314,7 +324,7 @@ def _block(aligner: Aligner, column: pa.Array) -> dict[str, np.ndarray | list]:
 
 
 _SUMS = ["n_a", "n_b", "n_groups", "n_links"]
-_KINDS = dict.fromkeys([*_SUMS, "doc_units", "pair_n"], "array<long>") | {"groups_sha256": "array<string>"} | dict.fromkeys(["units", "unit_links", "links", "pair_a", "pair_b"], "array<int>")
+_KINDS = dict.fromkeys([*_SUMS, "doc_units", "pair_n"], "array<long>") | {"groups_sha256": "array<string>"} | dict.fromkeys(["pair_a", "pair_b"], "array<int>") | dict.fromkeys(["units", "unit_links", "links"], "binary")
 
 
 def _blocks(documents: DataFrame, text: str, aligner: Aligner) -> DataFrame:
@@ -329,6 +339,9 @@ def _blocks(documents: DataFrame, text: str, aligner: Aligner) -> DataFrame:
                 made += 1
                 columns = [pa.array([row["block"]], pa.int64())]
                 for name in ("doc_ids", *_KINDS):
+                    if isinstance(row[name], bytes):
+                        columns.append(pa.array([row[name]], pa.binary()))
+                        continue
                     values = row[name] if isinstance(row[name], pa.Array) else pa.array(row[name])
                     columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", *_KINDS])
@@ -344,20 +357,20 @@ def _finished(blocks: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].values for c in batch.schema.names if c not in ("block", "found") and batch.column(c)[i].is_valid}
+                row = {c: batch.column(c)[i].values for c in ("doc_ids", *_SUMS, "groups_sha256", "doc_units")}
                 found = batch.column("found")[i].values
                 place = found.field("i").to_numpy() if found is not None else np.zeros(0, np.int64)
                 count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
                 if len(place):
                     count[place], best[place] = found.field("c").to_numpy(), found.field("best").to_numpy(zero_copy_only=False)
-                links, units = row["links"].to_numpy(), row["units"].to_numpy()
+                units, unit_links, links = (_unpacked(batch.column(c)[i].as_py()) for c in ("units", "unit_links", "links"))
 
                 def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
                     total = np.concatenate([[0], np.cumsum(values)])
                     ends = np.cumsum(sizes)
                     return total[ends] - total[ends - sizes]
 
-                each, docs = row["unit_links"].to_numpy().astype(np.int64), row["doc_units"].to_numpy()
+                each, docs = unit_links.astype(np.int64), row["doc_units"].to_numpy()
                 sums = {n: summed(summed(v[links], each)[units], docs) for n, v in (("n_best", best), ("count_sum", count))}
                 yield pa.RecordBatch.from_arrays([row["doc_ids"], *(pa.array(sums[n], pa.int64()) if n in sums else row[n] for n in names)], names=["doc_id", *names])
 
