@@ -7,6 +7,7 @@ from math import cos, pi, sin
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointmill.operators import grid_state
 from pointmill.plans.inputs import POINTS, points
 from pointmill.plans.queries import _D, query, rounded
 from pointmill.stored import stored
@@ -58,3 +59,27 @@ def symmetric_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = symmetric.update(partial, _turned(p), after, bodies, groups)
     h = symmetric.assembly(now, after)
     return rounded(h.groupBy(F.floor(F.col("bin") / 4).alias("bin4")).agg(F.sum("value").alias("value"), F.sum("cnt").alias("cnt"), F.sum("dsum").alias("dsum")), {"dsum": 2})
+
+
+_ROLES = "(4, 0, 0), (8, 1, 1), (1, 2, 4)"
+_GRID = (
+    f"WITH {POINTS}, n AS (SELECT body, kind, floor(x + 40 + 0.5)::BIGINT AS i, floor(y + 40 + 0.5)::BIGINT AS j, floor(z + 40 + 0.5)::BIGINT AS k FROM p WHERE body <> 4), "
+    "o AS (SELECT a.v AS a, b.v AS b, c.v AS c, a.v * a.v + b.v * b.v + c.v * c.v AS d FROM (SELECT unnest(range(-2, 3)) AS v) a, (SELECT unnest(range(-2, 3)) AS v) b, (SELECT unnest(range(-2, 3)) AS v) c), "
+    f"r(role, lo, hi) AS (VALUES {_ROLES}), "
+    "h AS (SELECT i + a AS i, j + b AS j, k + c AS k, CASE WHEN kind <> 'w' THEN role WHEN role = 4 THEN 16 ELSE 32 END AS role FROM n, o, r WHERE d BETWEEN lo AND hi AND (kind <> 'w' OR role <> 1)), "
+    "s AS (SELECT i, j, k, bit_or(role) AS state FROM h GROUP BY ALL) SELECT state, count(*) AS voxels, sum(i + 2 * j + 3 * k)::BIGINT AS places FROM s GROUP BY state"
+)
+
+
+@query(_GRID)
+def grid_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels by state once bodies were added one after another and one (body 4) was taken away again."""
+    p = points(spark, sf_dir)
+
+    def part(condition: str) -> DataFrame:
+        return grid_state.contributions(p.where(condition), (-40.0, -40.0, -40.0))
+
+    grid = grid_state.add(grid_state.add(part("body < 4"), part("body = 4")), part("body > 4"))
+    grid = grid_state.take_away(grid, part("body = 4"))
+    found = grid_state.states(grid)
+    return found.groupBy("state").agg(F.count(F.lit(1)).alias("voxels"), F.sum(F.col("i") + 2 * F.col("j") + 3 * F.col("k")).alias("places"))
