@@ -101,7 +101,8 @@ def _tiled(a: DataFrame, b: DataFrame | None, group: list[str], width: float, co
 
 
 def pair_histogram(points: DataFrame, group: list[str] | None = None, width: float = DISTANCE_AXIS.width) -> DataFrame:
-    """Self join: every pair of points, and each with itself. With group, by the pair of their groups (lesser first)."""
+    """Self join: every pair of points, and each with itself. With group, by the pair of their groups (lesser first). Ids are
+    unique: points that share one are not paired with each other."""
     group = group or []
     slim = points.select(*POINT, *group)
     keys = [f"{g}_{s}" for g in group for s in "ab"]
