@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from pointmill.stored import stored
 
@@ -31,6 +32,43 @@ def number_rows(df: DataFrame, series: list[str], order: list[str], chunk: Colum
     return joined.withColumn("i", (F.coalesce("__before", F.lit(0)) + F.col("__own")).cast("long")).drop("__chunk", "__own", "__before")
 
 
+def carried(df: DataFrame, series: list[str], order: str, states: dict[str, tuple[str, Column]], size: int = BLOCK) -> DataFrame:
+    """Adds columns with what the rows of a series up to each one leave behind: name -> (kind, column), where kind is sum, max,
+    last (both over the rows at which the column isn't null) or before (the column at the row just before, whatever it is).
+
+    order is a number, such as a line's, that no two rows of a series share. Rows are cut into chunks of its values; each gives
+    one row of what it leaves behind, these rows are run through first, and every chunk starts from the one before it. So a
+    series of any length is many tasks."""
+    rows = df.withColumn("__chunk", F.floor(F.col(order) / F.lit(size)))
+    value = {name: f"__value_{i}" for i, name in enumerate(states)}
+    rows = rows.withColumns({value[name]: c for name, (_, c) in states.items()})
+
+    def left(kind: str, c: str) -> Column:
+        return {"sum": F.sum(c), "max": F.max(c), "last": F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))), "before": F.max_by(c, order)}[kind]
+
+    def through(kind: str, c: str, w: WindowSpec) -> Column:
+        return {"sum": F.sum(c), "max": F.max(c), "last": F.last(c, ignorenulls=True), "before": F.last(c)}[kind].over(w)
+
+    chunks = rows.groupBy(*series, "__chunk").agg(*[left(kind, value[name]).alias(f"__left_{name}") for name, (kind, _) in states.items()])
+    passed = Window.partitionBy(*series).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    start = chunks.select(*series, "__chunk", *[through(kind, f"__left_{name}", passed).alias(f"__start_{name}") for name, (kind, _) in states.items()])
+    inside = Window.partitionBy(*series, "__chunk").orderBy(order)
+    to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumns({f"__own_{name}": F.lag(value[name]).over(inside) if kind == "before" else through(kind, value[name], to_here) for name, (kind, _) in states.items()})
+    joined = joined.withColumn("__first", F.row_number().over(inside) == 1).join(start, [*series, "__chunk"])
+
+    def together(name: str, kind: str) -> Column:
+        own, before = F.col(f"__own_{name}"), F.col(f"__start_{name}")
+        if kind == "before":
+            return F.when(F.col("__first"), before).otherwise(own)
+        if kind == "max":
+            return F.greatest(own, before)
+        return F.coalesce(own, before) if kind == "last" else F.when(own.isNull() | before.isNull(), F.coalesce(own, before)).otherwise(own + before)
+
+    out = joined.withColumns({name: together(name, kind) for name, (kind, _) in states.items()})
+    return out.select(*[c for c in df.columns if c not in states], *states)
+
+
 def blocked(df: DataFrame, halo: int, size: int = BLOCK) -> DataFrame:
     """Each row with its block, and again with any block within halo rows of it: adds block and core (False for the copies)."""
     size = max(size, halo)

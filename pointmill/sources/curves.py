@@ -5,11 +5,11 @@ All readers take many files or folders at once; a file is a set. Lines are numbe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.functions.text import is_numeric, tokens
-from pointmill.ordered import BLOCK, number_rows
+from pointmill.ordered import BLOCK, carried, number_rows
 
 NAMES = ("x", "y", "yerr", "xerr")
 
@@ -67,11 +67,11 @@ def read_xvg(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return curve(lines(spark, path).where(~F.col("text").rlike("^[#@]")), scale_x=0.1)
 
 
-def read_xvg_sets(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_xvg_sets(spark: SparkSession, path: str | list[str], size: int = BLOCK) -> DataFrame:
     """The same, with a set for each part that a line & or @type begins: set_id is file:part."""
     rows = lines(spark, path)
-    starts = F.sum((F.col("text").rlike(r"^&|^@\s*type")).cast("int")).over(Window.partitionBy("set_id").orderBy("line"))
-    parts = rows.withColumn("__part", starts).withColumn("set_id", F.concat_ws(":", "set_id", "__part")).drop("__part")
+    rows = carried(rows, ["set_id"], "line", {"__part": ("sum", F.col("text").rlike(r"^&|^@\s*type").cast("long"))}, size)
+    parts = rows.withColumn("set_id", F.concat_ws(":", "set_id", "__part")).drop("__part")
     return curve(parts.where(~F.col("text").rlike("^[#@&]")), scale_x=0.1)
 
 

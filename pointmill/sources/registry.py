@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointmill.ordered import carried
 from pointmill.sources import curves, maps, structures
 from pointmill.sources.curves import lines
 
@@ -39,7 +40,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """section, key, value of lines 'key value'; # ; and / begin comments, [ a section."""
     rows = lines(spark, path).withColumn("text", F.trim("text")).where("text <> '' AND NOT text RLIKE '^[#;/]'")
-    from pyspark.sql import Window
-
-    section = F.last(F.when(F.col("text").startswith("["), F.trim(F.translate("text", "[]", ""))), ignorenulls=True).over(Window.partitionBy("set_id").orderBy("line"))
-    return rows.withColumn("section", section).where(~F.col("text").startswith("[")).select("section", F.split("text", r"\s+", 2)[0].alias("key"), F.split("text", r"\s+", 2)[1].alias("value"))
+    section = F.when(F.col("text").startswith("["), F.trim(F.translate("text", "[]", "")))
+    return carried(rows, ["set_id"], "line", {"section": ("last", section)}).where(~F.col("text").startswith("[")).select("section", F.split("text", r"\s+", 2)[0].alias("key"), F.split("text", r"\s+", 2)[1].alias("value"))

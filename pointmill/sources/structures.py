@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.functions.text import quoted_tokens, tokens
+from pointmill.ordered import BLOCK, carried
 from pointmill.sources.curves import lines
 
 WATER = ("HOH", "SOL")
@@ -73,29 +74,30 @@ def read_xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """set_id, line, element, x, y, z of the first run of four-token lines."""
     rows = lines(spark, path).withColumn("__t", tokens(F.col("text")))
     four = (F.size("__t") == 4) & F.forall(F.slice("__t", 2, 3), lambda t: t.try_cast("double").isNotNull())
-    marked = rows.withColumn("__four", four)
-    w = Window.partitionBy("set_id").orderBy("line")
-    first = marked.withColumn("__start", (F.col("__four") & ~F.coalesce(F.lag("__four").over(w), F.lit(False))).cast("int"))
-    kept = first.withColumn("__run", F.sum("__start").over(w)).where(F.col("__four") & (F.col("__run") == 1))
+    marked = rows.withColumn("__four", F.coalesce(four, F.lit(False)))
+    # the first run: no line of another kind stands between its rows and the file's first such row
+    first = marked.where("__four").groupBy("set_id").agg(F.min("line").alias("__first"))
+    ends = marked.where(~F.col("__four")).join(first, "set_id").where(F.col("line") > F.col("__first")).groupBy("set_id").agg(F.min("line").alias("__end"))
+    kept = marked.where("__four").join(ends, "set_id", "left").where(F.col("__end").isNull() | (F.col("line") < F.col("__end")))
     return kept.select("set_id", "line", F.upper(F.col("__t")[0]).alias("element"), *[F.col("__t")[k + 1].try_cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
-def read_cif(spark: SparkSession, path: str | list[str], category: str = "_atom_site", recursive: bool = False) -> DataFrame:
+def read_cif(spark: SparkSession, path: str | list[str], category: str = "_atom_site", recursive: bool = False, size: int = BLOCK) -> DataFrame:
     """set_id, line and a map of label to value for each row of a category's loops: the labels are the lines that begin with it
     and a dot (or, as crystal files have them, an underscore), the rows the lines after them up to a #, a loop_, a data_ or
-    another label. Categories that only begin alike are other loops; of atom sites the one that tells elements is read."""
+    another label. Categories that only begin alike are other loops; of atom sites the one that tells elements is read. The last label and the last end so far are carried
+    from one size lines to the next, so no task reads a whole file."""
     rows = lines(spark, path, recursive).withColumn("text", F.trim(F.translate("text", "\r", "")))
-    w = Window.partitionBy("set_id").orderBy("line")
     label = F.col("text").rlike(f"^{category}[._]")
     marked = rows.withColumn("__label", label).withColumn("__ends", F.col("text").rlike(r"^(#|loop_|_|data_)") & ~label)
-    starts = (F.col("__label") & ~F.coalesce(F.lag("__label").over(w), F.lit(False))).cast("int")
-    seen = marked.withColumn("__starts", starts)
-    seen = seen.withColumns({"__loop": F.sum("__starts").over(w), "__since": F.max(F.when(F.col("__label"), F.col("line"))).over(w), "__ended": F.max(F.when(F.col("__ends"), F.col("line"))).over(w)})
+    states = {"__since": ("max", F.when(F.col("__label"), F.col("line"))), "__ended": ("max", F.when(F.col("__ends"), F.col("line"))), "__labels": ("sum", F.col("__label").cast("long"))}
+    # lines less labels so far: the same for all labels of a run, and another for each run
+    seen = carried(marked, ["set_id"], "line", states, size).withColumn("__loop", F.col("__since") - F.col("__labels"))
     name = F.regexp_extract("text", rf"^{category}[._](\S+)", 1)
     names = seen.where("__label").groupBy("set_id", "__loop").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", name.alias("name")))), lambda s: s["name"]).alias("__names"))
     if category == "_atom_site":
         names = names.where(F.array_contains("__names", "type_symbol") | F.array_contains("__names", "Cartn_x"))
-    data = seen.where((F.col("__loop") > 0) & ~F.col("__label") & ~F.col("__ends") & (F.coalesce("__ended", F.lit(-1)) < F.col("__since")) & (F.col("text") != ""))
+    data = seen.where(F.col("__loop").isNotNull() & ~F.col("__label") & ~F.col("__ends") & (F.coalesce("__ended", F.lit(-1)) < F.col("__since")) & (F.col("text") != ""))
     parts = data.join(names, ["set_id", "__loop"]).withColumn("__t", quoted_tokens(F.col("text")))
     return parts.where(F.size("__t") == F.size("__names")).select("set_id", "line", F.map_from_arrays("__names", "__t").alias("row"))
 
@@ -141,11 +143,6 @@ def cif_points(rows: DataFrame) -> DataFrame:
     )
 
 
-def crystal_points(rows: DataFrame, cell: tuple[float, float, float]) -> DataFrame:
-    """Fractional coordinates times the cell's lengths."""
-    return rows.select("set_id", "line", F.upper(F.regexp_extract(F.coalesce(F.col("row")["type_symbol"], F.col("row")["label"]), "([A-Za-z]+)", 1)).alias("element"), *[(F.col("row")[f"fract_{c}"].try_cast("double") * length).alias(c) for c, length in zip("xyz", cell, strict=True)])
-
-
 def to_points(atoms: DataFrame, dimension: DataFrame, use_occupancy: bool = True) -> DataFrame:
     """id, body, x, y, z, w (charge by element, times occupancy), kind (a or w), residue, is_calpha: the reduced form of a
     structure. dimension is the bounded table of elements."""
