@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 #: Fixed values of the format: voxel type by mode.
 MODES = {0: np.int8, 1: np.int16, 2: np.float32, 6: np.uint16, 12: np.float16}
 #: Fixed values of reconstruction files: the stamp of those whose flags count, and the flags of signed bytes and half bytes.
 REC_STAMP, REC_SIGNED, REC_HALF_BYTES = 1146047817, 1, 16
+#: Voxels of a task, and of a batch within it.
+VOXELS, BATCH = 1 << 24, 1 << 16
 VOXEL = "set_id string, x int, y int, z int, val float, cell double"
 
 
@@ -51,17 +61,82 @@ def voxels(raw: bytes, reconstruction: bool = False) -> tuple[np.ndarray, float]
     return data.transpose(axes).astype(np.float32), cell
 
 
-def read_map(spark: SparkSession, path: str | list[str], section: int = 1 << 20) -> DataFrame:
-    """set_id, x, y, z, val, cell. A file is one row of bytes, its voxels leave in parts of about section."""
+def _file(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system that a path or address names, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return pyarrow.fs.LocalFileSystem(), path
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                data, cell = voxels(raw, name.lower().endswith(".rec"))
-                step = max(1, section // max(1, data[0].size))
-                for lo in range(0, data.shape[0], step):
-                    part = data[lo : lo + step]
-                    x, y, z = np.indices(part.shape, np.int32)
-                    yield pd.DataFrame({"set_id": name, "x": x.ravel() + lo, "y": y.ravel(), "z": z.ravel(), "val": part.ravel(), "cell": cell})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, VOXEL)
+def _bytes(path: str, start: int, count: int) -> bytes:
+    system, name = _file(path)
+    with system.open_input_file(name) as f:
+        f.seek(start)
+        return f.read(count)
+
+
+@dataclass
+class MapPart(InputPartition):
+    """Voxels first to last (not included), in the file's own order, of one file."""
+
+    path: str
+    header: dict
+    first: int
+    last: int
+
+
+def part_voxels(part: MapPart) -> pa.RecordBatch:
+    """The rows of a part, for which only its bytes are read."""
+    h, kind = part.header, np.dtype(part.header["kind"]).newbyteorder("<")
+    raw = _bytes(part.path, 1024 + h["extended"] + part.first * kind.itemsize, (part.last - part.first) * kind.itemsize)
+    place = np.unravel_index(np.arange(part.first, part.last), h["size"][::-1])  # section, row, column
+    x, y, z = (place[2 - h["order"].index(a)].astype(np.int32) for a in (1, 2, 3))
+    n = part.last - part.first
+    val = np.frombuffer(raw, kind).astype(np.float32)
+    cell = h["lengths"][0] / h["grid"][0] if h["grid"][0] else 1.0
+    return pa.RecordBatch.from_arrays([pa.array([part.path] * n, pa.string()), *map(pa.array, (x, y, z, val)), pa.array(np.full(n, cell))], names=[c.split()[0] for c in VOXEL.split(", ")])
+
+
+class MapReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.paths, self.voxels = json.loads(options["paths"]), int(options.get("voxels", VOXELS))
+
+    def parts(self, path: str) -> list[MapPart]:
+        h = header(_bytes(path, 0, 1024), path.lower().endswith(".rec"))
+        count = math.prod(h["size"])
+        system, name = _file(path)
+        if system.get_file_info(name).size != 1024 + h["extended"] + count * np.dtype(h["kind"]).itemsize:
+            raise ValueError(f"more or fewer bytes than the header says: {path}")
+        return [MapPart(path, h, lo, min(lo + self.voxels, count)) for lo in range(0, count, self.voxels)]
+
+    def partitions(self) -> Sequence[InputPartition]:
+        with ThreadPoolExecutor(16) as pool:  # 1,024 bytes of each file
+            return [part for parts in pool.map(self.parts, self.paths) for part in parts]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        part = partition
+        for lo in range(part.first, part.last, BATCH):
+            yield part_voxels(MapPart(part.path, part.header, lo, min(lo + BATCH, part.last)))
+
+
+class MapSource(DataSource):
+    """spark.read.format("density_map") with the options paths (a list as JSON) and voxels (of a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "density_map"
+
+    def schema(self) -> str:
+        return VOXEL
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return MapReader(self.options)
+
+
+def read_map(spark: SparkSession, path: str | list[str], section: int = VOXELS) -> DataFrame:
+    """set_id, x, y, z, val, cell. A file of any size is read by its byte ranges, section voxels a task and BATCH at once. The
+    driver lists the files and reads their headers. Python tasks open the files themselves: by a path that all executors share
+    or an address that pyarrow's file systems know. An empty map has no rows; files that disagree with their header are errors."""
+    names = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # a list of files: no content is read
+    spark.dataSource.register(MapSource)
+    return spark.read.format("density_map").option("paths", json.dumps(sorted(names))).option("voxels", str(section)).load()

@@ -114,6 +114,16 @@ def test_map(spark, tmp_path, mode, order):
     assert len(rows) == want.size and all(r["val"] == want[r["x"], r["y"], r["z"]] and r["cell"] == 2.0 for r in rows)
     with pytest.raises(ValueError):
         maps.voxels(bytes(head) + data.tobytes() + b"x")
+    whole, _ = maps.voxels(path.read_bytes())
+    for name in (str(path), f"file:{path}", f"file://{path}"):  # a part alone, from the middle of a row on
+        parts = maps.MapReader({"paths": f'["{name}"]', "voxels": "7"}).partitions()
+        assert [(p.first, p.last) for p in parts] == [(i, min(i + 7, 60)) for i in range(0, 60, 7)]
+        alone = maps.part_voxels(parts[4]).to_pylist()
+        assert len(alone) == 7 and all(r["val"] == whole[r["x"], r["y"], r["z"]] for r in alone)
+    (tmp_path / "b.mrc").write_bytes(path.read_bytes() + b"x")
+    assert maps.read_map(spark, [str(path)]).count() == want.size
+    with pytest.raises(Exception, match="more or fewer bytes"):
+        maps.read_map(spark, str(tmp_path)).count()
 
 
 def test_registry_and_settings(spark, tmp_path):
