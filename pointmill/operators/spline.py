@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointmill.ordered import BLOCK, blocked, neighbours
+from pointmill.stored import stored
 
 HALO = 64
 
@@ -137,16 +138,16 @@ def find_minima(df: DataFrame, min_spacing: int = 1, min_prominence: float = 0.0
     Rows are read once in blocks: each gives the minima whose climbs are settled inside it, and its open ones (those that
     nothing in the block undercuts on one side), of which a block of m minima has about 2 ln m. Only these meet by series."""
     kind = df.schema["set_id"].dataType.simpleString()
-    slim = df.select("set_id", "i", "n", F.col("x").cast("double"), F.col("y").cast("double"))
+    slim = stored(df.select("set_id", "i", "n", F.col("x").cast("double"), F.col("y").cast("double")))  # read five times
     # flat stretches are no minima, but a climb ends where it falls to one
     near = neighbours(slim, ["set_id"], {"__a": ("y", -1), "__b": ("y", 1)}, size)
     is_end = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
     strict = is_end | ((F.col("y") < F.col("__a")) & (F.col("y") < F.col("__b")))
-    low = near.where(is_end | ((F.col("y") <= F.col("__a")) & (F.col("y") <= F.col("__b")))).select("set_id", "i", "x", "y", strict.alias("strict"), F.floor(F.col("i") / F.lit(size)).alias("block"))
+    low = stored(near.where(is_end | ((F.col("y") <= F.col("__a")) & (F.col("y") <= F.col("__b")))).select("set_id", "i", "x", "y", strict.alias("strict"), F.floor(F.col("i") / F.lit(size)).alias("block")))
     # the highest row from each minimum on, up to the next one of its block: rows are numbered by the minima before them
     marked = slim.join(low.select("set_id", "i", F.lit(1).alias("low")), ["set_id", "i"], "left").withColumn("block", F.floor(F.col("i") / F.lit(size)))
     stretch = F.count("low").over(Window.partitionBy("set_id", "block").orderBy("i"))
-    tops = marked.withColumn("stretch", stretch).groupBy("set_id", "block", "stretch").agg(F.max("y").alias("top"), F.min("i").alias("i"))
+    tops = stored(marked.withColumn("stretch", stretch).groupBy("set_id", "block", "stretch").agg(F.max("y").alias("top"), F.min("i").alias("i")))
     # a block's first rows, before its first minimum, belong to the stretch of the block before; they raise its last top
     leads = tops.where("stretch = 0").select("set_id", "block", F.col("top").alias("lead"))
     own = low.join(tops.where("stretch > 0").select("set_id", "i", "top"), ["set_id", "i"])
@@ -157,7 +158,7 @@ def find_minima(df: DataFrame, min_spacing: int = 1, min_prominence: float = 0.0
 
     columns = ["set_id", "block", "i", "x", "y", "strict", "top", "left", "left_known", "right", "right_known", "height", "settled"]
     schema = f"set_id {kind}, block long, i long, x double, y double, strict boolean, top double, left double, left_known boolean, right double, right_known boolean, height double, settled boolean"
-    found = own.groupBy("set_id", "block").applyInPandas(by_block, schema)
+    found = stored(own.groupBy("set_id", "block").applyInPandas(by_block, schema))
     span = slim.groupBy("set_id").agg((F.max("y") - F.min("y")).alias("span"), F.max("y").alias("highest"))
 
     def by_series(records: pd.DataFrame, leads: pd.DataFrame) -> pd.DataFrame:
