@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from pointmill.config import Axis
 from pointmill.functions import maths, text
-from pointmill.operators import bodies, dataset, density_map, fitting, hydration, map_fit, mass, pairs, profiles, rigid, statistics, symmetry, voxels, windows
+from pointmill.operators import bodies, dataset, density_map, exploration, fitting, hydration, map_fit, mass, pairs, profiles, rigid, statistics, symmetry, voxels, windows
 from pointmill.operators import spline as splines
 from pointmill.plans import profile_fit
 from pointmill.plans.inputs import POINTS, SERIES, points, series, table
+from pointmill.stored import stored
 from pointmill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,6 +331,23 @@ def find_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splines.find_minima(smooth, min_spacing=5, min_prominence=0.2)
 
 
+#: For y = p x, chi2 is a p^2 - 2 b p + c: its least and its walls follow from a, b and c.
+_WALLS = (
+    f"WITH {SERIES}, t AS (SELECT set_id, sum(x * x / (yerr * yerr)) AS a, sum(x * y / (yerr * yerr)) AS b, sum(y * y / (yerr * yerr)) AS c FROM s GROUP BY 1), "
+    "m AS (SELECT *, b / a AS p, c - b * b / a AS least, sqrt(0.5 * (c - b * b / a) / a) AS half FROM t), "
+    "e AS (SELECT set_id, avg(a * v * v - 2 * b * v + c) AS mean_chi2 FROM (SELECT *, p - half + half * unnest(range(21)) / 10.0::DOUBLE AS v FROM m) GROUP BY 1) "
+    "SELECT set_id, round(p, 2) AS p, round(least, 3) AS chi2, round(p - half, 1) AS low, round(p + half, 1) AS high, round(mean_chi2, 0) AS mean_chi2 FROM m JOIN e USING (set_id)"
+)
+
+
+@query(_WALLS)
+def valley_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the slope of each series may go before chi2 is half as much again, from a guess of 1."""
+    s = stored(series(spark, sf_dir))
+    found = exploration.explore(s, s.select("set_id", F.lit(1.0).alias("guess")).distinct(), lambda p: p * F.col("x"), ["set_id"], rise=0.5, tolerance=1e-8)
+    return rounded(found.drop("rounds"), {"p": 2, "chi2": 3, "low": 1, "high": 1, "mean_chi2": 0})
+
+
 # --- statistics and fits ----------------------------------------------------------------------------------------------
 
 
