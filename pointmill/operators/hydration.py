@@ -150,17 +150,20 @@ def radially_free(scored: DataFrame, divisions: int = 8, least: float = MIN_SCOR
     return scored.where((F.col("blocked") <= 2) & (F.col("score") > least * 3 * len(all_directions(divisions))))
 
 
-def spaced(scored: DataFrame, spacing: float) -> DataFrame:
+def spaced(scored: DataFrame, spacing: float, within: list[str] | None = None) -> DataFrame:
     """Candidates of which no two lie nearer than spacing: of those too near each other the one of most score stays (of equal
-    ones the least of, x, y, z), as if they were placed one by one in that order. Rows equal in all are one candidate."""
-    nodes = stored(scored.dropDuplicates(["of", "x", "y", "z"]).withColumn("__n", F.xxhash64("of", "x", "y", "z")))
+    ones the least of, x, y, z), as if they were placed one by one in that order. Rows equal in all are one candidate. Those
+    that differ in a column of within don't see each other; all groups are gone through together."""
+    groups = within or []
+    node = [*groups, "of", "x", "y", "z"]
+    nodes = stored(scored.dropDuplicates(node).withColumn("__n", F.xxhash64(*node)))
     offset = F.explode(F.array(*[F.lit(v) for v in (-1, 0, 1)]))
     cells = [F.floor(F.col(c) / spacing).alias(n) for c, n in zip("xyz", "abc", strict=True)]
     rank = F.struct((-F.col("score")).alias("s"), "of", "x", "y", "z").alias("r")
-    placed = nodes.select(F.col("__n").alias("n"), rank, *cells)
-    spread = placed.withColumns({"da": offset}).withColumns({"db": offset}).withColumns({"dc": offset}).select(F.col("n").alias("worse"), F.col("r").alias("q"), *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "abc"])
+    placed = nodes.select(F.col("__n").alias("n"), rank, *cells, *groups)
+    spread = placed.withColumns({"da": offset}).withColumns({"db": offset}).withColumns({"dc": offset}).select(F.col("n").alias("worse"), F.col("r").alias("q"), *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "abc"], *groups)
     near = sum(((F.col(f"r.{c}") - F.col(f"q.{c}")) ** 2 for c in "xyz"), F.lit(0.0)) < spacing * spacing
-    edges = stored(placed.join(spread, ["a", "b", "c"]).where(near & (F.col("r") < F.col("q"))).select(F.col("n").alias("better"), "worse"))
+    edges = stored(placed.join(spread, ["a", "b", "c", *groups]).where(near & (F.col("r") < F.col("q"))).select(F.col("n").alias("better"), "worse"))
     gone: DataFrame | None = None
     while not edges.isEmpty():
         beaten = edges.select(F.col("worse").alias("better")).distinct()

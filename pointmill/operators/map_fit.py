@@ -52,14 +52,17 @@ def _fit_cutoff(points: DataFrame, data: DataFrame, levels: int) -> tuple[DataFr
 
 @dataclass
 class Cutoff:
-    """The best cutoff, its chi2, the least and greatest cutoff whose chi2 lies within the allowance, and the cutoffs at
-    whose minima the coarse, smoothed scan was looked at closer."""
+    """The best cutoff, its chi2, the least and greatest cutoff whose chi2 lies within the allowance, the cutoffs at whose
+    minima the coarse, smoothed scan was looked at closer, and the best one's mass and factor of the waters' weight (of a fit
+    with waters)."""
 
     cutoff: float
     chi2: float
     low: float
     high: float
     minima: list[float] = field(default_factory=list)
+    mass: float = 0.0
+    water: float | None = None
 
 
 def smoothed_minima(scan: list[tuple[int, float]], window: int = 3) -> list[int]:
@@ -72,18 +75,30 @@ def smoothed_minima(scan: list[tuple[int, float]], window: int = 3) -> list[int]
     return [rows[i][0] for i in range(len(rows)) if inside[i] > inside[i + 1] < inside[i + 2]]
 
 
-def search_cutoff(voxels: DataFrame, data: DataFrame, low: float, high: float, levels: int = 16, cell: float = 1.0, rounds: int = 2, most: int = 3, allowance: float = 0.1) -> Cutoff:
+def search_cutoff(voxels: DataFrame, data: DataFrame, low: float, high: float, levels: int = 16, cell: float = 1.0, rounds: int = 2, most: int = 3, allowance: float = 0.1, hydrate: bool = False, density: float = 0.81) -> Cutoff:
     """The cutoff whose voxels give the measured curve: a coarse scan over low..high, then closer scans about each of the
     best minima of its smoothed chi2, and about the best of those again. A scan of all its levels is one job; the driver sees
-    a row for each level."""
+    a row for each level. With hydrate, waters are placed about the shape of every level, and the factor of their weight is
+    fitted with it."""
+    from pointmill.operators.map_water import fit_cutoffs, masses
+
     seen: dict[float, float] = {}
+    factors: dict[float, float] = {}
+    weights: dict[float, float] = {}
     data = data.persist()  # few rows, read by every scan
 
     def scan(lo: float, hi: float) -> list[tuple[int, float]]:
         step = (hi - lo) / levels
-        fits, cached = _fit_cutoff(banded_points(voxels, levels, lo, hi, cell), data, levels)
-        rows = [(r["level"], r["chi2"]) for r in fits.select("level", "chi2").collect() if r["chi2"] is not None]
-        cached.unpersist()
+        points = banded_points(voxels, levels, lo, hi, cell)
+        weights.update({lo + (r["level"] - 1) * step: r["mass"] for r in masses(points, levels, lo, hi, cell, density).collect()})  # a row a level
+        if hydrate:
+            found = [tuple(r) for r in fit_cutoffs(points, data, levels).select("level", "chi2", "water").collect()]
+            rows = [(k, c) for k, c, _ in found]
+            factors.update({lo + (k - 1) * step: f for k, _, f in found})
+        else:
+            fits, cached = _fit_cutoff(points, data, levels)
+            rows = [(r["level"], r["chi2"]) for r in fits.select("level", "chi2").collect() if r["chi2"] is not None]
+            cached.unpersist()
         seen.update({lo + (k - 1) * step: c for k, c in rows if c == c})
         return rows
 
@@ -103,4 +118,4 @@ def search_cutoff(voxels: DataFrame, data: DataFrame, low: float, high: float, l
         data.unpersist()
     best = min(seen, key=lambda c: (seen[c], c))
     near = [c for c, v in seen.items() if v <= seen[best] * (1 + allowance)]
-    return Cutoff(best, seen[best], min(near), max(near), places)
+    return Cutoff(best, seen[best], min(near), max(near), places, weights[best], factors.get(best))

@@ -130,6 +130,22 @@ def cross_histogram(a: DataFrame, b: DataFrame, group: list[str] | None = None,
     return out.withColumn("value", F.col("value") * scale)
 
 
+def within_histogram(points: DataFrame, keys: list[str], width: float = DISTANCE_AXIS.width, tile: int = TILE) -> DataFrame:
+    """keys, bin, value, cnt, dsum: a self join in each group of keys, none between groups. A group is dealt into tiles of
+    about tile points, and two tiles of it are a join key of their own, so a large group is many tasks. Ids are unique within
+    a group, keys are never null."""
+    slim = points.select(*POINT, *keys)
+    tiles = slim.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(tile))).cast("int").alias("tiles"))
+    dealt = slim.join(tiles, keys).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    a = dealt.select(*keys, *[F.col(c).alias(f"{c}_a") for c in POINT], F.col("own").alias("i"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("j"))
+    b = dealt.select(*keys, *[F.col(c).alias(f"{c}_b") for c in POINT], F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    d = F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "xyz"), F.lit(0.0)))
+    pairs = a.join(b, [*keys, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("id_a") < F.col("id_b")))
+    pairs = pairs.select(*keys, F.col("w_a").alias("wa"), F.col("w_b").alias("wb"), d.alias("d"), bin_of(d, width).alias("bin"))
+    own = slim.groupBy(*keys).agg(F.sum(F.col("w") * F.col("w")).alias("value"), F.count(F.lit(1)).alias("cnt")).select(*keys, F.lit(0).cast("long").alias("bin"), "value", "cnt", F.lit(0.0).alias("dsum"))
+    return merge(_sums(pairs, keys, 2.0).unionByName(own), keys)
+
+
 def merge(histograms: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Sums histograms that stand one above the other, by keys and bin: partial results, kinds, categories."""
     return histograms.groupBy(*(keys or []), "bin").agg(F.sum("value").alias("value"), F.sum("cnt").alias("cnt"), F.sum("dsum").alias("dsum"))

@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.operators import categories, density_map, fitting, grid_volume, map_fit, pairs, profiles, rigid, symmetry, voxels
+from pointmill.operators import categories, density_map, fitting, grid_volume, map_fit, map_water, pairs, profiles, rigid, symmetry, voxels
 from pointmill.plans import profile_fit
 from pointmill.plans.inputs import POINTS, SERIES, points, series
-from pointmill.plans.queries import _D, _FACTORS, _GROWN, _HIGH, _LOW, _MAP, _SINC, _map, query, rounded, significant, voxel_expand
+from pointmill.plans.queries import _D, _FACTORS, _GROWN, _HIGH, _LEVELS, _LOW, _MAP, _SINC, _map, query, rounded, significant, voxel_expand
+from pointmill.stored import stored
 
 _RAYS = 26
 _RAY_ROWS = ", ".join(map(str, grid_volume.ray_steps()))
@@ -136,3 +137,58 @@ def map_search_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = map_fit.banded_points(v, 5, _LOW, _HIGH).where("band >= 3")
     found = map_fit.search_cutoff(v, profile_fit.simulate(truth, 40), _LOW, _HIGH, levels=5, rounds=1, most=1)
     return significant(spark.createDataFrame([(found.cutoff, found.chi2, found.low, found.high)], "cutoff double, chi2 double, low double, high double"), "chi2")
+
+
+_BANDED = (
+    f"{_MAP}, p AS (SELECT row_number() OVER (ORDER BY z, y, x) AS id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, CASE WHEN val >= {_HIGH} THEN {_LEVELS} + 1 ELSE floor((val - {_LOW}::DOUBLE) / ({_HIGH} - {_LOW})::DOUBLE * {_LEVELS})::INT + 1 END AS band FROM v WHERE val >= {_LOW})"
+)
+_PLACES = (
+    f"{_BANDED}, o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)), c AS (SELECT DISTINCT x + a * 3 AS x, y + b * 3 AS y, z + c * 3 AS z FROM p, o), "
+    f"l AS (SELECT level, c.x, c.y, c.z, count(*) FILTER (pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2) <= 25) AS score, min(pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2)) AS near, "
+    f"count(*) FILTER (abs(p.x - c.x) + abs(p.y - c.y) + abs(p.z - c.z) = 3 AND greatest(abs(p.x - c.x), abs(p.y - c.y), abs(p.z - c.z)) = 3) AS made FROM range(1, {_LEVELS + 1}) t(level), c, p WHERE p.band >= level GROUP BY ALL), "
+    "f AS (SELECT level, x, y, z, score FROM l WHERE made > 0 AND near >= 6.25)"
+)
+
+
+@query(f"WITH {_PLACES} SELECT level::INT AS level, x, y, z, score FROM f")
+def map_water_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The free places about the shape of each cutoff, all from one join."""
+    return map_water.places(map_fit.banded_points(_map(spark, sf_dir), _LEVELS, _LOW, _HIGH), _LEVELS)
+
+
+_W = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(
+    f"WITH {_PLACES}, pr AS (SELECT level, 'aa' AS kind, {_W} AS d, 1.0::DOUBLE AS v FROM range(1, {_LEVELS + 1}) t(level), p a JOIN p b ON a.id < b.id WHERE least(a.band, b.band) >= level "
+    f"UNION ALL SELECT a.level, 'aw', {_W}, 2 FROM f a JOIN p b ON b.band >= a.level UNION ALL SELECT a.level, 'ww', {_W}, 4 FROM f a JOIN f b ON a.level = b.level AND (a.x, a.y, a.z) < (b.x, b.y, b.z)), "
+    "h AS (SELECT level, kind, floor(d * 4 + 0.5)::BIGINT AS bin, sum(v) * 2 AS value, count(*) * 2 AS cnt, sum(d) * 2 AS dsum FROM pr GROUP BY ALL "
+    f"UNION ALL SELECT level, 'aa', 0, count(*), count(*), 0 FROM range(1, {_LEVELS + 1}) t(level), p WHERE band >= level GROUP BY level UNION ALL SELECT level, 'ww', 0, count(*) * 4, count(*), 0 FROM f GROUP BY level) "
+    "SELECT level::INT AS level, kind, bin, sum(value)::DOUBLE AS value, sum(cnt)::BIGINT AS cnt, round(sum(dsum), 3) AS dsum FROM h GROUP BY ALL"
+)
+def map_water_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels and waters of weight 2 at all their free places: the histograms of all cutoffs from three joins."""
+    p = map_fit.banded_points(_map(spark, sf_dir), _LEVELS, _LOW, _HIGH)
+    placed = stored(map_water.places(p, _LEVELS).withColumn("w", F.lit(2.0)))
+    return rounded(map_water.histograms(p, placed, _LEVELS), {"dsum": 3})
+
+
+@query(
+    f"WITH {_BANDED} SELECT level::INT AS level, {_LOW} + (level - 1) * (({_HIGH} - {_LOW}) / {_LEVELS})::DOUBLE AS cutoff, count(*) AS voxels, round(count(*) * 0.81::DOUBLE, 6) AS mass FROM range(1, {_LEVELS + 1}) t(level), p WHERE band >= level GROUP BY level"
+)
+def map_mass_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mass of what each cutoff leaves, from one count by band."""
+    p = map_fit.banded_points(_map(spark, sf_dir), _LEVELS, _LOW, _HIGH)
+    return rounded(map_water.masses(p, _LEVELS, _LOW, _HIGH), {"mass": 6})
+
+
+@query()
+def map_water_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve of the third cutoff's voxels with waters of weight 3 is fitted at every cutoff, waters placed about each
+    shape anew: the third must win, with a factor of 3."""
+    p = map_fit.banded_points(_map(spark, sf_dir), _LEVELS, _LOW, _HIGH)
+    third = p.where("band >= 3")
+    own = map_water.waters(third.withColumn("band", F.lit(1)), 1).select(F.xxhash64("x", "y", "z").alias("id"), "x", "y", "z", F.lit(3.0).alias("w"), F.lit("w").alias("kind"))
+    truth = third.select("id", "x", "y", "z", "w", F.lit("a").alias("kind")).unionByName(own)
+    fits = map_water.fit_cutoffs(p, profile_fit.simulate(truth, 40, by_kind=True), _LEVELS)
+    return significant(rounded(fits, {"a": 4, "b": 2, "water": 4}), "chi2")
