@@ -143,6 +143,7 @@ def parse(page: str, truth_marks: bool = False) -> Page:
 
     current = block("html", "")
     at, size = 0, len(page)
+    unclosed: set[str] = set()
     while at < size:
         m = _TOKEN.search(page, at)
         chunk = page[at : m.start()] if m else page[at:]
@@ -186,7 +187,9 @@ def parse(page: str, truth_marks: bool = False) -> Page:
             in_head = False
         if name in _SKIPPED:
             if not m[3].endswith("/") or name in _RAW:
-                close = _CLOSE[name].search(page, at)
+                close = None if name in unclosed else _CLOSE[name].search(page, at)
+                if not close:
+                    unclosed.add(name)  # nor has any later one an end
                 if close:
                     stop = page.find(">", close.end())
                     at = size if stop < 0 else stop + 1
