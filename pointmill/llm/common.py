@@ -63,9 +63,9 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or with underscores before it, so that df has no such column."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, name: str, *others: DataFrame) -> str:
+    """name, or with underscores before it, so that neither df nor the others have such a column."""
+    taken = {c.lower() for d in (df, *others) for c in d.columns}
     while name.lower() in taken:
         name = "_" + name
     return name
@@ -89,18 +89,20 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
 
     The keys of most rows (at most HOT_KEYS of them, so their list may be broadcast; any other key holds under a thousandth
     of the rows) are dealt by a hash of spread into parts of about HOT_ROWS rows, and right's row goes to every part. Keys
-    are never null; how is inner or left."""
+    are never null; how is inner or left. Other columns pass through whatever their names."""
+    part, parts = free_name(left, "__part", right), free_name(left, "__parts", right)
+    key_names = [free_name(left, f"__hot_{i}", right) for i in range(len(keys))]
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
-    hot = cut(counts.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], F.least(F.ceil(F.col("__n") / F.lit(HOT_ROWS)), F.lit(10_000)).cast("int").alias("__parts")))
+    hot = cut(counts.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*[F.col(k).alias(n) for k, n in zip(keys, key_names, strict=True)], F.least(F.ceil(F.col("__n") / F.lit(HOT_ROWS)), F.lit(10_000)).cast("int").alias(parts)))
     if hot.isEmpty():
         return left.join(right, keys, how)
 
     def marked(df: DataFrame) -> DataFrame:
         on = F.lit(True)
-        for i, k in enumerate(keys):
-            on = on & (F.col(k) == F.col(f"__hot_{i}"))
-        return df.join(F.broadcast(hot), on, "left").drop(*[f"__hot_{i}" for i in range(len(keys))])
+        for k, n in zip(keys, key_names, strict=True):
+            on = on & (F.col(k) == F.col(n))
+        return df.join(F.broadcast(hot), on, "left").drop(*key_names)
 
-    one = marked(left).withColumn("__part", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    two = marked(right).withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return one.join(two, [*keys, "__part"], how).drop("__part")
+    one = marked(left).withColumn(part, F.pmod(F.xxhash64(spread), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    two = marked(right).withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return one.join(two, [*keys, part], how).drop(part)
