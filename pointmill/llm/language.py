@@ -10,8 +10,10 @@ For each page, four pieces of evidence are combined as log-odds:
 Counts for the last three come from grouped aggregation over all pages of the posteriors that the text alone gives; each
 page's own share is taken out of the counts that it is judged by.
 
-Navigation and footers are left out of the text evidence on purpose: they are the site's own words, the same on its pages in
-every language, and would speak for the site's language, which the host prior already stands for.
+Words in navigation, footers and noscript count as text evidence for QUIET of other words: they are the site's own, the same on
+its pages in every language, and speak for the site's language, which the host prior already stands for; where a page has no
+other words they still tell. Unclosed ones reach to the end, as unclosed scripts, styles and comments do. Markup is read in
+time that grows with its length. A declaration is the attribute lang or xml:lang of the html tag, none that ends in -lang.
 
 A null or empty page has no text evidence: what remains decides. A null url, or one without a host, belongs to a host and a
 suffix named by the empty string. Without labelled documents the language is null and the posterior 0. Very long pages are
@@ -39,6 +41,8 @@ BROADCAST_KEYS = 200_000
 #: How many pages' worth a level of the hierarchy leans on the level above, and how far a text's evidence may go: trigrams
 #: of running text are not independent, so each counts for 1 / SPREAD, and no more than FULL of them do.
 LEAN, SPREAD, FULL = 5.0, 8.0, 160
+#: What a trigram in navigation, footers or noscript counts.
+QUIET = 0.1
 
 
 def _buckets(data: np.ndarray) -> np.ndarray:
@@ -98,15 +102,29 @@ def model(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
 
 
 def visible(html: Column) -> Column:
-    """The html without scripts, styles, comments, navigation, footers and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(bare, r"(?s)<[^>]*>|&[a-zA-Z]+;|&#[0-9xXa-fA-F]+;", " ")
+    """The html without scripts, styles, comments and tags; U+0001 and U+0002 stand where navigation, a footer or noscript
+    begins and ends. Whatever is unclosed reaches to the end, so that nothing is searched for twice."""
+    bare = F.regexp_replace(F.translate(html, "\x01\x02", "  "), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
+    begun = F.regexp_replace(bare, r"(?i)<(?:nav|footer|noscript)\b[^>]*(?:>|\z)", "\x01")
+    ended = F.regexp_replace(begun, r"(?i)</(?:nav|footer|noscript)\b[^>]*(?:>|\z)", "\x02")
+    return F.regexp_replace(ended, r"(?s)<[a-zA-Z/!?][^>]*(?:>|\z)|&[a-zA-Z]+;|&#[0-9xXa-fA-F]+;", " ")
+
+
+def _loudness(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """1 for each byte, QUIET for those between marks; an end without a beginning counts for nothing."""
+    step = (data == 1).astype(np.int64) - (data == 2)
+    out = np.ones(len(data))
+    for i in np.unique(np.searchsorted(offsets, np.flatnonzero(step), side="right") - 1):
+        depth = np.cumsum(step[offsets[i] : offsets[i + 1]])
+        depth -= np.minimum(np.minimum.accumulate(depth), 0)
+        out[offsets[i] : offsets[i + 1]][depth > 0] = QUIET
+    return out
 
 
 def evidence(pages: DataFrame, langs: list[str], weights: np.ndarray) -> DataFrame:
     """page_id, url, host, suffix, declared, support (array of log-likelihoods by language) of each page."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"""(?i)<html[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"""(?i)<html[^<>]*?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
     slim = pages.select("page_id", "url", host.alias("host"), declared.alias("declared"), visible(F.coalesce(F.col("html"), F.lit(""))).alias("text"), F.xxhash64("html").alias("text_key")).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,10 +135,12 @@ def evidence(pages: DataFrame, langs: list[str], weights: np.ndarray) -> DataFra
             keep[1:] = (plain[1:] != 32) | (plain[:-1] != 32)
             data, offsets = plain[keep], np.concatenate([[0], np.cumsum(keep)])[block.offsets]
             at = _buckets(data)
-            sums = np.vstack([np.zeros(len(langs)), np.cumsum(weights[at], axis=0)])
+            loud = _loudness(block.data, block.offsets)[keep][: len(at)]
+            sums = np.vstack([np.zeros(len(langs)), np.cumsum(weights[at] * loud[:, None], axis=0)])
+            mass = np.concatenate([[0.0], np.cumsum(loud)])
             first, last = np.minimum(offsets[:-1], len(at)), np.minimum(np.maximum(offsets[1:] - 2, offsets[:-1]), len(at))
-            n = np.maximum(1, last - first)
-            out.append((sums[last] - sums[first]) / n[:, None] * np.minimum(last - first, FULL)[:, None] / SPREAD)
+            n = mass[last] - mass[first]
+            out.append((sums[last] - sums[first]) / np.maximum(n, QUIET)[:, None] * np.minimum(n, FULL)[:, None] / SPREAD)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "suffix", "declared", "text_key")), pa.array(np.concatenate(out).tolist(), pa.list_(pa.float64()))], names=["page_id", "url", "host", "suffix", "declared", "text_key", "support"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

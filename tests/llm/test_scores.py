@@ -217,6 +217,57 @@ def test_language_tells_any_number_apart(spark):
     assert len({x["lang"] for x in out}) == 70 and all(x["lang"] == f"l{x['page_id']:02}" for x in out)
 
 
+@pytest.fixture(scope="module")
+def trees():
+    return html_text.fit()
+
+
+def test_language_of_the_html_tag_alone(spark, tables):
+    """What counts as declared, and as words."""
+    tags = {"data": '<html data-lang="xx" lang="de">', "xml": "<html xml:lang=fr>", "hreflang": '<html hreflang="es">', "later": '<html><p lang="es">', "first": "<html\nlang = 'EN-gb' xml:lang='de'>", "none": "<html"}
+    pages = spark.createDataFrame([(k, "http://x.y/", v) for k, v in tags.items()], "page_id string, url string, html string")
+    got = {r["page_id"]: r["declared"] for r in language.evidence(pages, ["?"], np.zeros((language.BUCKETS, 1))).collect()}
+    assert got == {"data": "de", "xml": "fr", "hreflang": "", "later": "", "first": "en", "none": ""}
+
+
+def test_language_of_footers(spark):
+    docs = spark.createDataFrame([(i, "der die das und ist nicht ein eine zu den von mit sich", "de") for i in range(20)] + [(50 + i, "the of and to in that is was for it with as be on", "en") for i in range(20)], "doc_id long, text string, lang string")
+    german, english = "der die das und ist nicht ein eine zu den von mit sich", "the of and to in that is was for it with as be on"
+    pages = {"foot": f"<body><footer>{german}</footer></body>", "both": f"<nav>{english} {english}</nav><p>{german}</p><footer>{english}</footer>", "open": f"<nav><nav>{german}", "ends": f"</nav></footer>{german}<nav>{english}</nav>", "comment": f"{german}<!-- {english} {english}", "script": f"{german}<script>{english} {english}"}
+    rows = [(k, f"http://{k}.example/", v) for k, v in pages.items()]
+    out = {r["page_id"]: r for r in language.identify(spark.createDataFrame(rows, "page_id string, url string, html string"), docs).collect()}
+    assert {r["text_lang"] for r in out.values()} == {"de"}
+    support = {r["page_id"]: r["support"] for r in language.evidence(spark.createDataFrame(rows, "page_id string, url string, html string"), *language.model(docs)).collect()}
+    assert 0 < abs(support["foot"][0]) < abs(support["ends"][0])
+
+
+def test_loudness_by_loop():
+    r = np.random.default_rng(3)
+    data = r.choice(np.array([1, 2, 65], np.uint8), 400, p=[0.2, 0.2, 0.6])
+    offsets = np.array([0, 0, 90, 91, 300, 400, 400])
+    want = []
+    for a, b in zip(offsets, offsets[1:]):
+        depth = 0
+        for v in data[a:b]:
+            depth = max(0, depth + (v == 1) - (v == 2))
+            want.append(language.QUIET if depth else 1.0)
+    assert language._loudness(data, offsets).tolist() == want
+
+
+def test_markup_in_linear_time(spark, trees):
+    from time import monotonic
+
+    marks = [m * n for m, n in (("<nav>", 80_000), ("<nav", 80_000), ("<script>", 50_000), ("<!--", 100_000), ("<", 400_000), ("<html ", 60_000), ("</footer>", 40_000))]
+    pages = spark.createDataFrame([(k, "http://x.y/", m) for k, m in enumerate(marks)], "page_id long, url string, html string")
+    begin = monotonic()
+    assert language.evidence(pages, ["?"], np.zeros((language.BUCKETS, 1))).count() == len(marks)
+    language.evidence(pages, ["?"], np.zeros((language.BUCKETS, 1))).collect()
+    assert monotonic() - begin < 20
+    begin = monotonic()
+    html_text.main_texts(["<svg>" * 40_000, "<p>x</p><select>" * 20_000], trees)
+    assert monotonic() - begin < 20
+
+
 def test_language_odd_rows(spark, tables, empty):
     pages = spark.createDataFrame([(1, None, None), (None, "nohost", ""), (1, "http://x.y/", "<html lang=EN>hi"), (1, "http://x.y/", "<html lang=EN>hi")], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("p", F.lit(1))
     assert language.identify(pages, tables["documents"]).count() == 4
@@ -224,11 +275,6 @@ def test_language_odd_rows(spark, tables, empty):
     assert language.identify(pages.where("false"), tables["documents"]).count() == 0
 
 
-@pytest.fixture(scope="module")
-def trees():
-    return html_text.fit()
-
-
 def test_html_tables(tables, trees):
     import html
     import re
