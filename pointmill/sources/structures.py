@@ -102,6 +102,19 @@ def read_cif(spark: SparkSession, path: str | list[str], category: str = "_atom_
     return parts.where(F.size("__t") == F.size("__names")).select("set_id", "line", F.map_from_arrays("__names", "__t").alias("row"))
 
 
+def read_components(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(atoms, bonds) of a file of chemical components, of one or of many, as residues.component_hydrogens takes them. Rows
+    that lack the component's or an atom's name are left out."""
+
+    def item(name: str) -> Column:
+        value = F.col("row")[name]
+        return F.when(value.isin(".", "?"), None).otherwise(value)
+
+    atoms = read_cif(spark, path, "_chem_comp_atom").select(item("comp_id").alias("residue"), item("atom_id").alias("atom"), item("alt_atom_id").alias("alternative"), F.upper(item("type_symbol")).alias("element"), item("charge").try_cast("int").alias("charge"))
+    bonds = read_cif(spark, path, "_chem_comp_bond").select(item("comp_id").alias("residue"), item("atom_id_1").alias("atom_a"), item("atom_id_2").alias("atom_b"), item("value_order").alias("kind"))
+    return atoms.where("residue IS NOT NULL AND atom IS NOT NULL"), bonds.where("residue IS NOT NULL")
+
+
 def cif_items(spark: SparkSession, path: str | list[str], category: str) -> DataFrame:
     """set_id and a map of label to value of a category's single items, a label and its value a line."""
     pattern = rf"^{category}[._](\S+)\s+(\S.*)$"
