@@ -58,11 +58,10 @@ def move_histograms(points: DataFrame, moves: list[Move], width: float = DISTANC
         left, apart = left.join(F.broadcast(ids), "move"), ~F.array_contains("a.moving", F.col("b.body"))
     if n <= pairs.BROADCAST_POINTS:
         both = left.alias("a").join(F.broadcast(slim.alias("b")), apart)
-    else:  # points are dealt into tiles of bounded size; each moved point meets every tile
-        tiles = -(-n // pairs.TILE)
-        spread = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-        dealt = slim.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-        both = spread.alias("a").join(dealt.alias("b"), (F.col("a.tile") == F.col("b.tile")) & apart)
+    else:  # the points of each move meet those that it leaves by pairs of tiles
+        others = slim.join(F.broadcast(ids)).where(~F.array_contains("moving", F.col("body"))).drop("moving")
+        sums = pairs.between_histogram(left, others, ["move"], width)
+        return pairs.merge(still.select("move", "bin", "value", "cnt", "dsum").unionByName(sums), ["move"])
     d = pairs.distance("a", "b")
     cross = both.select("a.move", (F.col("a.w") * F.col("b.w")).alias("v"), d.alias("d"), pairs.bin_of(d, width).alias("bin"))
     sums = cross.groupBy("move", "bin").agg((F.sum("v") * 2).alias("value"), (F.count(F.lit(1)) * 2).alias("cnt"), (F.sum("d") * 2).alias("dsum"))

@@ -12,6 +12,7 @@ from pointmill.operators.pairs import kinds, merge, pair_histogram
 from pointmill.operators.profiles import q_axis, transform
 from pointmill.operators.spline import splice
 from pointmill.ordered import number_rows
+from pointmill.stored import stored
 
 
 def profile(points: DataFrame, width: float = DISTANCE_AXIS.width) -> DataFrame:
@@ -33,7 +34,7 @@ def simulate(points: DataFrame, n: int, by_kind: bool = False) -> DataFrame:
     """A measured curve as the points would give: about n rows at logarithmic steps, with errors. By kind, it is the sum of
     the partial profiles, whose bins have mean distances of their own."""
     whole = partial_profiles(points).groupBy("q").agg(F.sum("intensity").alias("intensity")) if by_kind else profile(points)
-    return simulate_errors(reduce_log(as_curve(whole), n))
+    return simulate_errors(reduce_log(as_curve(stored(whole)), n))  # few rows, read many times
 
 
 def fit(points: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
