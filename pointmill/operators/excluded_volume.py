@@ -16,18 +16,17 @@ def histograms(by_pair: DataFrame, group: str = "ff", average: bool = False) ->
 
     ax is ordered (ff_a the atom's, ff_b the volume's); on average volumes have one category, -1."""
     a, b = f"{group}_a", f"{group}_b"
-    slim = by_pair.select(a, b, "bin", "value")
     other = F.lit(-1).cast(by_pair.schema[a].dataType)
-    aa = slim.select(F.lit("aa").alias("term"), a, b, "bin", "value")
-    half = F.when(F.col(a) == F.col(b), F.col("value")).otherwise(F.col("value") / 2)
-    one = slim.select(F.lit("ax").alias("term"), F.col(a).alias(a), F.col(b).alias(b), "bin", half.alias("value"))
-    two = slim.where(F.col(a) != F.col(b)).select(F.lit("ax").alias("term"), F.col(b).alias(a), F.col(a).alias(b), "bin", half.alias("value"))
-    xx = aa.withColumn("term", F.lit("xx"))
-    out = one.unionByName(two)
-    if average:
-        out, xx = out.withColumn(b, other), xx.withColumns({a: other, b: other})
-    out = out.unionByName(xx).groupBy("term", a, b, "bin").agg(F.sum("value").alias("value"))
-    return aa.unionByName(out)
+
+    def row(term: str, one: Column, two: Column, value: Column) -> Column:
+        return F.struct(F.lit(term).alias("term"), one.alias(a), two.alias(b), value.alias("value"))
+
+    ca, cb, value = F.col(a), F.col(b), F.col("value")
+    half = F.when(ca == cb, value).otherwise(value / 2)
+    same = [row("aa", ca, cb, value), row("ax", ca, other if average else cb, half), row("xx", other if average else ca, other if average else cb, value)]
+    turned = row("ax", cb, other if average else ca, half)
+    every = F.explode(F.when(ca == cb, F.array(*same)).otherwise(F.array(*same, turned)))  # the pairs are read once
+    return by_pair.select("bin", every.alias("r")).groupBy("r.term", f"r.{a}", f"r.{b}", "bin").agg(F.sum("r.value").alias("value"))
 
 
 def terms(profiles: DataFrame, factors: DataFrame, group: str = "ff") -> DataFrame:
