@@ -12,21 +12,22 @@ A change of a body moves its group's centre, and with it the copies (but not the
 change of a group's symmetry does the same. Only scheduled pairs with such a copy are joined again. Multiplicities live in the
 schedule, so that a change of symmetry alone keeps all pairs of originals.
 
-Points of a pair of copies are dealt into tiles of about TILE, and each pair of tiles is a join key of its own, so that two
-large bodies aren't one task. Ids are unique within a body. An empty table of points gives empty histograms.
+Points of a pair of copies are dealt into tiles of about TILE, and each pair of tiles is a task of its own, whose distances are
+binned in numpy (operators/tiles.py), so that two large bodies aren't one task. Ids are unique within a body. An empty table of points gives empty histograms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.config import DISTANCE_AXIS
-from pointmill.operators.pairs import merge
+from pointmill.operators.pairs import between_histogram, merge, within_histogram
 from pointmill.operators.symmetry import copies, group, pair_schedule
+from pointmill.stored import stored
 
 KEYS = ["body_a", "copy_a", "body_b", "copy_b"]
-TILE = 2000
+TILE = 4096
 _TURN = [f"r{a}{b}" for a in range(3) for b in range(3)]
 
 
@@ -72,31 +73,16 @@ def schedule(members: DataFrame) -> DataFrame:
 
 def by_copy_pairs(points: DataFrame, members: DataFrame, keys: DataFrame, width: float = DISTANCE_AXIS.width) -> DataFrame:
     """KEYS, bin, value, cnt, dsum of the pairs of copies in keys, each pair of points twice, as in other histograms."""
-    moved = copies(points.select("body", "id", "x", "y", "z", "w"), shared_transforms(points, members))
-    tiles = points.groupBy("body").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TILE))).cast("int").alias("tiles"))
-    moved = moved.join(tiles, "body").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
-
-    def numbered(side: str) -> DataFrame:
-        return tiles.select(F.col("body").alias(f"body_{side}"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias(f"tile_{side}"))
-
+    keys = stored(keys.select(*KEYS))  # a row for each histogram that is asked for
+    moved = stored(copies(points.select("body", "id", "x", "y", "z", "w"), shared_transforms(points, members)))  # read for sizes, then for tasks
     same = (F.col("body_a") == F.col("body_b")) & (F.col("copy_a") == F.col("copy_b"))
-    tasks = keys.select(*KEYS).join(numbered("a"), "body_a").join(numbered("b"), "body_b").where(~same | (F.col("tile_a") <= F.col("tile_b")))
-
-    def side(s: str) -> DataFrame:
-        named = moved.select(*[F.col(c).alias(f"{c}_{s}") for c in ("body", "copy", "tile", "id", "x", "y", "z", "w")])
-        return tasks.join(named, [f"{c}_{s}" for c in ("body", "copy", "tile")])
-
-    on = [*KEYS, "tile_a", "tile_b"]
-    pairs = side("a").join(side("b"), on)
-    once = (F.col("tile_a") < F.col("tile_b")) | (F.col("id_a") < F.col("id_b"))
-    itself = same & (F.col("tile_a") == F.col("tile_b")) & (F.col("id_a") == F.col("id_b"))
-    d = F.sqrt(sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "xyz"), F.lit(0.0)))
-    both = pairs.where(~same | once | itself).withColumns({"d": d, "times": F.when(itself, 1).otherwise(2)})
 
-    def total(value: Column) -> Column:
-        return F.sum(F.col("times") * value)
+    def side(s: str, wanted: DataFrame) -> DataFrame:
+        named = moved.select(F.col("body").alias(f"body_{s}"), F.col("copy").cast("int").alias(f"copy_{s}"), "id", "x", "y", "z", "w")
+        return wanted.select(*KEYS).join(named, [f"body_{s}", f"copy_{s}"])
 
-    return both.groupBy(*KEYS, F.floor(F.col("d") / width + 0.5).cast("long").alias("bin")).agg(total(F.col("w_a") * F.col("w_b")).cast("double").alias("value"), total(F.lit(1)).cast("long").alias("cnt"), total(F.col("d")).alias("dsum"))
+    apart = between_histogram(side("a", keys.where(~same)), side("b", keys.where(~same)), KEYS, width, TILE)
+    return within_histogram(side("a", keys.where(same)), KEYS, width, TILE).unionByName(apart)
 
 
 def dirty_copies(members: DataFrame, bodies: DataFrame, groups: DataFrame) -> DataFrame:
