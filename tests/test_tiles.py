@@ -57,3 +57,12 @@ def test_displaced_terms_read_the_pairs_once(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("BatchEvalPython") == 1
     rows = {(r["term"], r["ff_a"], r["ff_b"]): r["value"] for r in made.collect()}
     assert rows == {("aa", 0, 0): 4.0, ("aa", 0, 1): 6.0, ("ax", 0, 0): 4.0, ("ax", 0, 1): 3.0, ("ax", 1, 0): 3.0, ("xx", 0, 0): 4.0, ("xx", 0, 1): 6.0}
+
+
+@pytest.mark.parametrize("name", ["side", "i", "own"])
+def test_groups_may_have_any_name(spark, monkeypatch, name):
+    """Waters of a map are grouped by a column side, which tiles had a column of too."""
+    p = spark.range(30).select("id", *[((F.col("id") * k) % 7).cast("double").alias(c) for k, c in ((3, "x"), (5, "y"), (11, "z"))], F.lit(1.0).alias("w"), (F.col("id") % 2).alias(name))
+    want = sorted(pairs.cross_histogram(p, p, [name]).collect())
+    monkeypatch.setattr(pairs, "BROADCAST_POINTS", 0)
+    assert [r[:5] for r in sorted(pairs.cross_histogram(p, p, [name]).collect())] == [r[:5] for r in want]
