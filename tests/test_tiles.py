@@ -66,3 +66,20 @@ def test_groups_may_have_any_name(spark, monkeypatch, name):
     want = sorted(pairs.cross_histogram(p, p, [name]).collect())
     monkeypatch.setattr(pairs, "BROADCAST_POINTS", 0)
     assert [r[:5] for r in sorted(pairs.cross_histogram(p, p, [name]).collect())] == [r[:5] for r in want]
+
+
+@pytest.mark.parametrize("width", [0.25, 0.3])
+def test_blocks_hold_rows_of_one_kind(width):
+    """Rows are sorted by kind, and no block goes on over the rows of another; bins are those of the distances as they are."""
+    r = np.random.default_rng(2)
+    p = pd.DataFrame({**{c: r.integers(-8, 8, 60) * 0.125 for c in "xyz"}, "g": r.integers(0, 4, 60), "w": 1.0, "n": 1})
+    ends = np.flatnonzero(np.diff(np.sort(p.g))) + 1
+    own = np.sort(p.g.to_numpy())
+    seen = 0
+    for rows, _, d, _, out in tiles.blocks(p, None, 1000, ends.tolist(), 4.0):
+        assert len(set(own[rows])) == 1
+        seen += d.size - out.sum()
+    assert seen == 60 * 59 // 2
+    found = {(x.g_a, x.g_b, x.bin): [x.wsum, x.n, x.dist] for x in tiles.histogram(p, None, ["g"], width).itertuples()}
+    want = brute(p, width)
+    assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in want)
