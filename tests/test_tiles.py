@@ -83,3 +83,42 @@ def test_blocks_hold_rows_of_one_kind(width):
     found = {(x.g_a, x.g_b, x.bin): [x.wsum, x.n, x.dist] for x in tiles.histogram(p, None, ["g"], width).itertuples()}
     want = brute(p, width)
     assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in want)
+
+
+def _lattice(spark, n):
+    at = ((F.col("id") % 17, "x"), (F.floor(F.col("id") / 17), "y"), (F.col("id") * 7 % 13, "z"))
+    return spark.range(n).select("id", *[v.cast("double").alias(c) for v, c in at], (F.col("id") % 3 + 1).cast("double").alias("w"), (F.col("id") % 2).alias("g"))
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_tasks_hold_equal_numbers_of_pairs_of_tiles(spark, own):
+    """Pairs of tiles are numbered and dealt out in turn; by a hash some tasks had several times the pairs of others."""
+    p = _lattice(spark, 600)
+    dealt = tiles.tasks(p, None if own else p, [], ["x", "y", "z", "w"], 40)
+    rows = dealt.select(F.spark_partition_id().alias("part"), "__i", "__j", "__side", F.size("__rows").alias("n")).collect()
+    pairs_of = {}
+    for r in rows:
+        pairs_of.setdefault(r["part"], set()).add((r["__i"], r["__j"]))
+    count = [len(v) for v in pairs_of.values()]
+    assert sum(count) == (15 * 16 // 2 if own else 15 * 15) and max(count) - min(count) <= 1
+    assert len(rows) == (15 * 15 if own else 2 * 15 * 15) and sum(r["n"] for r in rows) == (600 * 15 if own else 2 * 600 * 15)
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_many_tiles_equal_the_join(spark, monkeypatch, group):
+    """Of a set with itself, of two sets, within and between groups: pairs of tiles follow each other in a task."""
+    p, q = _lattice(spark, 130), _lattice(spark, 90).withColumn("x", F.col("x") + 0.5)
+
+    def both():
+        found = pairs.pair_histogram(p, group), pairs.cross_histogram(p, q, group)
+        return [sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in h.collect()) for h in found]
+
+    want = both()
+    monkeypatch.setattr(pairs, "BROADCAST_POINTS", 0)
+    monkeypatch.setattr(pairs, "TILE", 20)
+    assert both() == want
+    parts = [p.where(F.col("g") == k) for k in (0, 1)], [q.where(F.col("g") == k) for k in (0, 1)]
+    for k in (0, 1):
+        for found, one in ((pairs.within_histogram(p, ["g"], tile=20), pairs.pair_histogram(parts[0][k])), (pairs.between_histogram(p, q, ["g"], tile=20), pairs.cross_histogram(parts[0][k], parts[1][k]))):
+            got = {r["bin"]: (r["value"], r["cnt"]) for r in found.where(F.col("g") == k).collect()}
+            assert got == {r["bin"]: (r["value"], r["cnt"]) for r in one.collect()}
