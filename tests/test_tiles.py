@@ -1,5 +1,7 @@
 """Distances of tiles: more points than a broadcast takes, points of one place, many kinds, exact sums without a bound."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -122,3 +124,25 @@ def test_many_tiles_equal_the_join(spark, monkeypatch, group):
         for found, one in ((pairs.within_histogram(p, ["g"], tile=20), pairs.pair_histogram(parts[0][k])), (pairs.between_histogram(p, q, ["g"], tile=20), pairs.cross_histogram(parts[0][k], parts[1][k]))):
             got = {r["bin"]: (r["value"], r["cnt"]) for r in found.where(F.col("g") == k).collect()}
             assert got == {r["bin"]: (r["value"], r["cnt"]) for r in one.collect()}
+
+
+def test_a_block_takes_twenty_bytes_a_distance(monkeypatch):
+    """Distances, shifted ones or counters' numbers in their place, and numbers of four bytes; they were 24."""
+    monkeypatch.setattr(tiles, "BLOCK", 1 << 20)
+    r = np.random.default_rng(3)
+    a, b = (pd.DataFrame({**{c: r.uniform(-2, 2, 1024) for c in "xyz"}, "w": 1.0, "n": 1}) for _ in range(2))
+    tiles.histogram(a, b, [], 0.25)
+    tracemalloc.start()
+    found = tiles.histogram(a, b, [], 0.25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.n.sum() == 1 << 20 and peak < 22 << 20
+
+
+@pytest.mark.parametrize("far", [1e3, 1e8, 1e9])
+def test_bins_beyond_four_bytes(far):
+    """Counters' numbers have eight bytes where four don't hold them."""
+    p = pd.DataFrame({"x": [0.0, far, far + 1, 3.0], "y": 0.0, "z": 0.0, "w": [1.0, 2.0, 3.0, 4.0], "n": 1})
+    found = tiles.histogram(p, None, [], 0.25)
+    want = brute(p.assign(g=0), 0.25)
+    assert {k[2]: tuple(v) for k, v in want.items()} == {x.bin: (x.wsum, x.n, x.dist) for x in found.itertuples()}
