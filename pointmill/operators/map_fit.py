@@ -1,7 +1,8 @@
 """Fitting a density map's cutoff: which voxels, taken as points, give the measured curve.
 
 Voxels are banded by density. A pair of voxels is above a cutoff if its lesser band is, so one join by lesser band serves
-every cutoff: its histogram is the sum over the bands from there on.
+every cutoff: its histogram is the sum over the bands from there on. Many voxels on a lattice are counted by steps instead, at
+each cutoff (operators/lattice.py).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointmill.config import DISTANCE_AXIS
-from pointmill.operators import density_map
+from pointmill.operators import density_map, lattice
 from pointmill.operators.fitting import chi2, regression
 from pointmill.operators.pairs import merge, pair_histogram
 from pointmill.operators.profiles import q_axis, transform
@@ -26,8 +27,15 @@ def banded_points(voxels: DataFrame, levels: int, low: float, high: float, cell:
     return own.select(F.xxhash64("x", "y", "z").alias("id"), *[(F.col(c) * cell).cast("double").alias(c) for c in "xyz"], F.lit(1.0).alias("w"), "band")
 
 
+def at_levels(points: DataFrame, levels: int) -> DataFrame:
+    """points with a row for each level whose shape they belong to."""
+    return points.withColumn("level", F.explode(F.sequence(F.lit(1), F.least(F.col("band"), F.lit(levels)))))
+
+
 def cutoff_histograms(points: DataFrame, levels: int, width: float = DISTANCE_AXIS.width) -> DataFrame:
     """level, bin, value, cnt, dsum for the cutoff at the foot of each band from 1 to levels."""
+    if (found := lattice.histograms(at_levels(points, levels), ["level"], [], width)) is not None:
+        return found
     by_band = merge(pair_histogram(points, ["band"], width).withColumnRenamed("band_a", "band").drop("band_b"), ["band"])
     every = F.explode(F.sequence(F.lit(1), F.least(F.col("band"), F.lit(levels))))
     return merge(by_band.withColumn("level", every).drop("band"), ["level"])

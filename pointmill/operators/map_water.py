@@ -6,7 +6,7 @@ level on at which no voxel nearer than the clearance is left. So one join of pla
 which each is free, and how many voxels are near it at each. At a level, waters keep apart as if placed one by one.
 
 The histograms of all levels come from three joins: voxels by lesser band, waters with voxels by level and band, and waters
-with each other within their level. An empty map gives empty tables; voxels repeated are voxels of their own."""
+with each other within their level; on a lattice, one count by steps for all of them. An empty map gives empty tables; voxels repeated are voxels of their own."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointmill.config import DISTANCE_AXIS
+from pointmill.operators import lattice
 from pointmill.operators.fitting import chi2, regression
 from pointmill.operators.hydration import along_axes, spaced
-from pointmill.operators.map_fit import cutoff_histograms
+from pointmill.operators.map_fit import at_levels, cutoff_histograms
 from pointmill.operators.pairs import cross_histogram, merge, within_histogram
 from pointmill.operators.profiles import q_axis, transform
 from pointmill.operators.spline import interpolate_at
@@ -59,6 +60,9 @@ def waters(points: DataFrame, levels: int, shell: float = 3.0, clearance: float
 
 def histograms(points: DataFrame, placed: DataFrame, levels: int, width: float = DISTANCE_AXIS.width) -> DataFrame:
     """level, kind (aa, aw, ww), bin, value, cnt, dsum at all levels; placed: level, x, y, z, w of waters."""
+    both = [p.select(F.col("level").cast("int").alias("level"), "x", "y", "z", F.col("w").cast("double").alias("w"), F.lit(k).alias("kind")) for p, k in ((at_levels(points, levels), "a"), (placed, "w"))]
+    if (found := lattice.histograms(both[0].unionByName(both[1]), ["level"], ["kind"], width)) is not None:
+        return found.select("level", "bin", "value", "cnt", "dsum", F.concat("kind_a", "kind_b").alias("kind"))
     ids = placed.withColumn("id", F.xxhash64("level", "x", "y", "z"))
     # below 0 are levels of waters, from 1 on bands: the lesser of a pair's two is the water's
     marked = ids.withColumn("side", -F.col("level")), points.withColumn("side", F.col("band"))
