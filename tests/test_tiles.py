@@ -146,3 +146,24 @@ def test_bins_beyond_four_bytes(far):
     found = tiles.histogram(p, None, [], 0.25)
     want = brute(p.assign(g=0), 0.25)
     assert {k[2]: tuple(v) for k, v in want.items()} == {x.bin: (x.wsum, x.n, x.dist) for x in found.itertuples()}
+
+
+def test_counters_of_a_large_span_are_bounded(monkeypatch):
+    """Beyond the counters that a task may hold, found bins are summed as they come, not kept block by block."""
+    monkeypatch.setattr(tiles, "COUNTERS", 64)
+    monkeypatch.setattr(tiles, "BLOCK", 1 << 10)
+    most = [0]
+    real = pd.concat
+
+    def concat(parts, *a, **k):
+        parts = list(parts)
+        if "key" in parts[0]:
+            most[0] = max(most[0], sum(map(len, parts)))
+        return real(parts, *a, **k)
+
+    monkeypatch.setattr(pd, "concat", concat)
+    r = np.random.default_rng(3)
+    p = pd.DataFrame({**{c: r.uniform(0, 30, 1_200) for c in "xyz"}, "w": 1.0, "n": 1, "band": r.integers(1, 5, 1_200)})
+    found = tiles.histogram(p, None, ["band"], 0.25)
+    assert found["n"].sum() == 1_200 * 1_199 / 2
+    assert most[0] < 20_000
