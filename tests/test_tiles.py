@@ -167,3 +167,29 @@ def test_counters_of_a_large_span_are_bounded(monkeypatch):
     found = tiles.histogram(p, None, ["band"], 0.25)
     assert found["n"].sum() == 1_200 * 1_199 / 2
     assert most[0] < 20_000
+
+
+@pytest.mark.parametrize("extent", [0.0, 3.0, 40.0])
+def test_exact_sums_by_directions_equal_all_pairs(spark, monkeypatch, extent):
+    """Beyond the points that go by pairs, the same sums come without pairs of tiles."""
+    r = np.random.default_rng(5)
+    p = pd.DataFrame({c: r.uniform(-1, 1, 3_000) * extent + 7 for c in "xyz"}).assign(z=lambda x: x["z"] + 1e-3 * r.uniform(size=3_000), w=r.choice([1.0, 2.5, -0.5], 3_000))
+    q = [0.0, 1e-4, 0.05, 0.3, 0.5]
+    asked, points = spark.createDataFrame([(v,) for v in q], "q double"), spark.createDataFrame(p)
+    pairs_ = {v["q"]: v["intensity"] for v in profiles.exact(points, asked, bounded=False).collect()}
+    monkeypatch.setattr(profiles, "EXACT_POINTS", 100)
+
+    def tasks(*_, **__):
+        raise AssertionError("pairs of tiles")
+
+    monkeypatch.setattr(tiles, "tasks", tasks)
+    found = {v["q"]: v["intensity"] for v in profiles.exact(points, asked, bounded=False).collect()}
+    assert set(found) == set(q)
+    scale = (p["w"] ** 2).sum()
+    assert all(found[v] == pytest.approx(pairs_[v], rel=1e-11, abs=1e-10 * scale) for v in q)
+
+
+def test_too_many_directions_go_by_pairs():
+    assert profiles._directions([0.5], 1e5) is None and profiles._directions([0.5], float("nan")) is None
+    assert profiles._directions([0.5], 10.0).shape[1] < 1_000
+    assert profiles._directions([0.05, 0.5], 10.0)[4].sum() == pytest.approx(2.0, rel=1e-13)
